@@ -17,3 +17,42 @@ def utf8(text: str | None) -> bytes:
 def words(data: bytes) -> list[bytes]:
     """Maximal runs without space and U+0009 to U+000D: what ``bytes.split`` splits at, and no other byte of UTF-8."""
     return data.split()
+
+
+def per_text(df: DataFrame, id_col: str, text_col: str, make, schema: str) -> DataFrame:
+    """Map (id, text) rows to rows of ``schema``: ``make()`` runs once a task and returns ``f(text) -> iterable of tuples``.
+
+    The id comes first in each output row.  Batches are cut by the bytes they hold (``spark.sql.execution.arrow.maxBytesPerBatch``)
+    and output is flushed every few thousand rows, so memory follows the longest text and not the table.
+    """
+    from pyspark.sql import functions as F
+
+    names = [part.split()[0] for part in schema.split(",")][1:]
+    kind = df.schema[id_col].dataType.simpleString()
+    out_schema = f"{schema.split(',')[0].split()[0]} {kind}, " + ",".join(schema.split(",")[1:])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target, f = to_arrow_schema(parsed), make()
+        for batch in batches:
+            ids, rows, texts = [], [], batch.column(1)
+            for i, one in enumerate(batch.column(0).to_pylist()):
+                for row in f(texts[i].as_py()):
+                    ids.append(one)
+                    rows.append(row)
+                if len(rows) >= 4096:
+                    yield build(pa, target, ids, rows)
+                    ids, rows = [], []
+            if rows:
+                yield build(pa, target, ids, rows)
+
+    def build(pa, target, ids, rows):
+        columns = [ids, *map(list, zip(*rows, strict=True))] if names else [ids]
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, target, strict=True)], schema=target)
+
+    from pyspark.sql.types import _parse_datatype_string
+
+    parsed = _parse_datatype_string(out_schema)
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, parsed)
