@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from weft.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from weft.llm.langid import op1_language_id
+from weft.llm.quality import op7_quality_bands
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op7_quality_bands": op7_quality_bands,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
