@@ -19,6 +19,15 @@ def words(data: bytes) -> list[bytes]:
     return data.split()
 
 
+def worker_cache(name: str) -> dict:
+    """A dictionary that lives as long as the Python process: tasks that reuse a worker find what earlier ones left."""
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_weft_worker_cache", types.ModuleType("_weft_worker_cache"))
+    return store.__dict__.setdefault(name, {})
+
+
 def per_text(df: DataFrame, id_col: str, text_col: str, make, schema: str) -> DataFrame:
     """Map (id, text) rows to rows of ``schema``: ``make()`` runs once a task and returns ``f(text) -> iterable of tuples``.
 

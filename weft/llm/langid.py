@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.llm.common import per_text
+from weft.llm.common import per_text, worker_cache
 
 UNKNOWN = "und"
 MAX_N = 3  # three code points of 21 bits fit one 64-bit integer, so n-grams are counted without hashing
@@ -36,13 +36,11 @@ def _letters() -> np.ndarray:
     return out
 
 
-_TABLE: dict[str, np.ndarray] = {}
-
-
 def _codes(text: str) -> np.ndarray:
-    if "letters" not in _TABLE:
-        _TABLE["letters"] = _letters()
-    return _TABLE["letters"][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    tables = worker_cache("letters")
+    if "all" not in tables:
+        tables["all"] = _letters()
+    return tables["all"][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
 
 
 def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:

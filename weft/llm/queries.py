@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from weft.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from weft.llm.langid import op1_language_id
+from weft.llm.packing import op2_best_fit_packing
 from weft.llm.quality import op7_quality_bands
 from weft.llm.simhash import op10_simhash
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op7_quality_bands": op7_quality_bands,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_simhash": op10_simhash,
