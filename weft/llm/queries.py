@@ -7,15 +7,18 @@ from weft.llm.langid import op1_language_id
 from weft.llm.packing import op2_best_fit_packing
 from weft.llm.quality import op7_quality_bands
 from weft.llm.simhash import op10_simhash
+from weft.llm.warc import OP5_SQL, op5_warc_round_trip
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op7_quality_bands": op7_quality_bands,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
+    "op5_warc_round_trip": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
