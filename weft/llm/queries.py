@@ -6,6 +6,7 @@ from weft.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from weft.llm.langid import op1_language_id
 from weft.llm.packing import op2_best_fit_packing
 from weft.llm.quality import op7_quality_bands
+from weft.llm.rollup import OP6_SQL, op6_token_rollup
 from weft.llm.simhash import op10_simhash
 from weft.llm.warc import OP5_SQL, op5_warc_round_trip
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_warc_round_trip": op5_warc_round_trip,
+    "op6_token_rollup": op6_token_rollup,
     "op7_quality_bands": op7_quality_bands,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_simhash": op10_simhash,
@@ -20,5 +22,6 @@ QUERIES = {
 
 ORACLES = {
     "op5_warc_round_trip": OP5_SQL,
+    "op6_token_rollup": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
