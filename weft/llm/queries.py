@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weft.llm.bpe import op3_byte_bpe
 from weft.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from weft.llm.langid import op1_language_id
 from weft.llm.packing import op2_best_fit_packing
@@ -13,6 +14,7 @@ from weft.llm.warc import OP5_SQL, op5_warc_round_trip
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_byte_bpe": op3_byte_bpe,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_token_rollup": op6_token_rollup,
     "op7_quality_bands": op7_quality_bands,
