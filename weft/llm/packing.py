@@ -9,6 +9,7 @@ place by rank among pieces of equal length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterable
 
@@ -23,7 +24,7 @@ from weft.plans.runtime import materialize
 
 CAPACITY = 2048
 ROWS_PER_BUCKET = 50_000
-WORDS_REMEMBERED = 400_000
+WORDS_REMEMBERED = 800_000
 
 
 def fullest(counts: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -130,12 +131,16 @@ def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
     return [(k, a, len(x := ids[a : a + capacity]), zlib.crc32(x.tobytes())) for k, a in enumerate(range(0, len(ids), capacity))]
 
 
+_TAIL = re.compile(rb"(.*[a-z])([,.;:!?]+)", re.DOTALL)
+
+
 def word_encoder(path: str, remembered: int = WORDS_REMEMBERED) -> Callable[[str | None], np.ndarray]:
     """Ids of a text by the ``tokenizers`` file at ``path``, without special tokens; their strings are ordinary text.
 
-    The tokenizer drops white space and never joins what stands on its two sides, so a text's ids are those of its
-    words one after another.  Words met before are looked up; at most ``remembered`` of them are kept, then all are
-    dropped.
+    The tokenizer lowers case, drops white space and never joins what stands on its two sides, so a text's ids are
+    those of its words one after another; nor does it join a letter with a following stop.  Words met before are looked
+    up; at most ``remembered`` of them are kept, then all are dropped.  New words of letters alone go to the tokenizer
+    in one string, whose ids part after each that ends a word.
     """
     import os
 
@@ -144,22 +149,41 @@ def word_encoder(path: str, remembered: int = WORDS_REMEMBERED) -> Callable[[str
 
     store = worker_cache(f"tokenizer {path}")
     if "encoder" not in store:
-        store["encoder"] = Tokenizer.from_file(path)
-        store["encoder"].encode_special_tokens = True
+        encoder = store["encoder"] = Tokenizer.from_file(path)
+        encoder.encode_special_tokens = True
         store["words"] = {}
-    encoder, known = store["encoder"], store["words"]
+        store["ends"] = np.array([(encoder.id_to_token(i) or "").endswith("</w>") for i in range(encoder.get_vocab_size())])
+    encoder, known, ends = store["encoder"], store["words"], store["ends"]
+
+    def look_up(new: list[bytes]) -> None:
+        plain, other = [], []
+        for w in new:
+            (plain if w.isalpha() or w.decode("utf-8", "surrogatepass").isalpha() else other).append(w)
+        for at in range(0, len(plain), 1 << 14):
+            some = plain[at : at + (1 << 14)]
+            ids = np.array(encoder.encode(b" ".join(some).decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(ends[ids]) + 1
+            if len(stops) != len(some):
+                other += some
+                continue
+            data, stop = ids.tobytes(), (4 * stops).tolist()
+            known.update(zip(some, [data[a:b] for a, b in zip([0, *stop], stop, strict=False)], strict=True))
+        for at in range(0, len(other), 1 << 14):
+            some = other[at : at + (1 << 14)]
+            found = encoder.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)
+            known.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
 
     def encode(text: str | None) -> np.ndarray:
-        words = utf8(text).split()
+        words = utf8(text).lower().split()
         missing = [w for w in set(words) if w not in known]
         if missing:
             if len(known) + len(missing) > remembered:
                 known.clear()
                 missing = list(set(words))
-            for at in range(0, len(missing), 1 << 14):
-                some = missing[at : at + (1 << 14)]
-                found = encoder.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)
-                known.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
+            tails = {w: m.groups() for w in missing if (m := _TAIL.fullmatch(w))}
+            parts = {x for w in missing for x in tails.get(w, (w,))}
+            look_up([x for x in parts if x not in known])
+            known.update({w: known[a] + known[b] for w, (a, b) in tails.items()})
         return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
     return encode
