@@ -4,8 +4,8 @@ Markup is read in one pass into blocks; containers that say what they are (navig
 comments and so on) are left out, and where the page marks its article only that is kept.  What a page's template
 repeats is found without markup: the token streams of a host's pages are concatenated and their suffixes sorted by
 their first eight tokens; a run met outside the marked articles of several pages is boilerplate wherever it stands.
-Unmarked text loses covered tokens and keeps its unique runs; a block of a marked article goes only if all of it is
-covered, so passages that articles share are never cut.
+Unmarked text loses covered tokens and keeps its unique runs.  A marked article is kept whole: passages that articles
+share with each other, or with an advert, are part of it.
 """
 
 from __future__ import annotations
@@ -190,7 +190,7 @@ def main_texts(pages: list[list[Block]], run: int = RUN, least_pages: int = LEAS
             if block.dropped or (has_main and not block.marked):
                 continue
             if block.marked:
-                kept += [] if len(words) >= run and hit.all() else [block.text]
+                kept.append(block.text)
             else:
                 kept += [w for w, h in zip(words, hit, strict=True) if not h]
         out.append((" ".join(kept), gone))
