@@ -5,6 +5,7 @@ from __future__ import annotations
 from weft.llm.bpe import op3_byte_bpe
 from weft.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from weft.llm.html_text import op4_html_text
+from weft.llm.katz import op9_katz_backoff
 from weft.llm.langid import op1_language_id
 from weft.llm.packing import op2_best_fit_packing
 from weft.llm.quality import op7_quality_bands
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_token_rollup": op6_token_rollup,
     "op7_quality_bands": op7_quality_bands,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_katz_backoff": op9_katz_backoff,
     "op10_simhash": op10_simhash,
 }
 
