@@ -65,3 +65,17 @@ def per_text(df: DataFrame, id_col: str, text_col: str, make, schema: str) -> Da
 
     parsed = _parse_datatype_string(out_schema)
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, parsed)
+
+
+def keep_texts(df: DataFrame, text_col: str, make) -> DataFrame:
+    """Rows of ``df``, all columns, whose text passes: ``make()`` runs once a task and returns ``f(text) -> bool``.  Nothing is shuffled."""
+    at = [c.lower() for c in df.columns].index(text_col.lower())
+
+    def run(batches):
+        import pyarrow as pa
+
+        test = make()
+        for batch in batches:
+            yield batch.filter(pa.array([bool(test(t.as_py())) for t in batch.column(at)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

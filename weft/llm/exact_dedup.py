@@ -64,12 +64,12 @@ def _task_cells(n_cells: int):
     return run
 
 
-def _merge_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by chunk: one pass, one chunk in memory."""
+def _merge_chunks(batches: Iterator[pa.RecordBatch], least: int = 2) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chunk: one pass, one chunk in memory.  Gives the cells hit once or more, or twice or more."""
     size, now, once, twice = 1 << CHUNK_BITS, None, None, None
 
     def done() -> pa.RecordBatch:
-        bits = zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)
+        bits = zlib.compress(np.packbits(once if least == 1 else twice, bitorder="little").tobytes(), 1)
         return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits], pa.binary())], ["chunk", "bits"])
 
     for batch in batches:
@@ -86,12 +86,12 @@ def _merge_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield done()
 
 
-def repeated_filter(keys: DataFrame, n_rows: int, max_filter_bits: int = MAX_FILTER_BITS) -> tuple[np.ndarray, int]:
-    """Bitmap of cells hit at least twice over ``keys`` (one binary column) and its number of cells."""
+def repeated_filter(keys: DataFrame, n_rows: int, max_filter_bits: int = MAX_FILTER_BITS, least: int = 2) -> tuple[np.ndarray, int]:
+    """Bitmap of cells hit at least ``least`` times (1 or 2) over ``keys`` (one binary column) and its number of cells."""
     n_cells = min(max_filter_bits, 1 << max(CHUNK_BITS, (n_rows * CELLS_PER_KEY - 1).bit_length()))
     parts = keys.mapInArrow(_task_cells(n_cells), "chunk int, cells binary")
     merged = (
-        parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merge_chunks, "chunk int, bits binary")
+        parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lambda batches: _merge_chunks(batches, least), "chunk int, bits binary")
     )
     bitmap = np.zeros(n_cells // 8, np.uint8)
     step = (1 << CHUNK_BITS) // 8
@@ -151,6 +151,22 @@ def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     return alone.unionByName(again.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
+def drop_ids(df: DataFrame, dropped: DataFrame, id_col: str = "doc_id", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+    """Rows of ``df``, all columns, whose id is not in ``dropped(id)``.  Only rows that a Bloom filter of the dropped ids
+    may hold are shuffled.  A null id is never dropped."""
+
+    def key(c):
+        return F.unhex(F.sha2(c.cast("string"), 256))
+
+    name = fresh(df, "_maybe")
+    bitmap, n_cells = repeated_filter(dropped.where("id IS NOT NULL").select(key(F.col("id"))), max(1, dropped.count()), max_filter_bits, least=1)
+    test = _maybe_repeated(df.sparkSession, bitmap, n_cells)
+    flagged = df.withColumn(name, test(F.coalesce(key(F.col(f"`{id_col}`")), F.unhex(F.sha2(F.lit(""), 256)))) & F.col(f"`{id_col}`").isNotNull())
+    stay = flagged.where(~F.col(name)).drop(name)
+    gone = dropped.select(F.col("id").alias("_dropped_id"))
+    return stay.unionByName(flagged.where(F.col(name)).drop(name).join(gone, F.col(f"`{id_col}`") == F.col("_dropped_id"), "left_anti"))
+
+
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
     from weft.llm.common import table
 

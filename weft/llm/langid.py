@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.llm.common import per_text, worker_cache
+from weft.llm.common import keep_texts, per_text, worker_cache
 
 UNKNOWN = "und"
 MAX_N = 3  # three code points of 21 bits fit one 64-bit integer, so n-grams are counted without hashing
@@ -158,6 +158,20 @@ def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col:
     return per_text(df, id_col, text_col, make, "doc_id long, lang_pred string, score double, margin double")
 
 
+def keep_known(df: DataFrame, profiles: Profiles, text_col: str = "text", least_score: float = 0.42) -> DataFrame:
+    """Rows of ``df``, all columns, whose text is in one of the languages: neither ``und`` nor further than prose from all."""
+    shared = df.sparkSession.sparkContext.broadcast(profiles)
+
+    def make() -> Callable[[str | None], bool]:
+        def test(text: str | None) -> bool:
+            lang, score, _ = shared.value.nearest(text)
+            return lang != UNKNOWN and score >= least_score
+
+        return test
+
+    return keep_texts(df, text_col, make)
+
+
 def in_training(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from weft.llm.common import per_text, utf8
+from weft.llm.common import keep_texts, per_text, utf8
 
 
 @dataclass(frozen=True)
@@ -101,21 +101,32 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands:
     alone, so repeated rows and null ids get their own verdict; an empty table gives no rows; other columns are not read.
     """
 
-    def make() -> Callable[[str | None], Iterable[tuple]]:
-        import zstandard
+    return per_text(df, id_col, text_col, lambda: _judge(bands), SCHEMA)
 
-        compress = zstandard.ZstdCompressor(level=bands.level).compress
 
-        def one(text: str | None) -> Iterable[tuple]:
-            data = utf8(text)
-            counts = base_counts(data)
-            failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-            ratio, share, fine = compression(data, bands, compress)
-            return [(*counts, failed, not failed and fine, ratio, share)]
+def _judge(bands: Bands) -> Callable[[str | None], Iterable[tuple]]:
+    import zstandard
 
-        return one
+    compress = zstandard.ZstdCompressor(level=bands.level).compress
 
-    return per_text(df, id_col, text_col, make, SCHEMA)
+    def one(text: str | None) -> Iterable[tuple]:
+        data = utf8(text)
+        counts = base_counts(data)
+        failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+        ratio, share, fine = compression(data, bands, compress)
+        return [(*counts, failed, not failed and fine, ratio, share)]
+
+    return one
+
+
+def keep_good(df: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
+    """Rows of ``df``, all columns, that :func:`judge` keeps."""
+
+    def make() -> Callable[[str | None], bool]:
+        one = _judge(bands)
+        return lambda text: one(text)[0][6]
+
+    return keep_texts(df, text_col, make)
 
 
 def op7_quality_bands(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import per_text, utf8
+from weft.llm.exact_dedup import drop_ids
 from weft.operators.components import star_components
 from weft.plans.runtime import materialize, release
 
@@ -180,6 +181,15 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``df``, all columns, of which each group of near-duplicates keeps the row with the smallest id.
+
+    Rows without an id stay.  Rows that share the id that stays all stay.
+    """
+    groups = near_groups(df, id_col, text_col).where("doc_id IS NOT NULL AND doc_id <> component_id")
+    return drop_ids(df, materialize(groups.select(F.col("doc_id").alias("id")).distinct(), "dropped"), id_col)
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     from weft.llm.common import table
 
