@@ -26,11 +26,12 @@ from weft.llm.common import utf8
 from weft.plans.runtime import materialize, new_path, release
 
 FREQUENT_WORDS = 400_000
-FREQUENT_PAIRS = 200_000
+FREQUENT_PAIRS = 500_000
 DISCOUNTED = 5
 BEGIN, END = -1, -2  # no word has these numbers: hashes below zero have their lowest bits free of them
 _RARE, _SUM = -3, -4
 PARTS = 8
+TOKENS_AT_ONCE = 1 << 20
 
 
 def discounts(counts_of_counts: dict[int, int], top: int = DISCOUNTED) -> list[float]:
@@ -162,9 +163,21 @@ def train(texts: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Model:
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: i for i, w in enumerate(shared.value)}
+
+        def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
+            (h, w), n = _unique(np.concatenate(parts, axis=1))
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(n)], ["h", "w", "n"])
+
+        parts, size = [], 0
         for batch in batches:
-            (h, w), n = _unique(np.concatenate([_pairs(x) for x in _numbers(batch.column(0), known)], axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(n)], ["h", "w", "n"])
+            for ids in _numbers(batch.column(0), known):
+                parts.append(_pairs(ids))
+                size += len(ids)
+                if size >= TOKENS_AT_ONCE:
+                    yield summed(parts)
+                    parts, size = [], 0
+        if parts:
+            yield summed(parts)
 
     counted = materialize(texts.mapInArrow(count_pairs, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("c")), "pairs")
     d2 = discounts({r.c: r.k for r in counted.where(F.col("c") <= DISCOUNTED + 1).groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()})
@@ -179,17 +192,19 @@ def train(texts: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Model:
         far = rows.where(~frequent_key).join(many.select(F.col("id").alias(key), value.alias(name)), key)
         return near.unionByName(far.select(near.columns))
 
-    kept2, begun = discounted(F.col("c"), d2), F.lit(ends)
-    rest = counted.where(F.col("h") != BEGIN)
-    sized = by_word(rest, "h", F.col("c"), "ch").unionByName(counted.where(F.col("h") == BEGIN).withColumn("ch", begun.cast("long")).select("h", "w", "c", "ch"))
-    sums = by_word(sized, "w", p1, "p1").groupBy("h", "ch").agg(F.sum(kept2).alias("kept"), F.sum("p1").alias("low"))
+    kept2 = discounted(F.col("c"), d2)
+    common = (F.col("w") >= 0) | (F.col("w") == END)
+    near = counted.where(common).join(F.broadcast(few.select(F.col("id").alias("w"), p1)), "w")
+    far = counted.where(~common).join(many.select(F.col("id").alias("w"), p1), "w")
+    part = [F.sum("c").alias("ch"), F.sum(kept2).alias("kept"), F.sum("p1").alias("low")]
+    sums = near.select("h", "c", "p1").unionByName(far.select("h", "c", "p1")).groupBy("h").agg(*part)
     # a context without a discounted count would leave nothing for other words: it is made one event longer
     longer = F.when(F.col("kept") >= F.col("ch") - 1e-9, F.col("ch") + 1).otherwise(F.col("ch"))
-    contexts = sums.select("h", longer.alias("size"), ((1 - F.col("kept") / longer) / (1 - F.col("low"))).alias("alpha"))
-    contexts = _save(contexts, "h", f"{path}/contexts")
-    whole = contexts.where(F.col("size") > 0)
-    full = counted.join(whole.select("h", "size"), "h").select("h", "w", "c", (kept2 / F.col("size")).alias("p"))
-    _save(full, "h", f"{path}/bigrams")
+    contexts = _save(sums.select("h", longer.alias("size"), ((1 - F.col("kept") / longer) / (1 - F.col("low"))).alias("alpha")), "h", f"{path}/contexts")
+    often = (F.col("h") >= 0) | (F.col("h") == BEGIN)
+    sizes = contexts.select("h", "size")
+    full = counted.where(often).join(F.broadcast(sizes.where(often)), "h").unionByName(counted.where(~often).join(sizes.where(~often), "h"))
+    _save(full.select("h", "w", "c", (kept2 / F.col("size")).alias("p")), "h", f"{path}/bigrams")
     release(counted)
     return Model(path, frequent, counts, total, distinct, unknown, d1, scale)
 
