@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import worker_cache
+from weft.llm.common import small_batches, worker_cache
 from weft.plans.runtime import materialize
 
 DICTIONARY = 500_000
@@ -240,7 +240,7 @@ def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id
     Null text counts as empty and has no ids.  Whole texts are encoded, every row alone, repeated rows and null ids
     included; an empty table gives no rows; other columns are not read.
     """
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     known = dictionary(df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), vocab, pattern, dictionary_size).combine_chunks()
     flat, at = _flat(known["ids"].combine_chunks())
     entries = spark.sparkContext.broadcast(known["word"].to_pylist())

@@ -9,6 +9,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Make the session hand Python at most ``BATCH_BYTES`` of rows at a time (it may allow less), so that a worker's memory
+    follows the longest text and not 64 MB of them, copied a few times over."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key)
+    size = int(now[:-1]) if now.endswith("b") and now[:-1].isdigit() else int(now) if now.lstrip("-").isdigit() else -1
+    if not 0 < size <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
@@ -36,6 +50,7 @@ def per_text(df: DataFrame, id_col: str, text_col: str, make, schema: str) -> Da
     """
     from pyspark.sql import functions as F
 
+    small_batches(df)
     names = [part.split()[0] for part in schema.split(",")][1:]
     kind = df.schema[id_col].dataType.simpleString()
     out_schema = f"{schema.split(',')[0].split()[0]} {kind}, " + ",".join(schema.split(",")[1:])
@@ -69,6 +84,7 @@ def per_text(df: DataFrame, id_col: str, text_col: str, make, schema: str) -> Da
 
 def keep_texts(df: DataFrame, text_col: str, make) -> DataFrame:
     """Rows of ``df``, all columns, whose text passes: ``make()`` runs once a task and returns ``f(text) -> bool``.  Nothing is shuffled."""
+    small_batches(df)
     at = [c.lower() for c in df.columns].index(text_col.lower())
 
     def run(batches):

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import small_batches
 from weft.plans.runtime import fresh, materialize
 
 CELLS_PER_KEY = 16
@@ -123,7 +124,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of the group.  A null id loses to any other; where a whole group has null ids, ``keep_id`` is null.  Rows that
     share both id and text share one verdict.  An empty table gives no rows; other columns are not read.
     """
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     keys = materialize(df.select(F.col(id_col).alias("id"), _keys(F.col(text_col)).alias("key")), "keys")
     n_rows = keys.count()
     bitmap, n_cells = repeated_filter(keys.select("key"), max(1, n_rows), max_filter_bits)
@@ -139,7 +140,7 @@ def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 
     Unique rows are not shuffled.  Of rows with equal text and equal id (or only null ids) one stays.
     """
-    spark, key, maybe = df.sparkSession, fresh(df, "_key"), fresh(df, "_maybe")
+    spark, key, maybe = small_batches(df).sparkSession, fresh(df, "_key"), fresh(df, "_maybe")
     keys = materialize(df.select(_keys(F.col(text_col)).alias("key")), "keys")
     bitmap, n_cells = repeated_filter(keys, max(1, keys.count()), max_filter_bits)
     test = _maybe_repeated(spark, bitmap, n_cells)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import utf8
+from weft.llm.common import small_batches, utf8
 from weft.plans.runtime import materialize, new_path, release
 
 FREQUENT_WORDS = 400_000
@@ -123,7 +123,7 @@ def _save(df: DataFrame, key: str, path: str) -> DataFrame:
 
 def train(texts: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Model:
     """Fit on ``texts(text)``; null text counts as empty (its end still counts).  Fails on an empty table."""
-    spark = texts.sparkSession
+    spark = small_batches(texts).sparkSession
     path = new_path(spark, "katz")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     being one where the context was never seen.  Null text counts as empty.  Rows with equal ids are scored as one
     text after the other; a null id is an id.  Other columns are not read.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     bigrams, contexts, unigrams = (model.table(spark, x) for x in ("bigrams", "contexts", "unigrams"))
     per_token = math.log10(model.total + (model.distinct + 1))
     ladder = bigrams.where((F.col("h") >= 0) & (F.col("w") >= 0)).groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).collect()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.llm.common import keep_texts, per_text, worker_cache
+from weft.llm.common import keep_texts, per_text, small_batches, worker_cache
 
 UNKNOWN = "und"
 MAX_N = 3  # three code points of 21 bits fit one 64-bit integer, so n-grams are counted without hashing
@@ -131,6 +131,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int
                 n = np.bincount(back, np.concatenate([c for _, c in parts]), minlength=len(grams)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
+    small_batches(df)
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
     counts = rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")

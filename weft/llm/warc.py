@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm.common import small_batches
 from weft.llm.exact_dedup import MAX_FILTER_BITS, _maybe_repeated, repeated_filter
 from weft.plans.runtime import materialize, new_path
 
@@ -161,7 +162,7 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    made = with_revisits(pages).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    made = with_revisits(small_batches(pages)).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
