@@ -37,7 +37,7 @@ def min_spanning_tree(g: PropertyGraph, cost: Column | None = None, max_rounds:
         picks = both.groupBy("a").agg(F.min(F.struct("w", "edge_id", "b")).alias("m"))
         chosen = materialize(picks.select(F.col("m.edge_id").alias("edge_id"), "a", F.col("m.b").alias("b")), "mst-picks")
         taken.append(chosen.select("edge_id").distinct())
-        merged = star_components(chosen.select("a", "b")).withColumnsRenamed({"node": "component", "component": "into"})
+        merged = star_components(chosen.select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("into"))
         after = labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
         release(edges)
         old, labels = labels, materialize(after, "mst")

@@ -43,7 +43,7 @@ class DisjointSets:
         named = materialize(named, "unions")
         if not named.where("a IS NULL OR b IS NULL").isEmpty():
             raise NodeNotFound("a node is in no set")
-        moved = materialize(star_components(named).withColumnsRenamed({"node": "component", "component": "into"}), "unions")
+        moved = materialize(star_components(named).select(F.col("node").alias("component"), F.col("component").alias("into")), "unions")
         gone = moved.where("into <> component").count()
         self._put(self.labels.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
         release(named, moved)
