@@ -227,7 +227,7 @@ def dominators(g: PropertyGraph, roots: list[int]) -> DataFrame:
     rows = ends.join(reach.withColumnRenamed("node", "src"), "src").select("component", "edge_id", "src", "dst")
     rows = rows.unionByName(reach.select("component", F.lit(None).cast("long").alias("edge_id"), F.col("node").alias("src"), F.lit(None).cast("long").alias("dst")))
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         own = frame.edge_id.isna()
         e = frame[~own].sort_values("edge_id")
         edges = list(zip(e.edge_id.tolist(), e.src.tolist(), e.dst.astype("int64").tolist(), [1.0] * len(e), strict=True))

@@ -147,7 +147,7 @@ def is_isomorphic(g0: PropertyGraph, g1: PropertyGraph, label: Column | None = N
             graphs.append((dict(zip(nodes.node, nodes.colour, strict=True)), {(s, int(d)): m for s, d, m in zip(e.node, e.dst, e.mark, strict=True)}))
         return pd.DataFrame({"same": [_search(*graphs)]})
 
-    return rows.groupBy(F.lit(0)).applyInPandas(run, "same boolean").first().same
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "same boolean").first().same
 
 
 def _search(first, second) -> bool:
@@ -222,7 +222,7 @@ def maximal_cliques(g: PropertyGraph, max_neighbours: int = 100_000) -> DataFram
     own = deg.select(F.col("n").alias("seed"), "n", "d")
     rows = own.unionByName(ball).select("seed", "n", F.col("d"), F.lit(None).cast("long").alias("m")).unionByName(inner.select("seed", F.col("a").alias("n"), F.lit(None).cast("long").alias("d"), F.col("b").alias("m")))
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         seed = int(key[0])
         members = frame[frame.m.isna()]
         if len(members) > max_neighbours:
@@ -246,7 +246,7 @@ def maximal_cliques(g: PropertyGraph, max_neighbours: int = 100_000) -> DataFram
                 todo.append(([*r, n], p & near[n], x & near[n]))
                 p = p - {n}
                 x = x | {n}
-        return pd.DataFrame({"clique": out})
+        return pd.DataFrame({"clique": pd.Series(out, dtype=object)})
 
     alone = g.nodes.join(both.select(F.col("a").alias("id")), "id", "left_anti").select(F.array("id").alias("clique"))
     return rows.groupBy("seed").applyInPandas(run, "clique array<long>").unionByName(alone)
