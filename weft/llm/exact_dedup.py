@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm.common import small_batches
 from weft.plans.runtime import fresh, materialize
@@ -33,7 +34,7 @@ def text_key(text: str | None) -> bytes:
     return hashlib.sha256(b"" if text is None else text.encode("utf-8", "surrogatepass").lower()).digest()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _keys(texts: pd.Series) -> pd.Series:
     return pd.Series([text_key(t) for t in texts], dtype=object)
 

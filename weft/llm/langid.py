@@ -21,13 +21,14 @@ MAX_N = 3  # three code points of 21 bits fit one 64-bit integer, so n-grams are
 PROFILE = 400
 MAX_LANGUAGES = 1000
 _PIECE = 1 << 20
+BORDER = 1  # no letter has this code point
 
 
 def _letters() -> np.ndarray:
-    """For each code point: itself lower-cased if it is a letter or combining mark, 0 otherwise (a word border)."""
+    """For each code point: itself lower-cased if it is a letter or combining mark, 1 otherwise (a word border)."""
     import unicodedata
 
-    out = np.zeros(0x110000, np.int64)
+    out = np.full(0x110000, BORDER, np.int64)
     for cp in range(0x110000):
         kind = unicodedata.category(ch := chr(cp))
         if kind[0] == "L" or (kind[0] == "M" and cp > 0x7F):
@@ -55,16 +56,15 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         lead = min(at, 2)  # the two characters before the piece start its first n-grams
         c = _codes(text[at - lead : at + _PIECE])
         if at == 0:
-            c, lead = np.concatenate(([0], c)), 1
+            c, lead = np.concatenate(([BORDER], c)), 1
         if at + _PIECE >= len(text):
-            c = np.concatenate((c, [0]))
+            c = np.concatenate((c, [BORDER]))
         two, three = (c[:-1] << 21) | c[1:], (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
         a, b, d = c[lead:], two[max(lead - 1, 0) :], three[max(lead - 2, 0) :]
         # a border counts at the ends of an n-gram only, and never alone or twice
-        a = a[a > 0]
-        b = b[(b != 0)]
-        inner = (d >> 21) & 0x1FFFFF
-        d = d[(inner > 0)]
+        a = a[a != BORDER]
+        b = b[b != (BORDER << 21 | BORDER)]
+        d = d[(d >> 21) & 0x1FFFFF != BORDER]
         g, n = np.unique(np.concatenate((a, b, d)), return_counts=True)
         if not len(grams):
             grams, counts = g, n

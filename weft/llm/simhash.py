@@ -155,13 +155,13 @@ def _filed(fps: DataFrame, masks: list[int], longest: int) -> DataFrame:
 def links(fps: DataFrame, longest: int = LONGEST_RUN) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fps(fp)``: enough to connect whatever differs in three bits or fewer.
 
-    ``longest`` (4,096 or more, so that refiled runs always fit) only moves work between the two filings.
+    ``longest`` only moves work between the two filings; refiled runs always fit.
     """
     first = materialize(_filed(fps, block_masks(5, 2), longest), "links")
     hot = first.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     if hot.isEmpty():
         return first
-    again = _filed(hot, block_masks(16, 13), longest)
+    again = _filed(hot, block_masks(16, 13), LONGEST_RUN)
     return first.where("b IS NOT NULL").unionByName(again)
 
 

@@ -17,6 +17,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm.common import small_batches
 from weft.llm.exact_dedup import MAX_FILTER_BITS, _maybe_repeated, repeated_filter
@@ -107,14 +108,14 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: bytes,
             yield _record(b"continuation", own + b":%d" % k, part, [target, (b"WARC-Segment-Origin-ID", b"<" + own + b">"), number, *last])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _payload_key(html):
     import pandas as pd
 
     return pd.Series([hashlib.sha256(b"" if x is None else x.encode("utf-8", "surrogatepass")).digest() for x in html], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _place(url):
     import pandas as pd
 
