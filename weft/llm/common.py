@@ -38,8 +38,25 @@ def worker_cache(name: str) -> dict:
     import sys
     import types
 
-    store = sys.modules.setdefault("_weft_worker_cache", types.ModuleType("_weft_worker_cache"))
-    return store.__dict__.setdefault(name, {})
+    store = sys.modules.setdefault("_weft_worker_cache", types.ModuleType("_weft_worker_cache")).__dict__
+    store.setdefault("touched", set()).add(name)
+    return store.setdefault("caches", {}).setdefault(name, {})
+
+
+def _begin(make):
+    """Set a task up by ``make()``, and drop what tasks of other operators left in this worker."""
+    import sys
+
+    import pyarrow as pa
+
+    worker_cache("")
+    store = sys.modules["_weft_worker_cache"].__dict__
+    store["touched"].clear()
+    f = make()
+    for name in set(store["caches"]) - store["touched"]:
+        del store["caches"][name]
+    pa.default_memory_pool().release_unused()
+    return f
 
 
 def per_text(df: DataFrame, id_col: str, text_col: str, make, schema: str) -> DataFrame:
@@ -59,7 +76,7 @@ def per_text(df: DataFrame, id_col: str, text_col: str, make, schema: str) -> Da
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target, f = to_arrow_schema(parsed), make()
+        target, f = to_arrow_schema(parsed), _begin(make)
         for batch in batches:
             ids, rows, texts = [], [], batch.column(1)
             for i, one in enumerate(batch.column(0).to_pylist()):
@@ -90,7 +107,7 @@ def keep_texts(df: DataFrame, text_col: str, make) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        test = make()
+        test = _begin(make)
         for batch in batches:
             yield batch.filter(pa.array([bool(test(t.as_py())) for t in batch.column(at)], pa.bool_()))
 

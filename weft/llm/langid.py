@@ -154,6 +154,7 @@ def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col:
     shared = df.sparkSession.sparkContext.broadcast(profiles)
 
     def make() -> Callable[[str | None], Iterable[tuple]]:
+        worker_cache("letters")
         return lambda text: [shared.value.nearest(text)]
 
     return per_text(df, id_col, text_col, make, "doc_id long, lang_pred string, score double, margin double")
@@ -164,6 +165,8 @@ def keep_known(df: DataFrame, profiles: Profiles, text_col: str = "text", least_
     shared = df.sparkSession.sparkContext.broadcast(profiles)
 
     def make() -> Callable[[str | None], bool]:
+        worker_cache("letters")
+
         def test(text: str | None) -> bool:
             lang, score, _ = shared.value.nearest(text)
             return lang != UNKNOWN and score >= least_score

@@ -24,7 +24,7 @@ from weft.plans.runtime import materialize
 
 CAPACITY = 2048
 ROWS_PER_BUCKET = 50_000
-WORDS_REMEMBERED = 800_000
+WORDS_REMEMBERED = 600_000
 
 
 def fullest(counts: list[int], capacity: int) -> list[tuple[int, int]]:
