@@ -111,6 +111,12 @@ class Profiles:
         return self.langs[order[0]], 1.0 - best / (self.size * len(mine)), behind
 
 
+def _restored(state: dict) -> Profiles:
+    out = Profiles.__new__(Profiles)
+    vars(out).update(state)
+    return out
+
+
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, max_languages: int = MAX_LANGUAGES) -> Profiles:
     """Profiles from all rows of ``df`` with text and language.
 
@@ -151,24 +157,26 @@ def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col:
     in order.  The whole text counts; every row is judged alone, repeated rows and null ids included; other columns
     are not read.
     """
-    shared = df.sparkSession.sparkContext.broadcast(profiles)
+    shared = df.sparkSession.sparkContext.broadcast(vars(profiles))  # plain arrays: workers need no copy of this package
 
     def make() -> Callable[[str | None], Iterable[tuple]]:
         worker_cache("letters")
-        return lambda text: [shared.value.nearest(text)]
+        own = _restored(shared.value)
+        return lambda text: [own.nearest(text)]
 
     return per_text(df, id_col, text_col, make, "doc_id long, lang_pred string, score double, margin double")
 
 
 def keep_known(df: DataFrame, profiles: Profiles, text_col: str = "text", least_score: float = 0.42) -> DataFrame:
     """Rows of ``df``, all columns, whose text is in one of the languages: neither ``und`` nor further than prose from all."""
-    shared = df.sparkSession.sparkContext.broadcast(profiles)
+    shared = df.sparkSession.sparkContext.broadcast(vars(profiles))  # plain arrays: workers need no copy of this package
 
     def make() -> Callable[[str | None], bool]:
         worker_cache("letters")
+        own = _restored(shared.value)
 
         def test(text: str | None) -> bool:
-            lang, score, _ = shared.value.nearest(text)
+            lang, score, _ = own.nearest(text)
             return lang != UNKNOWN and score >= least_score
 
         return test

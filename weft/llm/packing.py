@@ -111,7 +111,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if not 1 <= row.length <= capacity:
             raise ValueError(f"a piece has length {row.length}")
         counts[row.length] = row.n
-    places = spark.sparkContext.broadcast(Places(plan(counts, capacity)))
+    places = spark.sparkContext.broadcast(vars(Places(plan(counts, capacity))))  # plain arrays: workers need no copy of this package
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = each.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))).drop("_n")
     within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
@@ -119,7 +119,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        sequence, offset = places.value.find(length.to_numpy(np.int64), rank.to_numpy(np.int64))
+        found = Places.__new__(Places)
+        vars(found).update(places.value)
+        sequence, offset = found.find(length.to_numpy(np.int64), rank.to_numpy(np.int64))
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     out = ranked.withColumn("_at", place("length", F.col("_rank") + F.col("_before")))
