@@ -141,6 +141,15 @@ def test_quality(docs, none):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_bands_reject_what_the_base_rule_passes(spark):
+    clean = {n: rich(1, n).split() for n in (150, 300, 600)}
+    junk = {n: w[: n * 4 // 5] + w[: n // 5] for n, w in clean.items()}
+    rows = [(n, " ".join(w)) for n, w in clean.items()] + [(-n, " ".join(w)) for n, w in junk.items()]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 6 and not any(r.base_failed for r in out)
+    assert all(r.kept == (r.doc_id > 0) for r in out)
+
+
 def test_language(spark, docs, none):
     en = "the quick brown fox and the lazy dog went with the others to the river".split()
     fr = "le renard brun et le chien paresseux avec les autres dans la rivière très tôt".split()

@@ -29,15 +29,23 @@ class Bands:
         (0, 0.0, 99.0),
         (64, 0.45, 1.40),
         (128, 0.42, 1.10),
-        (256, 0.40, 0.95),
-        (512, 0.38, 0.85),
-        (1024, 0.36, 0.75),
-        (4096, 0.34, 0.70),
-        (16384, 0.31, 0.66),
-        (65536, 0.27, 0.64),
+        (256, 0.59, 0.74),
+        (384, 0.53, 0.72),
+        (512, 0.51, 0.70),
+        (768, 0.49, 0.64),
+        (1024, 0.47, 0.59),
+        (1536, 0.45, 0.56),
+        (2048, 0.45, 0.54),
+        (3072, 0.44, 0.51),
+        (4096, 0.42, 0.49),
+        (6144, 0.41, 0.47),
+        (8192, 0.41, 0.47),
+        (12288, 0.40, 0.46),
+        (16384, 0.39, 0.44),
+        (32768, 0.37, 0.44),
     )
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (0.33, 0.75)
+    chunk: tuple[float, float] = (0.43, 0.57)
     bad_share: float = 0.25
     level: int = 3
 
