@@ -270,6 +270,25 @@ def test_extract_rows(spark):
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in out) == [("1", "", 0), ("2", "", 0), ("3", "text", 4), ("3", "text", 4), ("None", "é", 1)]
 
 
+def test_boilerplate_over_shards(spark):
+    passage = "read more of our stories in the morning letter"
+    rows = [(i, f"http://{'AB'[i % 2]}/{i}", f"<div>{rich(i, 20)}</div><p>{passage if i in (0, 7, 14, 20, 22, 38) else 'x'}</p>") for i in range(40)]
+    rows += [(40, "http://a/40", f"<article>{passage}</article>"), (41, "http://c/1", passage), (42, "http://c/2", passage), (43, None, None)]
+    rows += rows[30:31]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    hosts = {}
+    for k, (_, url, _) in enumerate(rows):
+        hosts.setdefault(re.sub("^http://(.)/.*", r"\1", (url or "").lower()), []).append(k)
+    want = []
+    for own in hosts.values():
+        texts = html_text.main_texts([html_text.blocks(rows[k][2] or "") for k in own])
+        want += [(str(rows[k][0]), *t) for k, t in zip(own, texts, strict=True)]
+    for size, frequent in ((2, 100), (1024, 100), (3, 0), (3, 1)):
+        out = html_text.extract(table, size, frequent).collect()
+        assert sorted((str(r.page_id), r.text, r.n_repeated) for r in out) == sorted(want)
+    assert {i for i, text, n in want if n} == {"0", "14", "20", "22", "38", "40"}
+
+
 def test_warc(spark, tmp_path):
     long = "é" * 5000 + "\r\n\r\nWARC/1.1\r\n"
     rows = [(5, "http://a/1", "x" * 200), (3, "http://a/2", "x" * 200), (9, None, "short"), (8, "http://b/ c\r\n", "short"), (7, "u", None), (6, "v", long), (6, "v", long), (2, "w", long + "!"), (None, "n", "y" * 150)]
