@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,19 +84,19 @@ def q_externals(spark, sf):
 
 
 @query(f"WITH {v.STRONG} SELECT id AS src, len(list(dst)) AS n, list_sort(list(dst))[1] AS first_dst FROM snodes JOIN strong ON src = id GROUP BY id")
-def q_adjacency_rows(spark, sf):
-    rows = v.strong(spark, sf).adjacency_rows()
+def q_adjacency_rows(spark, sf, view=v.strong):
+    rows = view(spark, sf).adjacency_rows()
     return rows.select(F.col("id").alias("src"), F.size("neighbors").cast("long").alias("n"), F.get("neighbors", 0).alias("first_dst"))
 
 
 @query(f"WITH {v.STRONG} SELECT src AS id, edge_id, lead(edge_id) OVER (PARTITION BY src ORDER BY edge_id DESC) AS next_edge FROM strong")
-def q_edge_iteration(spark, sf):
-    return v.strong(spark, sf).incidence()
+def q_edge_iteration(spark, sf, view=v.strong):
+    return view(spark, sf).incidence()
 
 
 @query(f"WITH {v.STRONG} SELECT src, dst, w FROM strong WHERE src % 2 = 0 AND dst % 2 = 0")
-def q_node_filtered(spark, sf):
-    return v.strong(spark, sf).filter_nodes(F.col("id") % 2 == 0).edges.select("src", "dst", "w")
+def q_node_filtered(spark, sf, view=v.strong):
+    return view(spark, sf).filter_nodes(F.col("id") % 2 == 0).edges.select("src", "dst", "w")
 
 
 @query(f"WITH {v.HANDOFF} SELECT src, dst, w FROM handoff WHERE w >= 2 AND src <> dst")
@@ -104,8 +105,8 @@ def q_edge_filtered(spark, sf):
 
 
 @query(f"WITH {v.STRONG} SELECT dst AS src, src AS dst, w FROM strong")
-def q_reversed(spark, sf):
-    return v.strong(spark, sf).reverse().edges.select("src", "dst", "w")
+def q_reversed(spark, sf, view=v.strong):
+    return view(spark, sf).reverse().edges.select("src", "dst", "w")
 
 
 @query(f"WITH {v.HANDOFF} SELECT src, dst FROM handoff UNION ALL SELECT dst, src FROM handoff")
@@ -114,14 +115,14 @@ def q_undirected_listing(spark, sf):
 
 
 @query(f"WITH {v.STRONG}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM snodes) SELECT x.n AS src, y.n AS dst, row_number() OVER (ORDER BY edge_id) - 1 AS edge_id FROM strong JOIN r x ON src = x.id JOIN r y ON dst = y.id")
-def q_compacted(spark, sf):
-    return v.strong(spark, sf).compact().edges.select("src", "dst", "edge_id")
+def q_compacted(spark, sf, view=v.strong):
+    return view(spark, sf).compact().edges.select("src", "dst", "edge_id")
 
 
 @query(f"WITH {v.STRONG} SELECT src, dst, w * 10 AS weight FROM strong WHERE w > 3 AND src % 3 <> 0 AND dst % 3 <> 0")
-def q_filter_map(spark, sf):
+def q_filter_map(spark, sf, view=v.strong):
     nodes = F.when(F.col("id") % 3 != 0, F.col("id"))
-    return v.strong(spark, sf).filter_map(nodes, F.when(F.col("w") > 3, F.col("w") * 10), compact=False).edges.select("src", "dst", "weight")
+    return view(spark, sf).filter_map(nodes, F.when(F.col("w") > 3, F.col("w") * 10), compact=False).edges.select("src", "dst", "weight")
 
 
 @query(f"WITH {v.HANDOFF} SELECT src, dst, CASE WHEN src % 2 = 0 THEN w + 100 ELSE w END AS w FROM handoff")
@@ -132,8 +133,8 @@ def q_update_edges(spark, sf):
 
 
 @query(f"WITH {v.STRONG} SELECT id FROM snodes WHERE id <> (SELECT min(id) FROM snodes)")
-def q_remove_node(spark, sf):
-    g = v.strong(spark, sf)
+def q_remove_node(spark, sf, view=v.strong):
+    g = view(spark, sf)
     return g.remove_nodes(first_node(g)).nodes.select("id")
 
 
@@ -170,13 +171,13 @@ def q_topological_levels(spark, sf):
 
 
 @query(f"WITH RECURSIVE {v.STRONG}, dag AS (SELECT src, dst FROM strong WHERE src < dst), r(node, level) AS (SELECT id, 0 FROM snodes WHERE id NOT IN (SELECT dst FROM dag) UNION SELECT e.dst, r.level + 1 FROM r JOIN dag e ON e.src = r.node) SELECT node, max(level) AS level, row_number() OVER (ORDER BY max(level), node) - 1 AS position FROM r GROUP BY node")
-def q_toposort(spark, sf):
-    return traverse.toposort(v.strong_dag(spark, sf)).select("node", "level", "position")
+def q_toposort(spark, sf, view=v.strong_dag):
+    return traverse.toposort(view(spark, sf)).select("node", "level", "position")
 
 
 @query(f"WITH RECURSIVE {v.STRONG}, c(a, b) AS (SELECT src, dst FROM strong UNION SELECT c.a, e.dst FROM c JOIN strong e ON e.src = c.b) SELECT count(*) > 0 AS cyclic FROM c WHERE a = b")
-def q_is_cyclic_directed(spark, sf):
-    return one(spark, cyclic=traverse.is_cyclic_directed(v.strong(spark, sf)))
+def q_is_cyclic_directed(spark, sf, view=v.strong):
+    return one(spark, cyclic=traverse.is_cyclic_directed(view(spark, sf)))
 
 
 @query(f"WITH RECURSIVE {v.TOP}, c(a, b) AS (SELECT id, id FROM hnodes UNION SELECT c.a, e.dst FROM c JOIN tboth e ON e.src = c.b) SELECT (SELECT count(*) FROM top_next) > (SELECT count(*) - count(DISTINCT m) FROM (SELECT a, min(b) AS m FROM c GROUP BY a)) AS cyclic")
@@ -197,14 +198,14 @@ def q_dfs_preorder(spark, sf):
 
 
 @query()
-def q_dfs_postorder(spark, sf):
-    g = v.strong(spark, sf)
+def q_dfs_postorder(spark, sf, view=v.strong):
+    g = view(spark, sf)
     return kernels.dfs_postorder(g, first_node(g))
 
 
 @query(f"WITH RECURSIVE {v.STRONG}, r(node) AS (SELECT min(id) FROM snodes UNION SELECT e.dst FROM r JOIN strong e ON e.src = r.node), k AS (SELECT count(*) AS n FROM r), m AS (SELECT count(*) AS n FROM strong WHERE src IN (SELECT node FROM r)) SELECT 'discover' AS event, (SELECT n FROM k) AS n UNION ALL SELECT 'finish', (SELECT n FROM k) UNION ALL SELECT 'edge', (SELECT n FROM m)")
-def q_dfs_events(spark, sf):
-    g = v.strong(spark, sf)
+def q_dfs_events(spark, sf, view=v.strong):
+    g = view(spark, sf)
     e = kernels.dfs_events(g, [first_node(g)])
     kind = F.when(F.col("event").isin("discover", "finish"), F.col("event")).otherwise("edge")
     return e.groupBy(kind.alias("event")).agg(F.count(F.lit(1)).alias("n"))
@@ -219,39 +220,39 @@ def q_connected_components(spark, sf):
 
 
 @query(f"WITH RECURSIVE {v.STRONG}, c(a, b) AS (SELECT id, id FROM snodes UNION SELECT c.a, e.dst FROM c JOIN sboth e ON e.src = c.b) SELECT count(DISTINCT m) AS n FROM (SELECT a, min(b) AS m FROM c GROUP BY a)")
-def q_component_count(spark, sf):
-    return components.connected_components(v.strong(spark, sf)).agg(F.countDistinct("component").alias("n"))
+def q_component_count(spark, sf, view=v.strong):
+    return components.connected_components(view(spark, sf)).agg(F.countDistinct("component").alias("n"))
 
 
 _REACH = f"{v.STRONG}, c(a, b) AS (SELECT id, id FROM snodes UNION SELECT c.a, e.dst FROM c JOIN strong e ON e.src = c.b), l AS (SELECT x.a AS node, min(x.b) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
 
 
 @query(f"WITH RECURSIVE {_REACH} SELECT node, component FROM l")
-def q_scc(spark, sf):
-    return components.scc(v.strong(spark, sf))
+def q_scc(spark, sf, view=v.strong):
+    return components.scc(view(spark, sf))
 
 
 @query(f"WITH RECURSIVE {_REACH} SELECT x.component AS src, y.component AS dst, arg_max(w, edge_id) AS w FROM strong JOIN l x ON src = x.node JOIN l y ON dst = y.node WHERE x.component <> y.component GROUP BY 1, 2")
-def q_condensation(spark, sf):
-    return components.condensation(v.strong(spark, sf)).edges.select("src", "dst", "w")
+def q_condensation(spark, sf, view=v.strong):
+    return components.condensation(view(spark, sf)).edges.select("src", "dst", "w")
 
 
 @query(f"WITH RECURSIVE {_REACH} SELECT component, count(*) AS size FROM l GROUP BY component")
-def q_scc_ordered(spark, sf):
-    return components.scc_ordered(v.strong(spark, sf)).select("component", F.size("members").cast("long").alias("size"))
+def q_scc_ordered(spark, sf, view=v.strong):
+    return components.scc_ordered(view(spark, sf)).select("component", F.size("members").cast("long").alias("size"))
 
 
 _SPLIT = "SELECT e.edge_id FROM ends e LEFT JOIN r ON r.edge_id = e.edge_id AND r.node = e.dst WHERE r.node IS NULL"
 
 
 @query(f"WITH RECURSIVE {v.STRONG}, ends AS (SELECT * FROM strong), r(edge_id, node) AS (SELECT edge_id, src FROM strong UNION SELECT r.edge_id, CASE WHEN e.src = r.node THEN e.dst ELSE e.src END FROM r JOIN strong e ON (e.src = r.node OR e.dst = r.node) AND e.edge_id <> r.edge_id) {_SPLIT}")
-def q_bridges(spark, sf):
-    return kernels.bridges(v.strong(spark, sf).into_edge_type(False)).select("edge_id")
+def q_bridges(spark, sf, view=v.strong):
+    return kernels.bridges(view(spark, sf).into_edge_type(False)).select("edge_id")
 
 
 @query(f"WITH RECURSIVE {v.STRONG}, pairs AS (SELECT DISTINCT x.id AS cut, e.src AS a FROM snodes x JOIN sboth e ON e.dst = x.id AND e.src <> x.id), r(cut, node) AS (SELECT cut, min(a) FROM pairs GROUP BY cut UNION SELECT r.cut, e.dst FROM r JOIN sboth e ON e.src = r.node AND e.dst <> r.cut) SELECT DISTINCT p.cut AS node FROM pairs p LEFT JOIN r ON r.cut = p.cut AND r.node = p.a WHERE r.node IS NULL")
-def q_articulation_points(spark, sf):
-    return kernels.articulation_points(v.strong(spark, sf).into_edge_type(False))
+def q_articulation_points(spark, sf, view=v.strong):
+    return kernels.articulation_points(view(spark, sf).into_edge_type(False))
 
 
 _DOM = f"""{v.STRONG}, root AS (SELECT min(src) AS id FROM strong),
@@ -262,14 +263,14 @@ deep AS (SELECT n.node, count(dom.d) AS k FROM reach n LEFT JOIN dom ON dom.node
 
 
 @query(f"WITH RECURSIVE {_DOM} SELECT reach.node, arg_max(dom.d, deep.k) AS idom FROM reach LEFT JOIN dom ON dom.node = reach.node LEFT JOIN deep ON deep.node = dom.d GROUP BY reach.node")
-def q_dominators(spark, sf):
-    g = v.strong(spark, sf)
+def q_dominators(spark, sf, view=v.strong):
+    g = view(spark, sf)
     return kernels.dominators(g, [g.edges.agg(F.min("src")).first()[0]]).select("node", "idom")
 
 
 @query(f"WITH RECURSIVE {_DOM} SELECT node, d AS dominator FROM dom")
-def q_strict_dominators(spark, sf):
-    g = v.strong(spark, sf)
+def q_strict_dominators(spark, sf, view=v.strong):
+    g = view(spark, sf)
     return kernels.strict_dominators(materialize(kernels.dominators(g, [g.edges.agg(F.min("src")).first()[0]]))).select("node", "dominator")
 
 
@@ -318,8 +319,8 @@ def q_johnson(spark, sf):
 
 
 @query(f"WITH RECURSIVE {v.STRONG}, c(a, b) AS (SELECT id, id FROM snodes UNION SELECT c.a, e.dst FROM c JOIN strong e ON e.src = c.b) SELECT count(*) AS n_pairs, count(*) FILTER (WHERE c.b IS NOT NULL) AS n_reached FROM snodes x CROSS JOIN snodes y LEFT JOIN c ON c.a = x.id AND c.b = y.id")
-def q_floyd_warshall_dense(spark, sf):
-    out = paths.floyd_warshall(v.strong(spark, sf), F.col("w"), dense=True)
+def q_floyd_warshall_dense(spark, sf, view=v.strong):
+    out = paths.floyd_warshall(view(spark, sf), F.col("w"), dense=True)
     return out.agg(F.count(F.lit(1)).alias("n_pairs"), F.count("cost").alias("n_reached"))
 
 
@@ -366,13 +367,13 @@ mst AS (SELECT e.edge_id, e.src, e.dst, e.w FROM es e LEFT JOIN r ON r.edge_id =
 
 
 @query(f"WITH RECURSIVE {_MST} SELECT edge_id, src, dst, w FROM mst")
-def q_min_spanning_tree(spark, sf):
-    return spanning.min_spanning_tree(v.strong(spark, sf), F.col("w")).select("edge_id", "src", "dst", "w")
+def q_min_spanning_tree(spark, sf, view=v.strong):
+    return spanning.min_spanning_tree(view(spark, sf), F.col("w")).select("edge_id", "src", "dst", "w")
 
 
 @query(f"WITH RECURSIVE {_MST}, p(node) AS (SELECT min(id) FROM snodes UNION SELECT b.dst FROM p JOIN sboth b ON b.src = p.node) SELECT edge_id FROM mst WHERE src IN (SELECT node FROM p)")
-def q_min_spanning_tree_prim(spark, sf):
-    return spanning.min_spanning_tree_prim(v.strong(spark, sf), F.col("w")).select("edge_id")
+def q_min_spanning_tree_prim(spark, sf, view=v.strong):
+    return spanning.min_spanning_tree_prim(view(spark, sf), F.col("w")).select("edge_id")
 
 
 @query("SELECT true AS is_tree, true AS spans")
@@ -394,13 +395,13 @@ _DAG = f"{v.STRONG}, dag AS (SELECT src, dst FROM strong WHERE src < dst), c(src
 
 
 @query(f"WITH RECURSIVE {_DAG} SELECT src, dst FROM dag d WHERE NOT EXISTS (SELECT 1 FROM dag e JOIN c ON c.src = e.dst WHERE e.src = d.src AND c.dst = d.dst)")
-def q_transitive_reduction(spark, sf):
-    return spanning.transitive_reduction_closure(v.strong_dag(spark, sf))[0]
+def q_transitive_reduction(spark, sf, view=v.strong_dag):
+    return spanning.transitive_reduction_closure(view(spark, sf))[0]
 
 
 @query(f"WITH RECURSIVE {v.STRONG}, dag AS (SELECT src, dst FROM strong WHERE src < dst), r(node, level) AS (SELECT id, 0 FROM snodes WHERE id NOT IN (SELECT dst FROM dag) UNION SELECT e.dst, r.level + 1 FROM r JOIN dag e ON e.src = r.node), p AS (SELECT node, row_number() OVER (ORDER BY max(level), node) - 1 AS position FROM r GROUP BY node) SELECT x.position AS src, y.position AS dst FROM dag JOIN p x ON x.node = src JOIN p y ON y.node = dst")
-def q_toposorted_adjacency(spark, sf):
-    return spanning.toposorted_adjacency(v.strong_dag(spark, sf))[0]
+def q_toposorted_adjacency(spark, sf, view=v.strong_dag):
+    return spanning.toposorted_adjacency(view(spark, sf))[0]
 
 
 # -- ranking --------------------------------------------------------------------------------------------------------
@@ -422,8 +423,8 @@ def q_page_rank(spark, sf):
 
 
 @query("SELECT true AS sums_to_one")
-def q_page_rank_tolerance(spark, sf):
-    out = rank.page_rank(v.strong(spark, sf), 0.6, 30, 1e-6)
+def q_page_rank_tolerance(spark, sf, view=v.strong):
+    out = rank.page_rank(view(spark, sf), 0.6, 30, 1e-6)
     return out.agg((F.abs(F.sum("rank") - 1) < 1e-9).alias("sums_to_one"))
 
 
@@ -440,8 +441,8 @@ def q_greedy_matching(spark, sf):
 
 
 @query("SELECT true AS valid, true AS no_smaller_than_greedy")
-def q_maximum_matching(spark, sf):
-    g = v.strong(spark, sf).into_edge_type(False)
+def q_maximum_matching(spark, sf, view=v.strong):
+    g = view(spark, sf).into_edge_type(False)
     m = materialize(kernels.maximum_matching(g))
     nodes = matching.matched_nodes(m)
     return one(spark, valid=nodes.count() == nodes.distinct().count(), no_smaller_than_greedy=m.count() >= matching.greedy_matching(g).count())
@@ -459,16 +460,16 @@ def q_max_flow(spark, sf):
 
 
 @query("SELECT true AS proper, true AS complete")
-def q_dsatur_coloring(spark, sf):
-    g = v.strong(spark, sf).filter_edges(F.col("src") != F.col("dst")).into_edge_type(False)
+def q_dsatur_coloring(spark, sf, view=v.strong):
+    g = view(spark, sf).filter_edges(F.col("src") != F.col("dst")).into_edge_type(False)
     c = materialize(kernels.dsatur_coloring(g))
     same = g.edges.join(c.withColumnsRenamed({"node": "src", "color": "a"}), "src").join(c.withColumnsRenamed({"node": "dst", "color": "b"}), "dst").where("a = b")
     return one(spark, proper=same.isEmpty(), complete=c.count() == g.node_count())
 
 
 @query("SELECT true AS leaves_dag")
-def q_feedback_arc_set(spark, sf):
-    g = v.strong(spark, sf)
+def q_feedback_arc_set(spark, sf, view=v.strong):
+    g = view(spark, sf)
     gone = kernels.greedy_feedback_arc_set(g).select("edge_id")
     rest = PropertyGraph(g.nodes, materialize(g.edges.join(gone, "edge_id", "left_anti").select(g.edges.columns)))
     return one(spark, leaves_dag=not traverse.is_cyclic_directed(rest))
@@ -486,13 +487,13 @@ _E = "EXISTS (SELECT 1 FROM strong q WHERE q.src = {0} AND q.dst = {1})"
 
 
 @query(f"WITH {v.STRONG} SELECT x.src AS n0, x.dst AS n1, y.dst AS n2 FROM strong x JOIN strong y ON y.src = x.dst WHERE x.src <> x.dst AND y.src <> y.dst AND x.src <> y.dst AND NOT {_E.format('x.dst', 'x.src')} AND NOT {_E.format('y.dst', 'y.src')} AND NOT {_E.format('x.src', 'y.dst')} AND NOT {_E.format('y.dst', 'x.src')} AND NOT {_E.format('x.src', 'x.src')} AND NOT {_E.format('x.dst', 'x.dst')} AND NOT {_E.format('y.dst', 'y.dst')}")
-def q_subgraph_isomorphisms(spark, sf):
-    return pattern.subgraph_isomorphisms([(0, 1), (1, 2)], v.strong(spark, sf))
+def q_subgraph_isomorphisms(spark, sf, view=v.strong):
+    return pattern.subgraph_isomorphisms([(0, 1), (1, 2)], view(spark, sf))
 
 
 @query(f"WITH {v.STRONG} SELECT x.src AS n0, x.dst AS n1 FROM strong x WHERE x.src <> x.dst AND x.w >= 4 AND x.src % 2 = 0")
-def q_subgraph_matching(spark, sf):
-    return pattern.subgraph_isomorphisms([(0, 1)], v.strong(spark, sf), node_match=lambda i: F.col("id") % 2 == 0 if i == 0 else None, edge_match=lambda e: F.col("w") >= 4, induced=False)
+def q_subgraph_matching(spark, sf, view=v.strong):
+    return pattern.subgraph_isomorphisms([(0, 1)], view(spark, sf), node_match=lambda i: F.col("id") % 2 == 0 if i == 0 else None, edge_match=lambda e: F.col("w") >= 4, induced=False)
 
 
 @query("SELECT true AS renamed, false AS reversed_heavier")
@@ -504,13 +505,13 @@ def q_is_isomorphic(spark, sf):
 
 
 @query(f"WITH RECURSIVE {v.STRONG}, u AS (SELECT DISTINCT src, dst FROM sboth WHERE src <> dst), c(k, top) AS (SELECT [id], id FROM snodes UNION ALL SELECT list_append(c.k, u.dst), u.dst FROM c JOIN u ON u.src = c.top AND u.dst > c.top WHERE len(list_filter(c.k, lambda x: x <> c.top)) = (SELECT count(*) FROM u z WHERE z.dst = u.dst AND list_contains(c.k, z.src) AND z.src <> c.top)) SELECT array_to_string(k, ',') AS clique FROM c WHERE NOT EXISTS (SELECT 1 FROM u z WHERE list_contains(c.k, z.src) AND NOT list_contains(c.k, z.dst) GROUP BY z.dst HAVING count(*) = len(c.k))")
-def q_maximal_cliques(spark, sf):
-    return pattern.maximal_cliques(v.strong(spark, sf)).select(F.array_join(F.col("clique").cast("array<string>"), ",").alias("clique"))
+def q_maximal_cliques(spark, sf, view=v.strong):
+    return pattern.maximal_cliques(view(spark, sf)).select(F.array_join(F.col("clique").cast("array<string>"), ",").alias("clique"))
 
 
 @query(f"WITH {v.STRONG} SELECT a.id AS src, b.id AS dst FROM snodes a JOIN snodes b ON a.id <> b.id WHERE NOT EXISTS (SELECT 1 FROM strong e WHERE e.src = a.id AND e.dst = b.id)")
-def q_complement(spark, sf):
-    return pattern.complement(v.strong(spark, sf)).edges.select("src", "dst")
+def q_complement(spark, sf, view=v.strong):
+    return pattern.complement(view(spark, sf)).edges.select("src", "dst")
 
 
 # -- formats, generators, growth ------------------------------------------------------------------------------------
@@ -536,8 +537,8 @@ def q_graph6_round_trip(spark, sf):
 
 
 @query(f"WITH {v.STRONG} SELECT src, dst, w AS weight FROM strong")
-def q_json_round_trip(spark, sf):
-    g = v.strong(spark, sf)
+def q_json_round_trip(spark, sf, view=v.strong):
+    g = view(spark, sf)
     g = PropertyGraph(g.nodes, g.edges.withColumnRenamed("w", "weight"))
     return files.from_json(spark, files.to_json(g)).edges.select("src", "dst", "weight")
 
@@ -563,9 +564,28 @@ def q_incremental_components(spark, sf):
 
 
 @query(ORACLES["toposort"].replace("SELECT node, max(level) AS level, row", "SELECT node, row"))
-def q_growing_dag(spark, sf):
-    g = v.strong_dag(spark, sf)
+def q_growing_dag(spark, sf, view=v.strong_dag):
+    g = view(spark, sf)
     dag = DagTable(g.clear_edges())
     for k in (0, 1):
         dag.sink(g.edges.where(F.col("src") % 2 == k), k)
     return traverse.toposort(dag.graph).select("node", "position")
+
+
+# -- the same operators over whole tables -----------------------------------------------------------------------------
+
+# ``strong`` keeps the recursive SQL above cheap, but it empties as tables grow; these read every hand-off, or each user's top
+# successor.  Where the SQL is not recursive it is kept with the filter left out.
+WHOLE = {
+    v.linked: (
+        "adjacency_rows edge_iteration node_filtered reversed compacted remove_node json_round_trip is_cyclic_directed dfs_postorder dfs_events "
+        "component_count scc condensation scc_ordered dominators strict_dominators min_spanning_tree page_rank_tolerance dsatur_coloring subgraph_matching"
+    ),
+    v.top_next: "bridges articulation_points",
+}
+
+for _view, _names in WHOLE.items():
+    for _name in _names.split():
+        QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], view=_view)
+        if _view is v.linked and "RECURSIVE" not in ORACLES.get(_name, "RECURSIVE"):
+            ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(v.STRONG, v.LINKED)

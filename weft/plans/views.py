@@ -51,6 +51,11 @@ def strong(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph.from_edges(edges, True, fill=False)
 
 
+def linked(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """All hand-offs, on the users they link."""
+    return PropertyGraph.from_edges(handoff(spark, sf_dir).edges, True, fill=False)
+
+
 def strong_dag(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return strong(spark, sf_dir).filter_edges(F.col("src") < F.col("dst"))
 
@@ -97,6 +102,7 @@ STRONG = HANDOFF + """,
 strong AS (SELECT src * 2147483648 + dst AS edge_id, src, dst, w FROM handoff WHERE w >= 3),
 snodes AS (SELECT src AS id FROM strong UNION SELECT dst FROM strong),
 sboth AS (SELECT src, dst FROM strong UNION SELECT dst, src FROM strong)"""
+LINKED = STRONG.replace(" WHERE w >= 3", "")
 TOP = HANDOFF + """,
 top_next AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM handoff WHERE src <> dst) WHERE r = 1),
 tboth AS (SELECT src, dst FROM top_next UNION SELECT dst, src FROM top_next)"""
