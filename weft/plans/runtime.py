@@ -10,7 +10,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 _ROOT = f"weft-{uuid.uuid4().hex[:12]}"
 _LOCAL: list[tempfile.TemporaryDirectory] = []
@@ -35,11 +35,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_once(writer: DataFrameWriter, path: str) -> None:
+    """Write Parquet and drop the shuffle files of this one execution when it has ended; nothing else ever reads them."""
+    conf = writer._spark.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back, with its path in ``_weft_path``."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    write_once(df.write, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out
