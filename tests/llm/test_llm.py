@@ -325,38 +325,95 @@ def test_rollup(spark, tmp_path, monkeypatch):
         state.apply("bad", spark.createDataFrame([("a", "en", "v1", "upsert", 1, None, 0)], schema))
 
 
-def test_katz(spark, docs):
-    train = [t for _, t, *_ in corpus()][3:9] + [None]
-    rows = spark.createDataFrame([(t,) for t in train], "text string")
-    model = katz.train(rows, frequent_words=6)
-    out = {(str(r.doc_id)): r for r in katz.score(docs.where("doc_id <> 3"), model, frequent_pairs=5).collect()}
-    seqs = [[*words(lower(t)), "</s>"] for t in train]
-    uni, bi = Counter(w for s in seqs for w in s), Counter(p for s in seqs for p in zip(["<s>", *s], s, strict=False))
-    total = sum(uni.values())
-    d1, d2 = (katz.discounts(Counter(c.values())) for c in (uni, bi))
-    cut = lambda c, d: c * d[c - 1] if c <= len(d) else c
-    p1 = {w: cut(c, d1) / total for w, c in uni.items()}
-    unknown = 1 - sum(p1.values())
-    size, kept, low = Counter(), Counter(), Counter()
-    for (h, w), c in bi.items():
-        size[h] += c
-        kept[h] += cut(c, d2)
-        low[h] += p1[w]
-    for h in size:
-        size[h] += kept[h] >= size[h] - 1e-9
-    alpha = {h: (1 - kept[h] / size[h]) / (1 - low[h]) for h in size}
+def brute_katz(train, order):
+    """p(h, w) of a Katz model of the token lists ``train``, and its counts of words."""
+    counts = {k: Counter() for k in range(1, order + 1)}
+    for s in train:
+        padded = ["<s>"] * (order - 1) + s
+        for i in range(order - 1, len(padded)):
+            for k in counts:
+                counts[k][tuple(padded[i - k + 1 : i + 1])] += 1
+    total = sum(counts[1].values())
+    cut = {k: (lambda c, d=katz.discounts(Counter(counts[k].values())): c * d[c - 1] if c <= len(d) else c) for k in counts}
+    unknown = 1 - sum(cut[1](c) for c in counts[1].values()) / total
+    size, alpha = {}, {}
 
     def p(h, w):
-        return cut(bi[h, w], d2) / size[h] if (h, w) in bi else alpha.get(h, 1) * p1.get(w, unknown)
-
-    for h in ["<s>", "nowhere", *uni]:
-        assert sum(p(h, w) for w in [*uni, "never seen"]) == pytest.approx(1, abs=1e-9)
-    for i, t, *_ in corpus():
-        if i not in (3, None):
+        if not h:
+            return cut[1](counts[1][(w,)]) / total if (w,) in counts[1] else unknown
+        if (*h, w) in counts[len(h) + 1]:
+            return cut[len(h) + 1](counts[len(h) + 1][(*h, w)]) / size[h]
+        return alpha.get(h, 1) * p(h[1:], w)
+
+    for k in range(2, order + 1):
+        after = {}
+        for g, c in counts[k].items():
+            after.setdefault(g[:-1], []).append((g[-1], c))
+        for h, seen in after.items():
+            kept = sum(cut[k](c) for _, c in seen)
+            size[h] = sum(c for _, c in seen)
+            size[h] += kept >= size[h] - 1e-9
+            alpha[h] = (1 - kept / size[h]) / (1 - sum(p(h[1:], w) for w, _ in seen))
+    return p, counts[1], total
+
+
+def test_katz(spark, docs, none, monkeypatch):
+    train = [t for _, t, *_ in corpus()][3:9] + [None]
+    rows = spark.createDataFrame([(t,) for t in train], "text string").repartition(2)
+    seqs = [[*words(lower(t)), "</s>"] for t in train]
+    monkeypatch.setattr(katz, "TOKENS_PER_BUCKET", 300)
+    monkeypatch.setattr(katz, "TOKENS_AT_ONCE", 200)
+    for order, hot, frequent in ((3, 2, 6), (2, 5, 0), (4, None, 400)):
+        p, uni, total = brute_katz(seqs, order)
+        vocabulary = [w for (w,) in uni]
+        for h in [(), ("<s>",) * (order - 1), ("nowhere",) * (order - 1), *[tuple(["<s>", *s][i : i + order - 1]) for s in seqs[:2] for i in range(len(s) - order)]]:
+            assert sum(p(h[: order - 1], w) for w in [*vocabulary, "never seen"]) == pytest.approx(1, abs=1e-9)
+        model = katz.train(rows, order=order, frequent_words=frequent, hot_tokens=hot)
+        assert (model.total, model.distinct) == (total, len(uni)) and model.buckets > 5
+        assert hot is None or model.hot[order].shape[1] > 0  # some contexts are spread
+        got = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 7), round(r.score, 7)) for r in katz.score(docs, model).collect())
+        want = []
+        for i, t, *_ in corpus():
             s = [*words(lower(t)), "</s>"]
-            assert out[str(i)].score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *s], s, strict=False)), abs=1e-8)
-            assert out[str(i)].n_tokens == len(s) and out[str(i)].n_known == sum(w in uni for w in s)
-            assert out[str(i)].base_score == pytest.approx(sum(math.log10((uni[w] + 1) / (total + len(uni) + 1)) for w in s), abs=1e-8)
+            padded = ["<s>"] * (order - 1) + s
+            score = sum(math.log10(p(tuple(padded[k : k + order - 1]), w)) for k, w in enumerate(s))
+            base = sum(math.log10((uni[w,] + 1) / (total + len(uni) + 1)) for w in s)
+            want.append((str(i), len(s), sum((w,) in uni for w in s), round(base, 7), round(score, 7)))
+        assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
+        for x, y in zip(got, sorted(want), strict=True):
+            assert x[3:] == pytest.approx(y[3:], abs=1e-6)
+        assert katz.score(none, model).count() == 0
+    empty = katz.train(none)
+    assert [(r.n_tokens, r.n_known, r.score) for r in katz.score(docs.where("doc_id = 4"), empty).collect()] == [(121, 0, 0.0)]
+
+
+def test_katz_finds_rows_of_equal_hash(monkeypatch):
+    monkeypatch.setattr(katz, "mixed", lambda ids: ids[0].astype(np.uint64) % np.uint64(3))
+    ids = np.array([[5, 2, 8, 9], [1, 1, 7, 7]])
+    assert katz.Index(ids).find(np.array([[8, 5, 5, 3], [7, 1, 7, 0]])).tolist() == [2, 0, -1, -1]
+    assert (katz.unpacked(katz.packed(ids), 2) == ids).all()
+
+
+def test_katz_query(spark, tmp_path):
+    from weft.llm.queries import QUERIES
+
+    texts = [rich(k, 40) for k in range(12)] + [None, "", rich(1, 40)]
+    rows = [(k if k < 14 else 1, t, 1, "x") for k, t in enumerate(texts)] + [(None, rich(2, 40), 1, "x")]
+    schema = "doc_id long, text string, score int, `key` string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    out = QUERIES["op9_katz_backoff"](spark, str(tmp_path / "a")).collect()
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(14)}
+    train = [[*words(lower(t)), "</s>"] for i, t, *_ in rows if not held.get(i, False)]
+    p, uni, total = brute_katz(train, 3)
+    want = []
+    for i, t, *_ in rows:
+        s = ["<s>", "<s>", *words(lower(t)), "</s>"]
+        want.append((str(i), held.get(i, False), len(s) - 2, total, sum(math.log10(p(tuple(s[k - 2 : k]), s[k])) for k in range(2, len(s)))))
+    assert len(out) == len(rows) and any(held.values())
+    for r, w in zip(sorted(out, key=lambda r: (str(r.doc_id), r.score)), sorted(want, key=lambda w: (w[0], w[-1])), strict=True):
+        assert (str(r.doc_id), r.held_out, r.n_tokens, r.train_tokens) == w[:4] and r.score == pytest.approx(w[4], abs=1e-6)
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert QUERIES["op9_katz_backoff"](spark, str(tmp_path / "b")).count() == 0
 
 
 def test_pipeline(spark, tmp_path):

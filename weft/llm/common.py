@@ -43,7 +43,7 @@ def worker_cache(name: str) -> dict:
     return store.setdefault("caches", {}).setdefault(name, {})
 
 
-def _begin(make):
+def begin_task(make):
     """Set a task up by ``make()``, and drop what tasks of other operators left in this worker."""
     import sys
 
@@ -76,7 +76,7 @@ def per_text(df: DataFrame, id_col: str, text_col: str, make, schema: str) -> Da
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target, f = to_arrow_schema(parsed), _begin(make)
+        target, f = to_arrow_schema(parsed), begin_task(make)
         for batch in batches:
             ids, rows, texts = [], [], batch.column(1)
             for i, one in enumerate(batch.column(0).to_pylist()):
@@ -107,7 +107,7 @@ def keep_texts(df: DataFrame, text_col: str, make) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        test = _begin(make)
+        test = begin_task(make)
         for batch in batches:
             yield batch.filter(pa.array([bool(test(t.as_py())) for t in batch.column(at)], pa.bool_()))
 

@@ -1,37 +1,46 @@
-"""Katz backoff language model over words.
-
-Tables of the model, each below one folder and partitioned by a hash of its first key: ``unigrams(id, c)``,
-``bigrams(h, w, c, p)`` with the discounted probability p, and ``contexts(h, alpha)`` with the backoff weight that
-makes every context sum to exactly one.  Counts up to five are discounted by Good-Turing; the unigram level keeps what
-its discount frees for one class of unknown words.
-
-Words are numbers: the most frequent ones (a fixed number, broadcast) by rank, all others by a 63-bit hash below zero.
-Counts are summed within a batch of texts before they are shuffled, and the most frequent pairs (again a fixed number)
-are scored where the text is read, so the commonest words and pairs never meet in one task.
+"""Katz backoff language model over words, of any order (three by default).
+
+The model of order n has one level of n-grams for each k from 1 to n.  Counts up to five are discounted by Good-Turing;
+P(w | h) is the discounted count of (h, w) over the size of h where (h, w) was seen, else alpha(h) P(w | h without its
+first word), and one level below the words the mass left for unknown ones.  alpha makes every context sum to exactly
+one: the share that h has left, over what the level below gives to the words not seen after h.
+
+Words are numbers: the most frequent ones (a fixed number, broadcast) by rank, all others by a 63-bit hash below zero, so
+that two rare words of equal hash would count as one.  n-grams are dealt to buckets by their context, so a bucket holds
+whole contexts; contexts with a large share of all tokens (their number is bounded, so they are broadcast) are dealt by
+the whole n-gram instead and their sums are added up afterwards.  What is shuffled are blocks: the distinct n-grams of
+half a million tokens that fall in one bucket, as sorted columns, compressed.  Tables of the model, partitioned by
+bucket: ``grams/order=k`` (n-grams and counts) and ``contexts/order=k`` (contexts with size and alpha).
+
+Scoring asks level by level: tokens whose n-gram the level has are done, the others take the context's alpha along to
+the level below.  Every bucket answers the blocks sent to it, and answers go back to the batch of texts that asked.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import small_batches, utf8
-from weft.plans.runtime import materialize, new_path, release
+from weft.llm.common import begin_task, small_batches, utf8, worker_cache
+from weft.plans.runtime import materialize, new_path, release, write_once
 
+ORDER = 3
 FREQUENT_WORDS = 400_000
-FREQUENT_PAIRS = 500_000
 DISCOUNTED = 5
-BEGIN, END = -1, -2  # no word has these numbers: hashes below zero have their lowest bits free of them
-_RARE, _SUM = -3, -4
 PARTS = 8
-TOKENS_AT_ONCE = 1 << 20
+TOKENS_AT_ONCE = 1 << 19
+TOKENS_PER_BUCKET = 1 << 20
+HOT_SHARE = 1 / 100_000  # of all tokens: at most 100,000 contexts of a level have more
+LEAST_HOT = 1 << 17
+
+_GRAMS, _CONTEXTS, _ASKED = 0, 1, 2
 
 
 def discounts(counts_of_counts: dict[int, int], top: int = DISCOUNTED) -> list[float]:
@@ -59,242 +68,634 @@ def discounts(counts_of_counts: dict[int, int], top: int = DISCOUNTED) -> list[f
     return [0.5] + [1.0] * (top - 1)
 
 
-def discounted(c: Column, d: list[float]) -> Column:
-    """Count times its factor."""
-    out = c.cast("double")
-    for r, factor in enumerate(d, 1):
-        out = F.when(c == r, factor * r).otherwise(out)
-    return out
+def discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
+    """Counts times their factors."""
+    factors = np.array([1.0, *d, 1.0])
+    return counts * factors[np.minimum(counts, len(d) + 1)]
 
 
 def word_number(word: bytes) -> int:
+    """Number of a word that is not a frequent one: below zero."""
     import xxhash
 
-    x = xxhash.xxh64_intdigest(word, 42)
-    return ((x | 1 << 63) & ~0xF) - (1 << 64)
+    return xxhash.xxh64_intdigest(word, 42) % (1 << 63) - (1 << 63)
+
+
+# -- blocks of numbers ----------------------------------------------------------------------------------------------
+
+
+def packed(columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers (one a row of the array) as compressed planes of bytes, least byte first."""
+    import zstandard
+
+    columns = np.atleast_2d(np.ascontiguousarray(columns))
+    planes = columns.view(np.uint8).reshape(*columns.shape, 8).transpose(0, 2, 1)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, columns: int, kind: str = "<i8") -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind).reshape(columns, -1)
+
+
+def mixed(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of columns ``ids``."""
+    h = np.full(ids.shape[1], 0x2545F4914F6CDD1D, np.uint64)
+    for column in ids:
+        h = (h ^ column.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+class Index:
+    """Finds rows among the rows of ``ids``: by hash, then by the numbers themselves."""
+
+    def __init__(self, ids: np.ndarray):
+        h = mixed(ids)
+        self.order = np.argsort(h, kind="stable")
+        self.h, self.ids = h[self.order], ids[:, self.order]
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """Place of each row, or -1."""
+        out, h = np.full(ids.shape[1], -1), mixed(ids)
+        at, left = np.searchsorted(self.h, h), np.arange(len(h))
+        while len(left):
+            left = left[at[left] < len(self.h)]
+            left = left[self.h[at[left]] == h[left]]
+            same = (self.ids[:, at[left]] == ids[:, left]).all(axis=0)
+            out[left[same]] = self.order[at[left[same]]]
+            left = left[~same]
+            at[left] += 1
+        return out
+
+
+def unique_rows(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of columns ``ids`` in order, and the sum of ``n`` over each."""
+    order = np.lexsort(ids[::-1])
+    s = ids[:, order]
+    new = np.flatnonzero(np.concatenate(([True] * min(1, s.shape[1]), (s[:, 1:] != s[:, :-1]).any(axis=0))))
+    return s[:, new], np.add.reduceat(n[order], new) if len(new) else n[:0]
+
+
+def bucket_of(ids: np.ndarray, hot: Index | None, buckets: int) -> np.ndarray:
+    """Bucket of each n-gram: by its context, or by all of it if the context is hot or empty."""
+    whole = mixed(ids)
+    if len(ids) > 1:
+        own = mixed(ids[:-1])
+        whole = own if hot is None else np.where(hot.find(ids[:-1]) < 0, own, whole)
+    return ((whole >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+
+
+def dealt(buckets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of the rows by bucket, and (bucket, from, to) of each part."""
+    order = np.argsort(buckets, kind="stable")
+    found, first = np.unique(buckets[order], return_index=True)
+    return order, list(zip(found.tolist(), first.tolist(), [*first.tolist(), len(order)][1:], strict=True))
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+
+
+# -- texts as numbers -----------------------------------------------------------------------------------------------
+
+
+class Tokens:
+    """Token numbers of a batch of texts, each text's words and its end."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, begin: int, chosen: np.ndarray | None = None):
+        self.ids, self.sizes, self.begin = ids, sizes, begin
+        self.text = np.repeat(np.arange(len(sizes)), sizes)
+        self.place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.chosen = np.arange(len(ids)) if chosen is None else chosen
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct k-grams that end at the chosen tokens, in order; which one ends at each of these; and counts."""
+        names, local = np.unique(np.concatenate((self.ids, [self.begin])), return_inverse=True)
+        rank = ids = None
+        for back in range(k - 1, -1, -1):
+            inside = self.place[self.chosen] >= back
+            x = np.where(inside, local[np.where(inside, self.chosen - back, 0)], local[-1])
+            if rank is None:
+                found, rank, n = np.unique(x, return_inverse=True, return_counts=True)
+                ids = names[found][None]
+            else:
+                found, rank, n = np.unique(rank.astype(np.int64) << 32 | x, return_inverse=True, return_counts=True)
+                ids = np.concatenate((ids[:, found >> 32], names[found & 0xFFFFFFFF][None]))
+        return ids, rank, n.astype(np.int64)
+
 
+_CODED = "sizes binary, tokens binary, sums binary, known binary, left binary"
 
-def _word_number(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63))).bitwiseAND(F.lit(~0xF))
+
+def coded(df: DataFrame, words, name: str, id_col: str | None, text_col: str) -> DataFrame:
+    """Texts as numbers, about ``TOKENS_AT_ONCE`` tokens a row: ``who keys sizes tokens`` and room for what is found out.
+    A text is never cut, so a row is as long as the longest text at least.  ``words`` broadcasts the frequent words of the
+    model ``name``."""
+    keys = F.lit(None).cast("int").alias("key") if id_col is None else F.col(id_col).alias("key")
+    rows = small_batches(df).select(keys, F.col(text_col).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = f"who long, keys array<{kind}>, {_CODED}"
+    target, at_once, keyed = _arrow(schema), TOKENS_AT_ONCE, id_col is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store = begin_task(lambda: worker_cache(f"words {name}"))
+        if not store:
+            store.update({w: i for i, w in enumerate(words.value)})
+        end, get, number = len(store), store.get, {}
+        who, ids, keys, sizes, size = TaskContext.get().partitionId() << 33, [], [], [], 0
+
+        def row() -> pa.RecordBatch:
+            found = {"who": who, "keys": keys if keyed else None, "sizes": packed(np.array(sizes, np.int64)), "tokens": packed(np.concatenate(ids))}
+            return _batch([found], target)
+
+        for batch in batches:
+            texts = batch.column(1)
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                found = utf8(texts[i].as_py()).lower().split()
+                own = list(map(get, found))
+                if None in own:
+                    own = [n if n is not None else number.get(w) or number.setdefault(w, word_number(w)) for w, n in zip(found, own, strict=True)]
+                own.append(end)
+                ids.append(np.array(own, np.int64))
+                keys.append(key)
+                sizes.append(len(own))
+                size += len(own)
+                if size >= at_once:
+                    yield row()
+                    who, ids, keys, sizes, size = who + 1, [], [], [], 0
+                    number.clear()
+        if sizes:
+            yield row()
+
+    return rows.mapInArrow(run, schema)
+
+
+# -- counting -------------------------------------------------------------------------------------------------------
+
+
+def _merged(blocks: DataFrame, columns: int, often: int) -> DataFrame:
+    """Sum the blocks ``(bucket, ids, n)`` of each bucket: ``bucket ids n ladder often``, where ladder says how many n-grams
+    have counts 1, 2, ... and often holds those with ``often`` or more.  Blocks are summed as they come, so that a
+    bucket takes the memory of its distinct n-grams."""
+    schema = "bucket int, ids binary, n binary, ladder array<long>, often binary"
+    target, limit = _arrow(schema), 2 * TOKENS_PER_BUCKET
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, n, waiting = None, [], [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            return unique_rows(np.concatenate(ids, axis=1), np.concatenate(n))
+
+        def done() -> pa.RecordBatch:
+            all_ids, all_n = summed()
+            many = all_n >= often
+            ladder = np.bincount(np.minimum(all_n, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
+            return _batch([{"bucket": now, "ids": packed(all_ids), "n": packed(all_n), "ladder": ladder.tolist(), "often": packed(all_ids[:, many])}], target)
+
+        for row in _grouped(batches, "bucket"):
+            if row["bucket"] != now:
+                if now is not None:
+                    yield done()
+                now, ids, n, waiting = row["bucket"], [], [], 0
+            ids.append(unpacked(row["ids"], columns))
+            n.append(unpacked(row["n"], 1)[0])
+            waiting += len(n[-1])
+            if waiting > limit:
+                some = summed()
+                ids, n, waiting = [some[0]], [some[1]], 0
+        if now is not None:
+            yield done()
+
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def _counted(tokens: DataFrame, k: int, hot: np.ndarray, buckets: int, begin: int) -> DataFrame:
+    """Blocks ``bucket ids n`` of the k-grams of coded texts."""
+    schema = "bucket int, ids binary, n binary"
+    target, shared = _arrow(schema), tokens.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value)
+        for row in _grouped(batches, "who"):
+            ids, _, n = Tokens(unpacked(row["tokens"], 1)[0], unpacked(row["sizes"], 1)[0], begin).grams(k)
+            order, parts = dealt(bucket_of(ids, index, buckets))
+            ids, n = ids[:, order], n[order]
+            yield _batch([{"bucket": b, "ids": packed(ids[:, lo:hi]), "n": packed(n[lo:hi])} for b, lo, hi in parts], target)
+
+    return tokens.select("sizes", "tokens").mapInArrow(run, schema)
+
+
+def _rare_blocks(words: DataFrame, buckets: int) -> DataFrame:
+    """Blocks ``bucket ids n`` of ``words(word, c)`` under their numbers."""
+    schema = "bucket int, ids binary, n binary"
+    target = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids = np.array([[word_number(w) for w in batch.column(0).to_pylist()]], np.int64)
+                ids, n = unique_rows(ids, batch.column(1).to_numpy())
+                order, parts = dealt(bucket_of(ids, None, buckets))
+                ids, n = ids[:, order], n[order]
+                yield _batch([{"bucket": b, "ids": packed(ids[:, lo:hi]), "n": packed(n[lo:hi])} for b, lo, hi in parts], target)
+
+    return words.select("word", "c").mapInArrow(run, schema)
+
+
+# -- the model ------------------------------------------------------------------------------------------------------
 
 
 @dataclass
 class Model:
     path: str
+    order: int
     words: list[bytes]  # frequent words, most frequent first: their numbers are their places
-    counts: np.ndarray
+    counts: np.ndarray  # of the frequent words, then of the end
     total: int
     distinct: int
-    unknown: float  # log10 probability of the class of unknown words
-    d1: list[float]
-    scale1: float
+    buckets: int
+    scale: float
+    unknown: float  # probability of the class of unknown words
+    d: dict[int, list[float]] = field(default_factory=dict)
+    hot: dict[int, np.ndarray] = field(default_factory=dict)  # contexts dealt by the whole n-gram
+    sums: dict[int, np.ndarray] = field(default_factory=dict)  # their size and alpha
 
-    def table(self, spark, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{name}")
+    @property
+    def end(self) -> int:
+        return len(self.words)
 
+    @property
+    def begin(self) -> int:
+        return len(self.words) + 1
 
-def _numbers(texts: pa.Array, known: dict[bytes, int]) -> Iterator[np.ndarray]:
-    """Word numbers of each text, END after them."""
-    new: dict[bytes, int] = {}
-    for text in texts:
-        words = utf8(text.as_py()).lower().split()
-        own = list(map(known.get, words))
-        if None in own:
-            own = [i if i is not None else new.get(w) or new.setdefault(w, word_number(w)) for w, i in zip(words, own, strict=True)]
-        own.append(END)
-        yield np.array(own, np.int64)
+    def grams(self, spark: SparkSession, k: int) -> DataFrame:
+        """``bucket ids n``: n-grams of order k, packed columns of numbers, and their counts."""
+        return spark.read.schema("bucket int, ids binary, n binary, part int").parquet(f"{self.path}/grams/order={k}")
 
+    def contexts(self, spark: SparkSession, k: int) -> DataFrame:
+        """``bucket ids sums``: contexts of order k that are not hot, and their size and alpha."""
+        return spark.read.schema("bucket int, ids binary, sums binary, part int").parquet(f"{self.path}/contexts/order={k}")
 
-def _pairs(ids: np.ndarray) -> np.ndarray:
-    return np.stack((np.concatenate(([BEGIN], ids[:-1])), ids))
 
+def _save(df: DataFrame, path: str) -> None:
+    write_once(df.withColumn("part", F.col("bucket") % PARTS).write.partitionBy("part"), path)
 
-def _unique(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort(pairs[::-1])
-    s = pairs[:, order]
-    new = np.flatnonzero(np.concatenate(([True], (s[:, 1:] != s[:, :-1]).any(axis=0))))
-    return s[:, new], np.diff(np.concatenate((new, [s.shape[1]])))
 
+def answers(asked: DataFrame, model: Model, k: int) -> DataFrame:
+    """Answers ``who bucket found value`` to ``asked(bucket, who, ids)`` at level k, in the order of the ids asked.
 
-def _save(df: DataFrame, key: str, path: str) -> DataFrame:
-    df.withColumn("part", F.pmod(F.hash(key), F.lit(PARTS))).write.partitionBy("part").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Level 1: value is the count.  Above: the probability if the n-gram was seen, else its context's alpha, which is 1
+    where the context was never seen.
+    """
+    spark = asked.sparkSession
+    none = F.lit(None).cast("binary")
+    rows = model.grams(spark, k).select("bucket", F.lit(_GRAMS).alias("kind"), F.lit(0).cast("long").alias("who"), "ids", F.col("n").alias("a"))
+    rows = rows.unionByName(asked.select("bucket", F.lit(_ASKED).alias("kind"), "who", "ids", none.alias("a")))
+    if k > 1:
+        rows = rows.unionByName(model.contexts(spark, k).select("bucket", F.lit(_CONTEXTS).alias("kind"), F.lit(0).cast("long").alias("who"), "ids", F.col("sums").alias("a")))
+    shared = spark.sparkContext.broadcast((model.hot.get(k), model.sums.get(k), model.d.get(k)))
+    schema = "who long, bucket int, found binary, value binary"
+    target = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_ids, hot_sums, d = shared.value
+        hot = Index(hot_ids) if k > 1 else None
+        now, grams, n, contexts, sums = None, None, None, None, None
+        for row in _grouped(batches, "bucket"):
+            if row["bucket"] != now:
+                now, grams, contexts = row["bucket"], Index(np.zeros((k, 0), np.int64)), Index(np.zeros((max(1, k - 1), 0), np.int64))
+                n, sums = np.zeros(0, np.int64), np.zeros((2, 0))
+            if row["kind"] == _GRAMS:
+                grams, n = Index(unpacked(row["ids"], k)), unpacked(row["a"], 1)[0]
+            elif row["kind"] == _CONTEXTS:
+                contexts, sums = Index(unpacked(row["ids"], k - 1)), unpacked(row["a"], 2, "<f8")
+            else:
+                ids = unpacked(row["ids"], k)
+                at = grams.find(ids)
+                found = at >= 0
+                count = np.zeros(len(at), np.int64)
+                count[found] = n[at[found]]
+                value = count.astype(np.float64)
+                if k > 1:
+                    size, alpha = np.ones(len(at)), np.ones(len(at))
+                    for index, known in ((hot, hot_sums), (contexts, sums)):
+                        place = index.find(ids[:-1])
+                        has = place >= 0
+                        size[has], alpha[has] = known[0, place[has]], known[1, place[has]]
+                    value = np.where(found, discounted(count, d) / size, alpha)
+                yield _batch([{"who": row["who"], "bucket": now, "found": np.packbits(found).tobytes(), "value": packed(value)}], target)
+
+    parted = rows.repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return parted.select("bucket", "kind", "who", "ids", "a").mapInArrow(run, schema)
+
+
+def answered(base: DataFrame, got: DataFrame, handle: Callable[[], Callable], schema: str) -> DataFrame:
+    """Rows ``handle()(row, found, value)`` for each row of ``base(who, ...)`` and the answers to it, bucket after bucket."""
+    both = base.withColumn("bucket", F.lit(-1)).unionByName(got, allowMissingColumns=True)
+    target = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, own, found, value = handle(), None, [], []
+
+        def done() -> pa.RecordBatch:
+            return _batch(one(own, np.concatenate([np.zeros(0, bool), *found]), np.concatenate([np.zeros(0), *value])), target)
+
+        for row in _grouped(batches, "who"):
+            if row["bucket"] < 0:
+                if own is not None:
+                    yield done()
+                own, found, value = row, [], []
+            else:
+                value.append(unpacked(row["value"], 1, "<f8")[0])
+                found.append(np.unpackbits(np.frombuffer(row["found"], np.uint8), count=len(value[-1])).astype(bool))
+        if own is not None:
+            yield done()
+
+    return both.repartition("who").sortWithinPartitions("who", "bucket").mapInArrow(run, schema)
+
+
+def _ask(base: DataFrame, wanted: Callable[[], Callable], hot: np.ndarray | None, buckets: int) -> DataFrame:
+    """Blocks ``bucket who ids`` of what ``wanted()(row)`` gives for each row of ``base(who, ...)``."""
+    schema = "bucket int, who long, ids binary"
+    target, shared = _arrow(schema), base.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, index = wanted(), None if shared.value is None else Index(shared.value)
+        for row in _grouped(batches, "who"):
+            ids = one(row)
+            order, parts = dealt(bucket_of(ids, index, buckets))
+            ids = ids[:, order]
+            yield _batch([{"bucket": b, "who": row["who"], "ids": packed(ids[:, lo:hi])} for b, lo, hi in parts], target)
+
+    return base.mapInArrow(run, schema)
+
+
+def _suffixes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What n-grams ``ids`` ask of the level below: distinct ones without their first word, and which is whose.  Of single
+    words only those outside the frequent ones are asked for (-1: not asked)."""
+    rest = ids[1:]
+    if len(rest) == 1:
+        asked, which = np.unique(rest[0], return_inverse=True)
+        rare = int((asked < 0).sum())  # they come first
+        return asked[None, :rare], np.where(which < rare, which, -1)
+    order = np.lexsort(rest[::-1])
+    s = rest[:, order]
+    new = np.concatenate(([True] * min(1, s.shape[1]), (s[:, 1:] != s[:, :-1]).any(axis=0)))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return s[:, new], which
+
+
+def _in_order(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Values answered bucket after bucket, in the order of what was asked."""
+    out = np.empty_like(values)
+    out[order] = values
+    return out
 
 
-def train(texts: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Model:
-    """Fit on ``texts(text)``; null text counts as empty (its end still counts).  Fails on an empty table."""
+def train(texts: DataFrame, order: int = ORDER, frequent_words: int = FREQUENT_WORDS, text_col: str = "text", hot_tokens: int | None = None) -> Model:
+    """Fit on all rows of ``texts``; null text counts as empty (its end still counts).  Other columns are not read.
+
+    An empty table gives a model without words, for which every token is unknown and has probability one.
+    Contexts of ``hot_tokens`` tokens or more (by default a share of all) are spread over buckets.
+    """
     spark = small_batches(texts).sparkSession
     path = new_path(spark, "katz")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Counter[bytes] = Counter()
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], ["word", "n"])
+
         for batch in batches:
-            c: Counter[bytes] = Counter()
             for text in batch.column(0):
                 c.update(utf8(text.as_py()).lower().split())
-            yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], ["word", "n"])
+                if len(c) > TOKENS_AT_ONCE:
+                    yield row()
+                    c.clear()
+        yield row()
 
-    words = materialize(texts.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    words = materialize(texts.select(text_col).mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
     ends = texts.count()
-    if not ends:
-        raise ValueError("no texts to learn from")
     ladder = words.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("s")).orderBy(F.desc("c")).collect()
-    total, distinct = ends + sum(r.s for r in ladder), 1 + sum(r.k for r in ladder)
+    total, distinct = ends + sum(r.s for r in ladder), bool(ends) + sum(r.k for r in ladder)
     kept, least = 0, 1 << 62
     for r in ladder:
         if (kept := kept + r.k) > frequent_words:
             break
         least = r.c
     top = words.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()
-    frequent, counts = top["word"].to_pylist(), top["c"].to_numpy()
+    frequent, counts = top["word"].to_pylist(), np.append(top["c"].to_numpy(), ends).astype(np.int64)
     del top
-    ranked = spark.createDataFrame(pa.table({"word": pa.array(frequent, pa.binary()), "id": pa.array(range(len(frequent)), pa.int64())}), "word binary, id long")
     of_counts = {r.c: r.k for r in ladder if r.c <= DISCOUNTED + 1}
-    if ends <= DISCOUNTED + 1:
+    if 0 < ends <= DISCOUNTED + 1:
         of_counts[ends] = of_counts.get(ends, 0) + 1
     d1 = discounts(of_counts)
-    lost = sum(of_counts.get(r, 0) * r * (1 - d) for r, d in enumerate(d1, 1))
+    lost = sum(of_counts.get(r, 0) * r * (1 - x) for r, x in enumerate(d1, 1))
     scale = 1.0 if lost > 0 else total / (total + 1)  # something must be left for unknown words
-    unknown = math.log10(1 - scale * (total - lost) / total)
-    unigrams = words.join(F.broadcast(ranked), "word", "left").select(F.coalesce("id", _word_number(F.col("word"))).alias("id"), "c")
-    unigrams = _save(unigrams.unionByName(spark.createDataFrame([(END, ends)], "id long, c long")), "id", f"{path}/unigrams")
+    unknown = 1 - scale * (total - lost) / total if total else 1.0
+    hot_limit = hot_tokens or max(LEAST_HOT, int(total * HOT_SHARE))
+    model = Model(path, order, frequent, counts, total, distinct, max(1, -(-total // TOKENS_PER_BUCKET)), scale / max(1, total), unknown, {1: d1})
+    rare = _merged(_rare_blocks(words.where(F.col("c") < least), model.buckets), 1, hot_limit)
+    _save(rare.select("bucket", "ids", "n"), f"{path}/grams/order=1")
     release(words)
-
+    if order < 2:
+        return model
     shared = spark.sparkContext.broadcast(frequent)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: i for i, w in enumerate(shared.value)}
-
-        def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
-            (h, w), n = _unique(np.concatenate(parts, axis=1))
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(n)], ["h", "w", "n"])
-
-        parts, size = [], 0
-        for batch in batches:
-            for ids in _numbers(batch.column(0), known):
-                parts.append(_pairs(ids))
-                size += len(ids)
-                if size >= TOKENS_AT_ONCE:
-                    yield summed(parts)
-                    parts, size = [], 0
-        if parts:
-            yield summed(parts)
-
-    counted = materialize(texts.mapInArrow(count_pairs, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("c")), "pairs")
-    d2 = discounts({r.c: r.k for r in counted.where(F.col("c") <= DISCOUNTED + 1).groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()})
-    p1 = (discounted(F.col("c"), d1) * (scale / total)).alias("p1")
-    few = unigrams.where((F.col("id") >= 0) | (F.col("id") == END))  # as many rows as there are frequent words, and one
-    many = unigrams.where((F.col("id") < 0) & (F.col("id") != END))
-
-    def by_word(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-        """``rows`` with ``value`` of the unigram ``key``: frequent words from a broadcast of bounded size, others by a join."""
-        frequent_key = (F.col(key) >= 0) | (F.col(key) == END)
-        near = rows.where(frequent_key).join(F.broadcast(few.select(F.col("id").alias(key), value.alias(name))), key)
-        far = rows.where(~frequent_key).join(many.select(F.col("id").alias(key), value.alias(name)), key)
-        return near.unionByName(far.select(near.columns))
-
-    kept2 = discounted(F.col("c"), d2)
-    common = (F.col("w") >= 0) | (F.col("w") == END)
-    near = counted.where(common).join(F.broadcast(few.select(F.col("id").alias("w"), p1)), "w")
-    far = counted.where(~common).join(many.select(F.col("id").alias("w"), p1), "w")
-    part = [F.sum("c").alias("ch"), F.sum(kept2).alias("kept"), F.sum("p1").alias("low")]
-    sums = near.select("h", "c", "p1").unionByName(far.select("h", "c", "p1")).groupBy("h").agg(*part)
-    # a context without a discounted count would leave nothing for other words: it is made one event longer
-    longer = F.when(F.col("kept") >= F.col("ch") - 1e-9, F.col("ch") + 1).otherwise(F.col("ch"))
-    contexts = _save(sums.select("h", longer.alias("size"), ((1 - F.col("kept") / longer) / (1 - F.col("low"))).alias("alpha")), "h", f"{path}/contexts")
-    often = (F.col("h") >= 0) | (F.col("h") == BEGIN)
-    sizes = contexts.select("h", "size")
-    full = counted.where(often).join(F.broadcast(sizes.where(often)), "h").unionByName(counted.where(~often).join(sizes.where(~often), "h"))
-    _save(full.select("h", "w", "c", (kept2 / F.col("size")).alias("p")), "h", f"{path}/bigrams")
-    release(counted)
-    return Model(path, frequent, counts, total, distinct, unknown, d1, scale)
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent_pairs: int = FREQUENT_PAIRS) -> DataFrame:
+    tokens = materialize(coded(texts, shared, path, None, text_col), "tokens")
+    often = np.flatnonzero(counts[:-1] >= hot_limit)[None]
+    for k in range(2, order + 1):
+        if ends >= hot_limit:
+            often = np.concatenate((often, np.full((k - 1, 1), model.begin)), axis=1)
+        model.hot[k] = often
+        counted = materialize(_merged(_counted(tokens, k, often, model.buckets, model.begin), k, hot_limit), "grams")
+        _save(counted.select("bucket", "ids", "n"), f"{path}/grams/order={k}")
+        steps = [F.sum(F.get("ladder", F.lit(r - 1))).alias(f"n{r}") for r in range(1, DISCOUNTED + 2)]
+        model.d[k] = discounts({r: x or 0 for r, x in enumerate(counted.agg(*steps).first(), 1)})
+        rows = counted.select("often").collect()  # n-grams of hot_limit tokens or more: a bounded number
+        often = np.concatenate([np.zeros((k, 0), np.int64), *[unpacked(r.often, k) for r in rows]], axis=1)
+        release(counted)
+        _contexts(spark, model, k)
+    release(tokens)
+    return model
+
+
+def _contexts(spark: SparkSession, model: Model, k: int) -> None:
+    """Sizes and alphas of the contexts of order k, from its n-grams and the level below."""
+    buckets, d = model.buckets, model.d[k]
+    base = model.grams(spark, k).select(F.col("bucket").cast("long").alias("who"), "ids", "n")
+    lower = model.hot.get(k - 1)
+
+    def wanted():
+        return lambda row: _suffixes(unpacked(row["ids"], k))[0]
+
+    got = answers(_ask(base, wanted, lower, buckets), model, k - 1)
+    shared = spark.sparkContext.broadcast((model.hot[k], lower, model.counts, model.d[1], model.scale))
+    schema = "bucket int, ids binary, sums binary, hot binary, parts binary"
+
+    def handle():
+        hot_ids, lower_ids, counts, d1, scale = shared.value
+        hot, below = Index(hot_ids), None if lower_ids is None else Index(lower_ids)
+
+        def one(row: dict, found: np.ndarray, value: np.ndarray) -> list[dict]:
+            ids, n = unpacked(row["ids"], k), unpacked(row["n"], 1)[0]
+            asked, which = _suffixes(ids)
+            value = _in_order(value, dealt(bucket_of(asked, below, buckets))[0])
+            if k == 2:
+                count = np.where(which >= 0, np.append(value, 0.0)[which].astype(np.int64), counts[np.maximum(ids[1], 0)])
+                low = discounted(count, d1) * scale
+            else:
+                low = value[which]
+            context, of = _suffixes(np.concatenate((ids[:1], ids[:-1]))) if k > 2 else _kinds(ids[0])
+            sums = np.stack([np.bincount(of, x, context.shape[1]) for x in (n, discounted(n, d), low)])
+            spread = hot.find(context) >= 0
+            return [{"bucket": row["who"], "ids": packed(context[:, ~spread]), "sums": packed(_weights(sums[:, ~spread])), "hot": packed(context[:, spread]), "parts": packed(sums[:, spread])}]
+
+        return one
+
+    found = materialize(answered(base, got, handle, schema), "contexts")
+    _save(found.select("bucket", "ids", "sums"), f"{model.path}/contexts/order={k}")
+    index, sums = Index(model.hot[k]), np.zeros((3, model.hot[k].shape[1]))
+    if sums.shape[1]:
+        for r in found.select("hot", "parts").toLocalIterator():  # one bucket's part of a bounded number of contexts at a time
+            at = index.find(unpacked(r.hot, k - 1))
+            np.add.at(sums.T, at, unpacked(r.parts, 3, "<f8").T)
+    model.sums[k] = _weights(sums)
+    release(found)
+
+
+def _kinds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, of = np.unique(x, return_inverse=True)
+    return found[None], of
+
+
+def _weights(sums: np.ndarray) -> np.ndarray:
+    """Size and alpha of contexts from (count, discounted count, lower mass of the words seen).  A context without a
+    discounted count would leave nothing for other words: it is made one event longer."""
+    n, kept, low = sums
+    size = np.where(kept >= n - 1e-9, n + 1, n)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.stack((size, (1 - kept / size) / (1 - low)))
+
+
+# -- scoring --------------------------------------------------------------------------------------------------------
+
+
+def _by_text(tokens: Tokens, values: np.ndarray) -> np.ndarray:
+    """Sums of the chosen tokens' values for each text (of no values, bincount would give integers)."""
+    return np.bincount(tokens.text[tokens.chosen], values, len(tokens.sizes)).astype(np.float64)
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id n_tokens n_known base_score score`` for every row of ``docs``.
 
-    score: log10 of the product over tokens (words, then one end) of P(token | word before): the discounted
-    probability where the pair was seen, else the context's weight times the unigram probability, the context's weight
-    being one where the context was never seen.  Null text counts as empty.  Rows with equal ids are scored as one
-    text after the other; a null id is an id.  Other columns are not read.
+    score: log10 of the product over tokens (words, then one end) of the model's probability of each after the words
+    before it.  base_score: the same of (c + 1) / (N + V + 1), c the token's count in training, N all counts, V the
+    distinct tokens.  Null text counts as empty: one token.  Every row is scored alone: rows with equal or null ids have a
+    row each, an empty table none.  Other columns are not read.
     """
     spark = small_batches(docs).sparkSession
-    bigrams, contexts, unigrams = (model.table(spark, x) for x in ("bigrams", "contexts", "unigrams"))
+    words = spark.sparkContext.broadcast(model.words)
+    begin, buckets = model.begin, model.buckets
+    state = materialize(coded(docs, words, model.path, id_col, text_col), "coded")
+    kind = state.schema["keys"].dataType.simpleString()
+
+    def tokens_of(row: dict) -> Tokens:
+        left = None if row["left"] is None else unpacked(row["left"], 1)[0]
+        return Tokens(unpacked(row["tokens"], 1)[0], unpacked(row["sizes"], 1)[0], begin, left)
+
+    for k in range(model.order, 1, -1):
+        hot = model.hot[k]
+        shared = spark.sparkContext.broadcast(hot)
+
+        def wanted(k=k):
+            return lambda row: tokens_of(row).grams(k)[0]
+
+        def handle(k=k, shared=shared):
+            index = Index(shared.value)
+
+            def one(row: dict, found: np.ndarray, value: np.ndarray) -> list[dict]:
+                tokens = tokens_of(row)
+                ids, which, _ = tokens.grams(k)
+                order = dealt(bucket_of(ids, index, buckets))[0]
+                found, value = _in_order(found, order)[which], _in_order(value, order)[which]
+                sums = _by_text(tokens, np.log10(value))
+                if row["sums"] is not None:
+                    sums += unpacked(row["sums"], 1, "<f8")[0]
+                return [{c: row[c] for c in ("who", "keys", "sizes", "tokens")} | {"sums": packed(sums), "known": None, "left": packed(tokens.chosen[~found])}]
+
+            return one
+
+        after = materialize(answered(state, answers(_ask(state, wanted, hot, buckets), model, k), handle, f"who long, keys {kind}, {_CODED}"), "coded")
+        release(state)
+        state = after
+
+    def rare():
+        return lambda row: np.unique((ids := unpacked(row["tokens"], 1)[0])[ids < 0])[None]
+
+    shared = spark.sparkContext.broadcast((model.counts, model.d[1], model.scale, model.unknown))
     per_token = math.log10(model.total + (model.distinct + 1))
-    ladder = bigrams.where((F.col("h") >= 0) & (F.col("w") >= 0)).groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).collect()
-    kept, least = 0, 1 << 62
-    for r in ladder:
-        if (kept := kept + r.k) > frequent_pairs:
-            break
-        least = r.c
-    top = bigrams.where((F.col("h") >= 0) & (F.col("w") >= 0) & (F.col("c") >= least)).select((F.col("h") * (1 << 31) + F.col("w")).alias("k"), F.log10("p").alias("lp")).toArrow()
-    order = np.argsort(top["k"].to_numpy())
-    ends = unigrams.where(F.col("id") == END).first().c
-    shared = spark.sparkContext.broadcast((model.words, model.counts, top["k"].to_numpy()[order], top["lp"].to_numpy()[order]))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, h, w, n, v): pairs to be joined; rare words (h = _RARE); sums known here (h = _SUM, w = which)."""
-        words, counts, keys, logs = shared.value
-        known = {w: i for i, w in enumerate(words)}
-        base = np.log10(counts + 1.0) - per_token
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                who, h, w, n, v = [], [], [], [], []
-                for i, ids in enumerate(_numbers(part.column(1), known)):
-                    pairs, times = _unique(_pairs(ids))
-                    k = np.where((pairs >= 0).all(axis=0), (pairs[0] << 31) + pairs[1], -1)
-                    at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-                    hit = keys[at] == k if len(keys) else np.zeros(len(k), bool)
-                    direct = float((logs[at[hit]] * times[hit]).sum()) if hit.any() else 0.0
-                    common = ids[ids >= 0]
-                    rare, rare_n = np.unique(ids[(ids < 0) & (ids != END)], return_counts=True)
-                    low = float(base[common].sum()) + math.log10(ends + 1.0) - per_token
-                    left = ~hit
-                    h += [pairs[0][left], np.full(len(rare), _RARE), np.full(3, _SUM)]
-                    w += [pairs[1][left], rare, np.arange(3)]
-                    n += [times[left], rare_n, [0, len(ids), len(common) + 1]]
-                    v += [np.zeros(int(left.sum()) + len(rare)), [direct, 0.0, low]]
-                    who.append(np.full(int(left.sum()) + len(rare) + 3, i))
-                columns = [np.concatenate(x) for x in (who, h, w, n, v)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(columns[0])), *(pa.array(x.astype(np.int64)) for x in columns[1:4]), pa.array(columns[4].astype(np.float64))],
-                    ["doc_id", "h", "w", "n", "v"],
-                )
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(read, f"doc_id {kind}, h long, w long, n long, v double")
-    met = rows.join(bigrams.select("h", "w", "p"), ["h", "w"], "left")
-    done = F.col("p").isNotNull()
-    met = met.select("doc_id", F.when(done, _SUM).otherwise(F.col("h")).alias("h"), F.when(done, 0).otherwise(F.col("w")).alias("w"), "n", F.when(done, F.col("n") * F.log10("p")).otherwise(F.col("v")).alias("v"))
-    met = materialize(met.groupBy("doc_id", "h", "w").agg(F.sum("n").alias("n"), F.sum("v").alias("v")), "met")
-    p1 = F.log10(discounted(F.col("c"), model.d1) * (model.scale1 / model.total))
-    zero = F.lit(0.0)
-    tokens, knowns, bases, scores = "n_tokens", "n_known", "base_score", "score"
-    none = F.lit(0).cast("long")
-    sums = met.where(F.col("h") == _SUM).select(
-        "doc_id",
-        F.when(F.col("w") == 1, F.col("n")).otherwise(none).alias(tokens),
-        F.when(F.col("w") == 2, F.col("n")).otherwise(none).alias(knowns),
-        F.when(F.col("w") == 2, F.col("v")).otherwise(zero).alias(bases),
-        F.when(F.col("w") == 0, F.col("v")).otherwise(zero).alias(scores),
-    )
-    counts = unigrams.select(F.col("id").alias("w"), "c")
-    rare = met.where(F.col("h") == _RARE).join(counts, "w", "left")
-    rare = rare.select("doc_id", none.alias(tokens), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(none).alias(knowns), (F.col("n") * (F.log10(F.coalesce("c", none) + F.lit(1.0)) - per_token)).alias(bases), zero.alias(scores))
-    unseen = met.where(~F.col("h").isin(_SUM, _RARE)).join(contexts.select("h", "alpha"), "h", "left").join(counts, "w", "left")
-    backed = F.coalesce(F.log10("alpha"), zero) + F.coalesce(p1, F.lit(model.unknown))
-    unseen = unseen.select("doc_id", none.alias(tokens), none.alias(knowns), zero.alias(bases), (F.col("n") * backed).alias(scores))
-    return sums.unionByName(rare).unionByName(unseen).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in (tokens, knowns, bases, scores)])
+
+    def last():
+        counts, d1, scale, unknown = shared.value
+
+        def one(row: dict, found: np.ndarray, value: np.ndarray) -> list[dict]:
+            tokens = tokens_of(row)
+            asked = np.unique(tokens.ids[tokens.ids < 0])
+            value = _in_order(value, dealt(bucket_of(asked[None], None, buckets))[0]).astype(np.int64)
+            c = counts[np.maximum(tokens.ids, 0)]
+            c[tokens.ids < 0] = value[np.searchsorted(asked, tokens.ids[tokens.ids < 0])]
+            n = len(tokens.sizes)
+            left = c[tokens.chosen]
+            p = np.where(left > 0, discounted(left, d1) * scale, unknown)
+            scores = _by_text(tokens, np.log10(p))
+            if row["sums"] is not None:
+                scores += unpacked(row["sums"], 1, "<f8")[0]
+            known = np.bincount(tokens.text[c > 0], minlength=n)
+            base = np.bincount(tokens.text, np.log10(c + 1.0) - per_token, n)
+            return [
+                {"doc_id": key, "n_tokens": size, "n_known": k, "base_score": b, "score": s}
+                for key, size, k, b, s in zip(row["keys"], tokens.sizes.tolist(), known.tolist(), base.tolist(), scores.tolist(), strict=True)
+            ]
+
+        return one
+
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"
+    return answered(state, answers(_ask(state, rare, None, buckets), model, 1), last, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2
 
 
-def op9_katz_backoff(spark, sf_dir: str) -> DataFrame:
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trigram model of the training documents (those whose crc32 of the id as text, modulo 7, is not 2; a null id trains
+    too) and its score of every document: one row per row of ``documents``, null text as empty."""
     from weft.llm.common import table
 
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(~held_out()).select("text"))
+    out_of_training = F.coalesce(held_out(), F.lit(False))
+    model = train(docs.where(~out_of_training))
     out = score(docs, model)
-    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", out_of_training.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
