@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from weft.llm import bpe, exact_dedup, html_text, katz, langid, packing, quality, rollup, simhash, warc
 
@@ -223,7 +224,7 @@ def vocab():
     return bpe.vocabulary(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
-def test_bpe(docs, none, vocab):
+def test_bpe(spark, docs, none, vocab):
     import tiktoken
 
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(vocab.tokens)}, special_tokens={})
@@ -232,6 +233,29 @@ def test_bpe(docs, none, vocab):
         got = sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist(), bytes(r.bytes)) for r in encoded)
         assert got == sorted((str(i), library.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in corpus())
     assert bpe.encode(none, vocab, public_tokenizers.PATTERN).count() == 0
+    draw = random.Random(4)
+    long = ["x" * 700, "-" * 1000, "漢字" * 300, "é" * 133, "=" * 77 + "-" * 50, "".join(draw.choices("abcdefgXYZ", k=900))]
+    long += ["".join(draw.choices(["the", "ing", "tion", "ement", "ab", "é"], k=k)) for k in (1, 10, 50, 100)]
+    rows = spark.createDataFrame([(w,) for w in long], "word string").select("word", bpe.byte_array(F.col("word"), vocab).alias("p"))
+    for window in (4, 64):  # windows of 4 bytes fail to find their first token now and then, and all begins again
+        for r in rows.select("word", bpe.encoded_word(F.col("p"), vocab, window).alias("ids")).collect():
+            assert r.ids == library._encode_single_piece(r.word.encode())
+
+
+def test_bpe_query(spark, tmp_path):
+    import tiktoken
+
+    from weft.llm.queries import QUERIES
+
+    tokens = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    spark.createDataFrame(corpus(), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t, *_ in corpus():
+        ids = library.encode_ordinary(t or "")
+        want.append((str(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    out = QUERIES["op3_byte_bpe"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out) == sorted(want)
 
 
 def test_html_blocks():

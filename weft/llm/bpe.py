@@ -4,13 +4,12 @@ A merge joins two neighbouring pieces whose bytes together are a token; the lowe
 equal ones.  Pieces are token numbers, so the rank map is keyed by pairs of them; it enters the plan as three literal
 arrays that form a perfect hash table, and one lookup costs the same for any vocabulary.  The fold runs once for each
 frequent distinct word (that dictionary has a fixed number of entries and is broadcast) and once per document for each
-distinct word outside it.  Decoding concatenates the tokens' bytes.
+distinct word outside it; long words are folded window by window.  Decoding concatenates the tokens' bytes.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import small_batches, worker_cache
+from weft.llm.common import begin_task, small_batches, worker_cache
 from weft.plans.runtime import materialize
 
 DICTIONARY = 500_000
-LONGEST_FOLD = 64
+WINDOW = 64
 
 
 @dataclass(frozen=True)
@@ -117,14 +116,13 @@ def byte_array(word: Column, vocab: Vocabulary) -> Column:
 
 
 def fold(pieces: Column, vocab: Vocabulary) -> Column:
-    """Token ids of a word given as ids of single bytes (array<bigint>): ranked merges, one a step.
+    """Token ids of bytes given as ids of single bytes (array<bigint>): ranked merges, one a step.
 
-    The state holds the pieces and, between neighbours, the id (which is the rank) their merge would have.  A step
-    merges the leftmost lowest one and looks up the two pairs it makes.
+    The state has one number for each piece: the rank its merge with the next piece would have, where it starts, and its
+    token.  The least number is the leftmost merge of lowest rank; a step makes it and looks up the two pairs it creates.
     """
     keys, ids, move = (_literal(x) for x in (vocab.keys, vocab.merged, vocab.move))
-    none = 1 << 30
-    empty = F.array().cast("array<bigint>")
+    none, rank_at, start_at = 1 << 16, 46, 16  # starts have 30 bits
 
     def bits(key: Column, factor: int, size: int) -> Column:
         return F.shiftright(key * factor, 26).bitwiseAND(size - 1).cast("int")
@@ -134,64 +132,73 @@ def fold(pieces: Column, vocab: Vocabulary) -> Column:
         slot = bits(key, vocab.factors[1], len(vocab.keys)).bitwiseXOR(moved)
         return F.when(F.get(keys, slot) == key, F.get(ids, slot)).otherwise(F.lit(none).cast("bigint"))
 
-    def pair(a: Column, b: Column) -> Column:
-        return a * 65536 + b
+    def piece(key: Column, rest: Column) -> Column:
+        return F.shiftleft(rank_of(key), rank_at).bitwiseOR(rest)
 
-    def step(state: Column, _: Column) -> Column:
-        parts, ranks = state.parts, state.ranks
+    def token(x: Column) -> Column:
+        return x.bitwiseAND(0xFFFF)
 
+    def step(state: Column, _: Column) -> Column:
         def merged(j: Column) -> Column:  # j counts from 1
-            rank = F.get(ranks, j - 1)
-            left = F.when(j > 1, F.array(pair(F.get(parts, j - 2), rank))).otherwise(empty)
-            right = F.when(j < F.size(ranks), F.array(pair(rank, F.get(parts, j + 1)))).otherwise(empty)
-            new = F.transform(F.concat(left, right), rank_of)
-            return F.when(
-                rank < none,
-                F.struct(
-                    F.concat(F.slice(parts, 1, j - 1), F.array(rank), F.slice(parts, j + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.slice(ranks, 1, F.greatest(j - 2, F.lit(0))), new, F.slice(ranks, j + 2, F.size(parts))).alias("ranks"),
-                ),
-            ).otherwise(F.struct(parts.alias("parts"), empty.alias("ranks")))
-
-        place = F.array_position(ranks, F.array_min(ranks)).cast("int")
-        return F.when(F.size(ranks) > 0, F.get(F.transform(F.array(place), merged), 0)).otherwise(state)
-
-    def ranks_of(parts: Column) -> Column:
-        return F.transform(F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), pair), rank_of)
-
-    several = F.size(pieces) > 1
-    begin = F.struct(pieces.alias("parts"), F.when(several, ranks_of(pieces)).otherwise(empty).alias("ranks"))
-    rounds = F.when(several, F.sequence(F.lit(2), F.size(pieces))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rounds, begin, step, lambda s: s.parts)
-
-
-def merge_long(word: bytes, ids: dict[bytes, int]) -> list[int]:
-    """The same merges for a long word, with a heap: the fold would take time with the square of the length."""
-    n = len(word)
-    end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap: list[tuple[int, int, int, int]] = []
-
-    def offer(a: int) -> None:
-        b = end[a]
-        if b < n and (rank := ids.get(word[a : end[b]])) is not None:
-            heapq.heappush(heap, (rank, a, b, end[b]))
-
-    for a in range(n - 1):
-        offer(a)
-    while heap:
-        _, a, b, stop = heapq.heappop(heap)
-        if not alive[a] or end[a] != b or b >= n or not alive[b] or end[b] != stop:
-            continue
-        alive[b], end[a] = False, stop
-        if stop < n:
-            before[stop] = a
-        offer(a)
-        if before[a] >= 0:
-            offer(before[a])
-    out, a = [], 0
-    while a < n:
-        out.append(ids[word[a : end[a]]])
-        a = end[a]
+            here, before, after = F.get(state, j - 1), F.get(state, j - 2), F.get(state, j + 1)
+            rank = F.shiftright(here, rank_at)
+            right, left = rank * 65536 + token(after), token(before) * 65536 + rank
+            own = here.bitwiseAND(((1 << rank_at) - 1) ^ 0xFFFF).bitwiseOR(rank)
+            two = F.zip_with(
+                F.when(j > 1, F.array(left, right)).otherwise(F.array(right)),
+                F.when(j > 1, F.array(before.bitwiseAND((1 << rank_at) - 1), own)).otherwise(F.array(own)),
+                piece,
+            )
+            ahead, behind = F.slice(state, 1, F.greatest(j - 2, F.lit(0))), F.slice(state, j + 2, F.size(state))
+            return F.when(rank < none, F.concat(ahead, two, behind)).otherwise(state)
+
+        place = F.array_position(state, F.array_min(state)).cast("int")
+        return F.get(F.transform(F.array(place), merged), 0)
+
+    begin = F.zip_with(pieces, F.slice(pieces, 2, F.size(pieces)), lambda a, b: piece(a * 65536 + b, a))
+    begin = F.transform(begin, lambda x, i: x.bitwiseOR(F.shiftleft(i.cast("bigint"), start_at)))
+    rounds = F.when(F.size(pieces) > 1, F.sequence(F.lit(2), F.size(pieces))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, begin, step, lambda s: F.transform(s, token))
+
+
+def encoded_word(pieces: Column, vocab: Vocabulary, window: int = WINDOW) -> Column:
+    """Token ids of a word of any length given as ids of single bytes, in time linear in its length but for rare cases.
+
+    Windows of the word are folded one after another.  Each begins where a token of the one before begins, past its
+    middle, and must find that token again.  Tokens on either side of it then follow each other in a true encoding, and
+    ids of which every two neighbours do are the encoding of the whole.  If a window does not find the token, all begins
+    again with windows twice as long, in the end with the whole word as one.
+    """
+    length = _literal(np.array([len(t) for t in vocab.tokens], np.int64))
+    n = F.size(pieces)
+    nested = F.array().cast("array<array<bigint>>")
+
+    def state(done: Column, at: Column, size: Column, first: Column, ended: bool) -> Column:
+        return F.struct(done.alias("done"), at.cast("int").alias("at"), size.cast("int").alias("size"), first.cast("bigint").alias("first"), F.lit(ended).alias("ended"))
+
+    def step(s: Column, _: Column) -> Column:
+        def found(e: Column) -> Column:
+            def cut(c: Column) -> Column:  # c.n tokens begin in the first half, the next one at c.at
+                again = state(nested, F.lit(0), s.size * 2, F.lit(None), False)
+                on = state(F.concat(s.done, F.array(F.slice(e, 1, c.n))), s.at + c.at, s.size, F.get(e, c.n), False)
+                return F.when(c.n < F.size(e), on).otherwise(again)
+
+            def count(c: Column, t: Column) -> Column:
+                inside = c.at < F.shiftright(s.size, 1)
+                return F.struct((c.n + F.when(inside, 1).otherwise(0)).alias("n"), (c.at + F.when(inside, F.get(length, t.cast("int")).cast("int")).otherwise(0)).alias("at"))
+
+            half = F.aggregate(e, F.struct(F.lit(0).alias("n"), F.lit(0).alias("at")), count)
+            return (
+                F.when(F.get(e, 0) != s.first, state(nested, F.lit(0), s.size * 2, F.lit(None), False))
+                .when(s.at + s.size >= n, state(F.concat(s.done, F.array(e)), s.at, s.size, F.lit(None), True))
+                .otherwise(F.get(F.transform(F.array(half), cut), 0))
+            )
+
+        return F.when(s.ended, s).otherwise(F.get(F.transform(F.array(fold(F.slice(pieces, s.at + 1, s.size), vocab)), found), 0))
+
+    # windows of size s take 2 n / s + 2 steps at most, and s doubles from ``window`` until it covers the word
+    steps = F.when(n <= window, F.lit(1)).otherwise((4 * n / window).cast("int") + 72)
+    out = F.aggregate(F.sequence(F.lit(1), steps), state(nested, F.lit(0), F.lit(window), F.lit(None), False), step, lambda s: F.flatten(s.done))
     return out
 
 
@@ -219,10 +226,10 @@ def java_pattern(pattern: str) -> str:
 
 def dictionary(texts: DataFrame, vocab: Vocabulary, pattern: str, size: int = DICTIONARY) -> pa.Table:
     """``word`` and ``ids`` of the most frequent words of ``texts(text)``: all with a count over a limit set so that at most
-    ``size`` remain, whatever the table.  Words over ``LONGEST_FOLD`` bytes are left out."""
+    ``size`` remain, whatever the table."""
     found = F.expr("regexp_extract_all(text, _p, 0)")
     words = texts.select("text", F.lit(java_pattern(pattern)).alias("_p")).select(F.explode(found).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST_FOLD))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = materialize(counts, "words")
     ladder = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect()
     total, least = 0, None
@@ -231,7 +238,7 @@ def dictionary(texts: DataFrame, vocab: Vocabulary, pattern: str, size: int = DI
             break
         total, least = total + row.k, row.n
     kept = counts.where(F.col("n") >= (least or 1 << 62)).select("word", byte_array(F.col("word"), vocab).alias("pieces")).repartition("word")
-    return kept.select("word", fold(F.col("pieces"), vocab).alias("ids")).toArrow()
+    return kept.select("word", encoded_word(F.col("pieces"), vocab).alias("ids")).toArrow()
 
 
 def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary_size: int = DICTIONARY) -> DataFrame:
@@ -245,69 +252,56 @@ def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id
     flat, at = _flat(known["ids"].combine_chunks())
     entries = spark.sparkContext.broadcast(known["word"].to_pylist())
     coded = spark.sparkContext.broadcast((flat, at))
-    tokens = spark.sparkContext.broadcast((vocab.tokens, byte_ids(vocab)))
+    singles = spark.sparkContext.broadcast(byte_ids(vocab))
     kind, run = df.schema[id_col].dataType.simpleString(), uuid.uuid4().hex
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words as numbers: an entry of the dictionary, or below zero the document's own words, numbered in the batch."""
+        """Words as numbers: an entry of the dictionary, or below zero one of the document's own words."""
         import regex
 
-        store = worker_cache("bpe words")
+        store = begin_task(lambda: worker_cache("bpe words"))
         if store.get("run") != run:
             store.clear()
             store["run"] = run
             store["number"] = {w: i for i, w in enumerate(entries.value)}
-            store["ids"] = {t: i for i, t in enumerate(tokens.value[0])}
-        number, ids, findall, first = store["number"], store["ids"], regex.compile(pattern).findall, tokens.value[1]
+        number, findall, first = store["number"], regex.compile(pattern).findall, singles.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                codes, rest, per_text, longs, long_per_text = [], [], [0], [], [0]
+                codes, rest, per_text = [], [], [0]
                 for text in part.column(1):
                     words = findall(text.as_py() or "")
                     own = list(map(number.get, words))
                     if None in own:
                         extra: dict[str, int] = {}
                         for w in {w for w, i in zip(words, own, strict=True) if i is None}:
-                            b = w.encode("utf-8", "surrogatepass")
-                            if len(b) > LONGEST_FOLD:
-                                extra[w] = -2 * (len(longs) - long_per_text[-1]) - 2
-                                longs.append(merge_long(b, ids))
-                            else:
-                                extra[w] = -2 * (len(rest) - per_text[-1]) - 1
-                                rest.append(b)
+                            extra[w] = per_text[-1] - len(rest) - 1
+                            rest.append(w.encode("utf-8", "surrogatepass"))
                         own = [extra[w] if i is None else i for w, i in zip(words, own, strict=True)]
                     codes.append(np.array(own, "<i4").tobytes())
                     per_text.append(len(rest))
-                    long_per_text.append(len(longs))
                 ends = np.zeros(len(rest) + 1, np.int32)
                 np.cumsum([len(b) for b in rest], out=ends[1:])
                 pieces = pa.ListArray.from_arrays(pa.array(ends), pa.array(first[np.frombuffer(b"".join(rest), np.uint8)]))
                 own_words = pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), pieces)
-                own_longs = pa.ListArray.from_arrays(pa.array(long_per_text, pa.int32()), pa.array(longs, pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary()), own_words, own_longs], ["doc_id", "codes", "words", "longs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary()), own_words], ["doc_id", "codes", "words"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, at = coded.value
         for batch in batches:
-            words, longs = batch.column(2), batch.column(3)
-            (own, own_at), (far, far_at) = _flat(words.flatten()), _flat(longs.flatten())
-            every = np.concatenate((flat, own, far))
-            ends = np.concatenate((at, own_at[1:] + len(flat), far_at[1:] + len(flat) + len(own)))
-            base, base_far = len(at) - 1, len(at) + len(own_at) - 2
+            words = batch.column(2)
+            own, own_at = _flat(words.flatten())
+            every, ends, base = np.concatenate((flat, own)), np.concatenate((at, own_at[1:] + len(flat))), len(at) - 1
             first = np.concatenate(([0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))))
-            first_far = np.concatenate(([0], np.cumsum(longs.value_lengths().to_numpy(zero_copy_only=False))))
             out = []
             for i, codes in enumerate(batch.column(1)):
                 code = np.frombuffer(codes.as_py(), "<i4").astype(np.int64)
-                k = (-code - 1) >> 1
-                code = np.where(code >= 0, code, np.where(code & 1 == 1, base + first[i] + k, base_far + first_far[i] + k))
-                out.append(gather(every, ends, code).tobytes())
+                out.append(gather(every, ends, np.where(code >= 0, code, base + first[i] - code - 1)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     words = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parted = words.mapInArrow(split, f"doc_id {kind}, codes binary, words array<array<bigint>>, longs array<array<bigint>>")
-    folded = parted.select("doc_id", "codes", F.transform("words", lambda w: fold(w, vocab)).alias("words"), "longs")
+    parted = words.mapInArrow(split, f"doc_id {kind}, codes binary, words array<array<bigint>>")
+    folded = parted.select("doc_id", "codes", F.transform("words", lambda w: encoded_word(w, vocab)).alias("words"))
     return folded.mapInArrow(join, f"doc_id {kind}, ids binary")
 
 
@@ -317,16 +311,16 @@ def decode(encoded: DataFrame, vocab: Vocabulary) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = np.frombuffer(b"".join(tokens.value), np.uint8)
-        at = np.concatenate(([0], np.cumsum([len(t) for t in tokens.value])))
+        piece = tokens.value.__getitem__
         for batch in batches:
-            out = [gather(flat, at, np.frombuffer(x.as_py(), "<u4").astype(np.int64)).tobytes() for x in batch.column(1)]
+            out = [b"".join(map(piece, np.frombuffer(x.as_py(), "<u4").tolist())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, bytes binary")
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Ids of every row of ``documents`` and their bytes again: a row for each row, null text as empty (no ids)."""
     import public_tokenizers
 
     from weft.llm.common import table
