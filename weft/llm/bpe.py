@@ -31,12 +31,11 @@ class Vocabulary:
     """Token bytes by id, and merges as a perfect hash table of powers of two.
 
     The pair (a, b) has key ``a << 16 | b`` and slot ``spread(key, slot factor) ^ move[spread(key, bucket factor)]``;
-    the slot holds that key and the merged id if the pair merges.
+    the slot holds ``key << 16 | merged id`` if the pair merges.
     """
 
     tokens: tuple[bytes, ...]
-    keys: np.ndarray
-    merged: np.ndarray
+    entries: np.ndarray
     move: np.ndarray
     factors: tuple[int, int]
 
@@ -62,7 +61,7 @@ def vocabulary(tokens: list[bytes]) -> Vocabulary:
     ids = {t: i for i, t in enumerate(tokens)}
     pairs = {ids[t[:k]] << 16 | ids[t[k:]]: i for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
     key, merged = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
-    size = 1 << max(4, (2 * len(key)).bit_length())
+    size = 1 << max(4, (len(key) * 6 // 5).bit_length())  # at most five sixths full
     draw = np.random.default_rng(0)
     for _ in range(200):
         factors = tuple(int(x) | 1 for x in draw.integers(1 << 29, 1 << 30, 2))
@@ -71,9 +70,9 @@ def vocabulary(tokens: list[bytes]) -> Vocabulary:
     else:
         raise RuntimeError("no hash function without collisions was found")
     at = spread(key, factors[1], size) ^ move[spread(key, factors[0], size // 8)]
-    keys, values = np.full(size, -1, np.int64), np.zeros(size, np.int64)
-    keys[at], values[at] = key, merged
-    return Vocabulary(tuple(tokens), keys, values, move, factors)
+    entries = np.full(size, -1, np.int64)
+    entries[at] = key << 16 | merged
+    return Vocabulary(tuple(tokens), entries, move, factors)
 
 
 def _moves(bucket: np.ndarray, home: np.ndarray, size: int) -> np.ndarray | None:
@@ -115,22 +114,29 @@ def byte_array(word: Column, vocab: Vocabulary) -> Column:
     return F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.get(first, F.ascii(c)))
 
 
-def fold(pieces: Column, vocab: Vocabulary) -> Column:
+def rank_map(vocab: Vocabulary) -> Column:
+    """The rank map as one literal: hash table, its displacements, and the length of each token.  It is named once in a plan
+    and handed on as a variable, since every task reads each literal of its plan number by number."""
+    length = np.array([len(t) for t in vocab.tokens], np.int64)
+    return F.struct(_literal(vocab.entries).alias("entries"), _literal(vocab.move).alias("move"), _literal(length).alias("length"))
+
+
+def fold(pieces: Column, vocab: Vocabulary, ranks: Column) -> Column:
     """Token ids of bytes given as ids of single bytes (array<bigint>): ranked merges, one a step.
 
     The state has one number for each piece: the rank its merge with the next piece would have, where it starts, and its
     token.  The least number is the leftmost merge of lowest rank; a step makes it and looks up the two pairs it creates.
     """
-    keys, ids, move = (_literal(x) for x in (vocab.keys, vocab.merged, vocab.move))
     none, rank_at, start_at = 1 << 16, 46, 16  # starts have 30 bits
 
     def bits(key: Column, factor: int, size: int) -> Column:
         return F.shiftright(key * factor, 26).bitwiseAND(size - 1).cast("int")
 
     def rank_of(key: Column) -> Column:
-        moved = F.get(move, bits(key, vocab.factors[0], len(vocab.move))).cast("int")
-        slot = bits(key, vocab.factors[1], len(vocab.keys)).bitwiseXOR(moved)
-        return F.when(F.get(keys, slot) == key, F.get(ids, slot)).otherwise(F.lit(none).cast("bigint"))
+        moved = F.get(ranks.move, bits(key, vocab.factors[0], len(vocab.move))).cast("int")
+        slot = bits(key, vocab.factors[1], len(vocab.entries)).bitwiseXOR(moved)
+        entry = F.get(ranks.entries, slot)
+        return F.when(F.shiftright(entry, 16) == key, entry.bitwiseAND(0xFFFF)).otherwise(F.lit(none).cast("bigint"))
 
     def piece(key: Column, rest: Column) -> Column:
         return F.shiftleft(rank_of(key), rank_at).bitwiseOR(rest)
@@ -161,7 +167,12 @@ def fold(pieces: Column, vocab: Vocabulary) -> Column:
     return F.aggregate(rounds, begin, step, lambda s: F.transform(s, token))
 
 
-def encoded_word(pieces: Column, vocab: Vocabulary, window: int = WINDOW) -> Column:
+def encoded_words(words: Column, vocab: Vocabulary, window: int = WINDOW) -> Column:
+    """Token ids of each word of an array; a word is an array of ids of single bytes."""
+    return F.get(F.transform(F.array(rank_map(vocab)), lambda ranks: F.transform(words, lambda w: encoded_word(w, vocab, ranks, window))), 0)
+
+
+def encoded_word(pieces: Column, vocab: Vocabulary, ranks: Column, window: int = WINDOW) -> Column:
     """Token ids of a word of any length given as ids of single bytes, in time linear in its length but for rare cases.
 
     Windows of the word are folded one after another.  Each begins where a token of the one before begins, past its
@@ -169,7 +180,6 @@ def encoded_word(pieces: Column, vocab: Vocabulary, window: int = WINDOW) -> Col
     ids of which every two neighbours do are the encoding of the whole.  If a window does not find the token, all begins
     again with windows twice as long, in the end with the whole word as one.
     """
-    length = _literal(np.array([len(t) for t in vocab.tokens], np.int64))
     n = F.size(pieces)
     nested = F.array().cast("array<array<bigint>>")
 
@@ -185,7 +195,7 @@ def encoded_word(pieces: Column, vocab: Vocabulary, window: int = WINDOW) -> Col
 
             def count(c: Column, t: Column) -> Column:
                 inside = c.at < F.shiftright(s.size, 1)
-                return F.struct((c.n + F.when(inside, 1).otherwise(0)).alias("n"), (c.at + F.when(inside, F.get(length, t.cast("int")).cast("int")).otherwise(0)).alias("at"))
+                return F.struct((c.n + F.when(inside, 1).otherwise(0)).alias("n"), (c.at + F.when(inside, F.get(ranks.length, t.cast("int")).cast("int")).otherwise(0)).alias("at"))
 
             half = F.aggregate(e, F.struct(F.lit(0).alias("n"), F.lit(0).alias("at")), count)
             return (
@@ -194,7 +204,7 @@ def encoded_word(pieces: Column, vocab: Vocabulary, window: int = WINDOW) -> Col
                 .otherwise(F.get(F.transform(F.array(half), cut), 0))
             )
 
-        return F.when(s.ended, s).otherwise(F.get(F.transform(F.array(fold(F.slice(pieces, s.at + 1, s.size), vocab)), found), 0))
+        return F.when(s.ended, s).otherwise(F.get(F.transform(F.array(fold(F.slice(pieces, s.at + 1, s.size), vocab, ranks)), found), 0))
 
     # windows of size s take 2 n / s + 2 steps at most, and s doubles from ``window`` until it covers the word
     steps = F.when(n <= window, F.lit(1)).otherwise((4 * n / window).cast("int") + 72)
@@ -238,7 +248,7 @@ def dictionary(texts: DataFrame, vocab: Vocabulary, pattern: str, size: int = DI
             break
         total, least = total + row.k, row.n
     kept = counts.where(F.col("n") >= (least or 1 << 62)).select("word", byte_array(F.col("word"), vocab).alias("pieces")).repartition("word")
-    return kept.select("word", encoded_word(F.col("pieces"), vocab).alias("ids")).toArrow()
+    return kept.select("word", F.get(encoded_words(F.array("pieces"), vocab), 0).alias("ids")).toArrow()
 
 
 def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary_size: int = DICTIONARY) -> DataFrame:
@@ -250,7 +260,7 @@ def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id
     spark = small_batches(df).sparkSession
     known = dictionary(df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), vocab, pattern, dictionary_size).combine_chunks()
     flat, at = _flat(known["ids"].combine_chunks())
-    entries = spark.sparkContext.broadcast(known["word"].to_pylist())
+    entries = spark.sparkContext.broadcast(known["word"].combine_chunks())
     coded = spark.sparkContext.broadcast((flat, at))
     singles = spark.sparkContext.broadcast(byte_ids(vocab))
     kind, run = df.schema[id_col].dataType.simpleString(), uuid.uuid4().hex
@@ -263,7 +273,7 @@ def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id
         if store.get("run") != run:
             store.clear()
             store["run"] = run
-            store["number"] = {w: i for i, w in enumerate(entries.value)}
+            store["number"] = {w: i for i, w in enumerate(entries.value.to_pylist())}
         number, findall, first = store["number"], regex.compile(pattern).findall, singles.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -301,7 +311,7 @@ def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id
 
     words = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parted = words.mapInArrow(split, f"doc_id {kind}, codes binary, words array<array<bigint>>")
-    folded = parted.select("doc_id", "codes", F.transform("words", lambda w: encoded_word(w, vocab)).alias("words"))
+    folded = parted.select("doc_id", "codes", encoded_words(F.col("words"), vocab).alias("words"))
     return folded.mapInArrow(join, f"doc_id {kind}, ids binary")
 
 
