@@ -5,12 +5,14 @@ P(w | h) is the discounted count of (h, w) over the size of h where (h, w) was s
 first word), and one level below the words the mass left for unknown ones.  alpha makes every context sum to exactly
 one: the share that h has left, over what the level below gives to the words not seen after h.
 
-Words are numbers: the most frequent ones (a fixed number, broadcast) by rank, all others by a 63-bit hash below zero, so
-that two rare words of equal hash would count as one.  n-grams are dealt to buckets by their context, so a bucket holds
-whole contexts; contexts with a large share of all tokens (their number is bounded, so they are broadcast) are dealt by
-the whole n-gram instead and their sums are added up afterwards.  What is shuffled are blocks: the distinct n-grams of
-half a million tokens that fall in one bucket, as sorted columns, compressed.  Tables of the model, partitioned by
-bucket: ``grams/order=k`` (n-grams and counts) and ``contexts/order=k`` (contexts with size and alpha).
+Words are numbers: the most frequent ones (a fixed number, broadcast) by rank, all others by a 63-bit hash below zero.
+An n-gram of frequent words is named by their numbers side by side, any other by a 63-bit hash below zero; so two rare
+words, or two n-grams with rare words, of equal hash would count as one.  n-grams are dealt to buckets by their context,
+so a bucket holds whole contexts; contexts with a large share of all tokens (their number is bounded, so they are
+broadcast) are dealt by the whole n-gram instead and their sums are added up afterwards.  What is shuffled are blocks:
+the distinct n-grams of a million tokens that fall in one bucket, as sorted numbers, compressed; a block has one n-gram at
+least.  Tables of the model, partitioned by bucket: ``grams/order=k`` (n-grams and counts) and ``contexts/order=k`` (size and
+alpha of contexts).
 
 Scoring asks level by level: tokens whose n-gram the level has are done, the others take the context's alpha along to
 the level below.  Every bucket answers the blocks sent to it, and answers go back to the batch of texts that asked.
@@ -32,15 +34,14 @@ from weft.llm.common import begin_task, small_batches, utf8, worker_cache
 from weft.plans.runtime import materialize, new_path, release, write_once
 
 ORDER = 3
-FREQUENT_WORDS = 400_000
+FREQUENT_WORDS = 500_000
 DISCOUNTED = 5
 PARTS = 8
-TOKENS_AT_ONCE = 1 << 19
+TOKENS_AT_ONCE = 1 << 20
 TOKENS_PER_BUCKET = 1 << 20
 HOT_SHARE = 1 / 100_000  # of all tokens: at most 100,000 contexts of a level have more
 LEAST_HOT = 1 << 17
 
-_GRAMS, _CONTEXTS, _ASKED = 0, 1, 2
 
 
 def discounts(counts_of_counts: dict[int, int], top: int = DISCOUNTED) -> list[float]:
@@ -81,7 +82,7 @@ def word_number(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42) % (1 << 63) - (1 << 63)
 
 
-# -- blocks of numbers ----------------------------------------------------------------------------------------------
+# -- n-grams as numbers ---------------------------------------------------------------------------------------------
 
 
 def packed(columns: np.ndarray) -> bytes:
@@ -93,68 +94,116 @@ def packed(columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unpacked(data: bytes, columns: int, kind: str = "<i8") -> np.ndarray:
+def unpacked(data: bytes, columns: int = 1, kind: str = "<i8") -> np.ndarray:
+    """Columns packed so; one column as a plain array."""
     import zstandard
 
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(columns, 8, -1)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind).reshape(columns, -1)
+    out = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind).reshape(columns, -1)
+    return out[0] if columns == 1 else out
 
 
-def mixed(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of columns ``ids``."""
-    h = np.full(ids.shape[1], 0x2545F4914F6CDD1D, np.uint64)
+def rising(x: np.ndarray) -> bytes:
+    """Sorted numbers, packed by their steps."""
+    return packed(np.diff(x, prepend=0))
+
+
+def risen(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each number."""
+    h = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(27))
+
+
+def named(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Names of n-grams (columns of word numbers): the numbers side by side where each fits ``bits`` bits, else a 63-bit hash
+    below zero."""
+    plain = ((ids >= 0) & (ids < 1 << bits)).all(axis=0)
+    out = np.zeros(ids.shape[1], np.int64)
     for column in ids:
-        h = (h ^ column.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return h
-
-
-class Index:
-    """Finds rows among the rows of ``ids``: by hash, then by the numbers themselves."""
-
-    def __init__(self, ids: np.ndarray):
-        h = mixed(ids)
-        self.order = np.argsort(h, kind="stable")
-        self.h, self.ids = h[self.order], ids[:, self.order]
-
-    def find(self, ids: np.ndarray) -> np.ndarray:
-        """Place of each row, or -1."""
-        out, h = np.full(ids.shape[1], -1), mixed(ids)
-        at, left = np.searchsorted(self.h, h), np.arange(len(h))
-        while len(left):
-            left = left[at[left] < len(self.h)]
-            left = left[self.h[at[left]] == h[left]]
-            same = (self.ids[:, at[left]] == ids[:, left]).all(axis=0)
-            out[left[same]] = self.order[at[left[same]]]
-            left = left[~same]
-            at[left] += 1
-        return out
-
-
-def unique_rows(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of columns ``ids`` in order, and the sum of ``n`` over each."""
-    order = np.lexsort(ids[::-1])
-    s = ids[:, order]
-    new = np.flatnonzero(np.concatenate(([True] * min(1, s.shape[1]), (s[:, 1:] != s[:, :-1]).any(axis=0))))
-    return s[:, new], np.add.reduceat(n[order], new) if len(new) else n[:0]
-
-
-def bucket_of(ids: np.ndarray, hot: Index | None, buckets: int) -> np.ndarray:
-    """Bucket of each n-gram: by its context, or by all of it if the context is hot or empty."""
-    whole = mixed(ids)
-    if len(ids) > 1:
-        own = mixed(ids[:-1])
-        whole = own if hot is None else np.where(hot.find(ids[:-1]) < 0, own, whole)
-    return ((whole >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
-
-
-def dealt(buckets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order of the rows by bucket, and (bucket, from, to) of each part."""
-    order = np.argsort(buckets, kind="stable")
-    found, first = np.unique(buckets[order], return_index=True)
-    return order, list(zip(found.tolist(), first.tolist(), [*first.tolist(), len(order)][1:], strict=True))
+        out = out << bits | np.where(plain, column, 0)
+    if not plain.all():
+        h = np.zeros(len(plain) - int(plain.sum()), np.int64)
+        for column in ids[:, ~plain]:
+            h = mixed(h ^ mixed(column).view(np.int64)).view(np.int64)
+        out[~plain] = -1 - (h & 0x7FFFFFFFFFFFFFFF)
+    return out
+
+
+@dataclass
+class Grams:
+    """Distinct k-grams in order of their names, those named by a hash first; of these it has the words too."""
+
+    plain: np.ndarray
+    wide: np.ndarray  # (k, how many)
+    bits: int
+
+    def __post_init__(self) -> None:
+        self.k = len(self.wide)
+        self.wide_names = named(self.wide, self.bits)
+
+    def __len__(self) -> int:
+        return len(self.plain) + len(self.wide_names)
+
+    def names(self) -> np.ndarray:
+        return np.concatenate((self.wide_names, self.plain))
+
+    def contexts(self) -> np.ndarray:
+        """Name of each one's words but the last; of a single word zero."""
+        return np.concatenate((_shorter(self.wide[:-1], self.bits), self.plain >> self.bits if self.k > 1 else self.plain * 0))
+
+
+def _shorter(ids: np.ndarray, bits: int) -> np.ndarray:
+    return named(ids, bits) if len(ids) else np.zeros(ids.shape[1], np.int64)
+
+
+def summed(plain: list[np.ndarray], wide: list[np.ndarray], n_plain: list[np.ndarray], n_wide: list[np.ndarray], bits: int) -> tuple[Grams, np.ndarray, np.ndarray]:
+    """n-grams of several lists, each once, and the sums of their counts: of the plain ones and of the others."""
+    x, n = np.concatenate(plain), np.concatenate(n_plain)
+    order = np.argsort(x, kind="stable")
+    x, n = x[order], n[order]
+    new = np.flatnonzero(np.diff(x, prepend=-1))
+    ids, m = np.concatenate(wide, axis=1), np.concatenate(n_wide)
+    _, first, which = np.unique(named(ids, bits), return_index=True, return_inverse=True)
+    total = np.zeros(len(first), np.int64)
+    np.add.at(total, which, m)
+    return Grams(x[new], ids[:, first], bits), np.add.reduceat(n, new) if len(new) else n, total
+
+
+def place(known: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Place of each name among the sorted ``known``, or -1."""
+    if not len(known):
+        return np.full(len(names), -1)
+    at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+    return np.where(known[at] == names, at, -1)
+
+
+def bucket_of(names: np.ndarray, contexts: np.ndarray, hot: np.ndarray | None, buckets: int) -> np.ndarray:
+    """Bucket of each n-gram: by its context, or by its own name if the context is hot (None: all are)."""
+    key = names if hot is None else np.where(place(hot, contexts) >= 0, names, contexts) if len(hot) else contexts
+    return ((mixed(key) >> np.uint64(16)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+
+
+def dealt(bucket: np.ndarray, wide: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Order by bucket of n-grams of which the first ``wide`` are named by a hash, and for each bucket its places among these
+    and among the others."""
+    one, two = (np.argsort(x, kind="stable") for x in (bucket[:wide], bucket[wide:]))
+    found = np.flatnonzero(np.bincount(bucket)) if len(bucket) else bucket[:0]
+    cuts = [[np.searchsorted(x[o], found, side) for side in ("left", "right")] for x, o in ((bucket[:wide], one), (bucket[wide:], two))]
+    parts = [(int(b), one[lo:hi], two[at:end]) for b, lo, hi, at, end in zip(found, *cuts[0], *cuts[1], strict=True)]
+    return np.concatenate([np.zeros(0, np.int64), *[x for _, a, b in parts for x in (a, b + wide)]]), parts
+
+
+def in_order(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Values given bucket after bucket, in the order of what was dealt."""
+    out = np.empty_like(values)
+    out[order] = values
+    return out
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -168,7 +217,7 @@ def _arrow(schema: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
@@ -178,35 +227,60 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict]:
 
 
 class Tokens:
-    """Token numbers of a batch of texts, each text's words and its end."""
+    """Token numbers of a batch of texts, each text's words and its end, as places in ``words`` (sorted, the begin last)."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, begin: int, chosen: np.ndarray | None = None):
-        self.ids, self.sizes, self.begin = ids, sizes, begin
+    def __init__(self, words: np.ndarray, local: np.ndarray, sizes: np.ndarray, chosen: np.ndarray | None = None):
+        self.words, self.local, self.sizes = words, local, sizes
         self.text = np.repeat(np.arange(len(sizes)), sizes)
-        self.place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.chosen = np.arange(len(ids)) if chosen is None else chosen
+        self.place = np.arange(len(local)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.chosen = np.arange(len(local)) if chosen is None else chosen
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct k-grams that end at the chosen tokens, in order; which one ends at each of these; and counts."""
-        names, local = np.unique(np.concatenate((self.ids, [self.begin])), return_inverse=True)
-        rank = ids = None
-        for back in range(k - 1, -1, -1):
+    def ids(self) -> np.ndarray:
+        return self.words[self.local]
+
+    def grams(self, k: int, bits: int) -> tuple[Grams, np.ndarray, np.ndarray]:
+        """Distinct k-grams that end at the chosen tokens, which one ends at each of these, and their counts."""
+        begin, width = len(self.words) - 1, len(self.words).bit_length()
+        key, spare, ids = None, 63, None
+
+        def window(back: int) -> np.ndarray:
             inside = self.place[self.chosen] >= back
-            x = np.where(inside, local[np.where(inside, self.chosen - back, 0)], local[-1])
-            if rank is None:
-                found, rank, n = np.unique(x, return_inverse=True, return_counts=True)
-                ids = names[found][None]
-            else:
-                found, rank, n = np.unique(rank.astype(np.int64) << 32 | x, return_inverse=True, return_counts=True)
-                ids = np.concatenate((ids[:, found >> 32], names[found & 0xFFFFFFFF][None]))
-        return ids, rank, n.astype(np.int64)
+            return np.where(inside, self.local[np.where(inside, self.chosen - back, 0)], begin)
+
+        def split(found: np.ndarray, columns: int) -> np.ndarray:
+            return np.stack([self.words[(found >> width * (columns - 1 - j)) & ((1 << width) - 1)] for j in range(columns)])
+
+        columns = 0
+        for back in range(k - 1, -1, -1):
+            if key is None:
+                key, columns, spare = window(back).astype(np.int64), 1, 63 - width
+                continue
+            if spare < width:  # name what there is by its rank, which has fewer bits
+                found, key = np.unique(key, return_inverse=True)
+                head = split(found, columns) if ids is None else np.concatenate((ids[:, found >> width * (columns - 1)], split(found, columns - 1)))
+                ids, columns, spare = head, 1, 63 - len(found).bit_length()
+            key, columns, spare = key.astype(np.int64) << width | window(back), columns + 1, spare - width
+        found, which, n = np.unique(key, return_inverse=True, return_counts=True)
+        words = split(found, columns) if ids is None else np.concatenate((ids[:, found >> width * (columns - 1)], split(found, columns - 1)))
+        names = named(words, bits)
+        order = np.concatenate((np.flatnonzero(names < 0), np.flatnonzero(names >= 0)))
+        wide = int((names < 0).sum())
+        order[:wide] = order[:wide][np.argsort(names[order[:wide]], kind="stable")]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return Grams(names[order[wide:]], words[:, order[:wide]], bits), back[which], n[order].astype(np.int64)
+
+
+_CODED = "sizes binary, words binary, tokens binary, sums binary, left binary"
 
 
-_CODED = "sizes binary, tokens binary, sums binary, known binary, left binary"
+def _tokens(row: dict) -> Tokens:
+    left = None if row.get("left") is None else risen(row["left"])
+    return Tokens(risen(row["words"]), unpacked(row["tokens"]), unpacked(row["sizes"]), left)
 
 
 def coded(df: DataFrame, words, name: str, id_col: str | None, text_col: str) -> DataFrame:
-    """Texts as numbers, about ``TOKENS_AT_ONCE`` tokens a row: ``who keys sizes tokens`` and room for what is found out.
+    """Texts as numbers, about ``TOKENS_AT_ONCE`` tokens a row: ``who keys sizes words tokens`` and room for what is found out.
     A text is never cut, so a row is as long as the longest text at least.  ``words`` broadcasts the frequent words of the
     model ``name``."""
     keys = F.lit(None).cast("int").alias("key") if id_col is None else F.col(id_col).alias("key")
@@ -225,8 +299,9 @@ def coded(df: DataFrame, words, name: str, id_col: str | None, text_col: str) ->
         who, ids, keys, sizes, size = TaskContext.get().partitionId() << 33, [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            found = {"who": who, "keys": keys if keyed else None, "sizes": packed(np.array(sizes, np.int64)), "tokens": packed(np.concatenate(ids))}
-            return _batch([found], target)
+            found, local = np.unique(np.concatenate(ids), return_inverse=True)
+            one = {"who": who, "keys": keys if keyed else None, "sizes": packed(np.array(sizes, np.int64))}
+            return _batch([one | {"words": rising(np.append(found, end + 1)), "tokens": packed(local.astype(np.int64))}], target)
 
         for batch in batches:
             texts = batch.column(1)
@@ -252,74 +327,74 @@ def coded(df: DataFrame, words, name: str, id_col: str | None, text_col: str) ->
 
 # -- counting -------------------------------------------------------------------------------------------------------
 
+_BLOCK = "bucket int, plain binary, wide binary, n_plain binary, n_wide binary"
 
-def _merged(blocks: DataFrame, columns: int, often: int) -> DataFrame:
-    """Sum the blocks ``(bucket, ids, n)`` of each bucket: ``bucket ids n ladder often``, where ladder says how many n-grams
-    have counts 1, 2, ... and often holds those with ``often`` or more.  Blocks are summed as they come, so that a
-    bucket takes the memory of its distinct n-grams."""
-    schema = "bucket int, ids binary, n binary, ladder array<long>, often binary"
+
+def _merged(blocks: DataFrame, k: int, bits: int, often: int) -> DataFrame:
+    """Sum the blocks of each bucket: a block a bucket, and with it ladder (how many n-grams have counts 1, 2, ...) and
+    often (names of those with ``often`` or more).  Blocks are summed as they come, so that a bucket takes the memory of
+    its distinct n-grams."""
+    schema = f"{_BLOCK}, ladder array<long>, often binary"
     target, limit = _arrow(schema), 2 * TOKENS_PER_BUCKET
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, n, waiting = None, [], [], 0
-
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            return unique_rows(np.concatenate(ids, axis=1), np.concatenate(n))
+        now, lists, waiting = None, None, 0
 
         def done() -> pa.RecordBatch:
-            all_ids, all_n = summed()
-            many = all_n >= often
-            ladder = np.bincount(np.minimum(all_n, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-            return _batch([{"bucket": now, "ids": packed(all_ids), "n": packed(all_n), "ladder": ladder.tolist(), "often": packed(all_ids[:, many])}], target)
+            grams, n, m = summed(*lists, bits)
+            every = np.concatenate((m, n))
+            ladder = np.bincount(np.minimum(every, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
+            found = {"bucket": now, "plain": rising(grams.plain), "wide": packed(grams.wide), "n_plain": packed(n), "n_wide": packed(m)}
+            return _batch([found | {"ladder": ladder.tolist(), "often": packed(grams.names()[every >= often])}], target)
 
-        for row in _grouped(batches, "bucket"):
+        for row in _rows(batches):
             if row["bucket"] != now:
                 if now is not None:
                     yield done()
-                now, ids, n, waiting = row["bucket"], [], [], 0
-            ids.append(unpacked(row["ids"], columns))
-            n.append(unpacked(row["n"], 1)[0])
-            waiting += len(n[-1])
+                now, lists, waiting = row["bucket"], ([], [], [], []), 0
+            for x, one in zip(lists, (risen(row["plain"]), unpacked(row["wide"], k).reshape(k, -1), unpacked(row["n_plain"]), unpacked(row["n_wide"])), strict=True):
+                x.append(one)
+            waiting += len(lists[2][-1]) + len(lists[3][-1])
             if waiting > limit:
-                some = summed()
-                ids, n, waiting = [some[0]], [some[1]], 0
+                grams, n, m = summed(*lists, bits)
+                lists, waiting = ([grams.plain], [grams.wide], [n], [m]), 0
         if now is not None:
             yield done()
 
     return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def _counted(tokens: DataFrame, k: int, hot: np.ndarray, buckets: int, begin: int) -> DataFrame:
-    """Blocks ``bucket ids n`` of the k-grams of coded texts."""
-    schema = "bucket int, ids binary, n binary"
-    target, shared = _arrow(schema), tokens.sparkSession.sparkContext.broadcast(hot)
+def _blocks(grams: Grams, n: np.ndarray, hot: np.ndarray | None, buckets: int) -> list[dict]:
+    wide = len(grams.wide_names)
+    _, parts = dealt(bucket_of(grams.names(), grams.contexts(), hot, buckets), wide)
+    return [{"bucket": b, "plain": rising(grams.plain[p]), "wide": packed(grams.wide[:, w]), "n_plain": packed(n[wide:][p]), "n_wide": packed(n[:wide][w])} for b, w, p in parts]
+
+
+def _counted(tokens: DataFrame, k: int, bits: int, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Blocks of the k-grams of coded texts."""
+    target, shared = _arrow(_BLOCK), tokens.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
-        for row in _grouped(batches, "who"):
-            ids, _, n = Tokens(unpacked(row["tokens"], 1)[0], unpacked(row["sizes"], 1)[0], begin).grams(k)
-            order, parts = dealt(bucket_of(ids, index, buckets))
-            ids, n = ids[:, order], n[order]
-            yield _batch([{"bucket": b, "ids": packed(ids[:, lo:hi]), "n": packed(n[lo:hi])} for b, lo, hi in parts], target)
+        for row in _rows(batches):
+            grams, _, n = _tokens(row).grams(k, bits)
+            yield _batch(_blocks(grams, n, shared.value, buckets), target)
 
-    return tokens.select("sizes", "tokens").mapInArrow(run, schema)
+    return tokens.select("sizes", "words", "tokens").mapInArrow(run, _BLOCK)
 
 
-def _rare_blocks(words: DataFrame, buckets: int) -> DataFrame:
-    """Blocks ``bucket ids n`` of ``words(word, c)`` under their numbers."""
-    schema = "bucket int, ids binary, n binary"
-    target = _arrow(schema)
+def _rare_blocks(words: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """Blocks of ``words(word, c)`` under their numbers."""
+    target = _arrow(_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ids = np.array([[word_number(w) for w in batch.column(0).to_pylist()]], np.int64)
-                ids, n = unique_rows(ids, batch.column(1).to_numpy())
-                order, parts = dealt(bucket_of(ids, None, buckets))
-                ids, n = ids[:, order], n[order]
-                yield _batch([{"bucket": b, "ids": packed(ids[:, lo:hi]), "n": packed(n[lo:hi])} for b, lo, hi in parts], target)
+                none = np.zeros(0, np.int64)
+                grams, _, n = summed([none], [ids], [none], [batch.column(1).to_numpy()], bits)
+                yield _batch(_blocks(grams, n, None, buckets), target)
 
-    return words.select("word", "c").mapInArrow(run, schema)
+    return words.select("word", "c").mapInArrow(run, _BLOCK)
 
 
 # -- the model ------------------------------------------------------------------------------------------------------
@@ -337,140 +412,144 @@ class Model:
     scale: float
     unknown: float  # probability of the class of unknown words
     d: dict[int, list[float]] = field(default_factory=dict)
-    hot: dict[int, np.ndarray] = field(default_factory=dict)  # contexts dealt by the whole n-gram
+    hot: dict[int, np.ndarray | None] = field(default_factory=lambda: {1: None})  # names of the contexts dealt by the whole n-gram
     sums: dict[int, np.ndarray] = field(default_factory=dict)  # their size and alpha
 
     @property
-    def end(self) -> int:
-        return len(self.words)
+    def bits(self) -> int:
+        return 63 // self.order
 
     @property
     def begin(self) -> int:
         return len(self.words) + 1
 
     def grams(self, spark: SparkSession, k: int) -> DataFrame:
-        """``bucket ids n``: n-grams of order k, packed columns of numbers, and their counts."""
-        return spark.read.schema("bucket int, ids binary, n binary, part int").parquet(f"{self.path}/grams/order={k}")
+        """Blocks of the n-grams of order k, one a bucket: see :class:`Grams`, and their counts."""
+        return spark.read.schema(f"{_BLOCK}, part int").parquet(f"{self.path}/grams/order={k}").drop("part")
 
     def contexts(self, spark: SparkSession, k: int) -> DataFrame:
-        """``bucket ids sums``: contexts of order k that are not hot, and their size and alpha."""
-        return spark.read.schema("bucket int, ids binary, sums binary, part int").parquet(f"{self.path}/contexts/order={k}")
+        """``bucket sums``: size and alpha of each context of the bucket's n-grams that is not hot, in order of their names."""
+        return spark.read.schema("bucket int, sums binary, part int").parquet(f"{self.path}/contexts/order={k}").drop("part")
 
 
 def _save(df: DataFrame, path: str) -> None:
     write_once(df.withColumn("part", F.col("bucket") % PARTS).write.partitionBy("part"), path)
 
 
+def _own_contexts(grams: Grams, hot: np.ndarray) -> np.ndarray:
+    found = np.unique(grams.contexts())
+    return found[place(hot, found) < 0]
+
+
+_ASKED = "bucket int, who long, plain binary, wide binary"
+
+
 def answers(asked: DataFrame, model: Model, k: int) -> DataFrame:
-    """Answers ``who bucket found value`` to ``asked(bucket, who, ids)`` at level k, in the order of the ids asked.
+    """Answers ``who bucket value`` to blocks ``bucket who plain wide`` at level k, in the order of the names asked: plain
+    ones, and before them the others with their contexts' names.
 
-    Level 1: value is the count.  Above: the probability if the n-gram was seen, else its context's alpha, which is 1
-    where the context was never seen.
+    Level 1: the count.  Above: the probability if the n-gram was seen, else its context's alpha with a minus sign, which
+    is -1 where the context was never seen.
     """
     spark = asked.sparkSession
-    none = F.lit(None).cast("binary")
-    rows = model.grams(spark, k).select("bucket", F.lit(_GRAMS).alias("kind"), F.lit(0).cast("long").alias("who"), "ids", F.col("n").alias("a"))
-    rows = rows.unionByName(asked.select("bucket", F.lit(_ASKED).alias("kind"), "who", "ids", none.alias("a")))
+    rows = model.grams(spark, k).withColumn("kind", F.lit(0))
     if k > 1:
-        rows = rows.unionByName(model.contexts(spark, k).select("bucket", F.lit(_CONTEXTS).alias("kind"), F.lit(0).cast("long").alias("who"), "ids", F.col("sums").alias("a")))
-    shared = spark.sparkContext.broadcast((model.hot.get(k), model.sums.get(k), model.d.get(k)))
-    schema = "who long, bucket int, found binary, value binary"
+        rows = rows.unionByName(model.contexts(spark, k).withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    rows = rows.unionByName(asked.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    shared = spark.sparkContext.broadcast((model.hot.get(k), model.sums.get(k), model.d[k]))
+    schema, bits = "who long, bucket int, value binary", model.bits
     target = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_ids, hot_sums, d = shared.value
-        hot = Index(hot_ids) if k > 1 else None
-        now, grams, n, contexts, sums = None, None, None, None, None
-        for row in _grouped(batches, "bucket"):
+        hot, hot_sums, d = shared.value
+        now, names, n, contexts, sums = None, None, None, None, None
+        for row in _rows(batches):
             if row["bucket"] != now:
-                now, grams, contexts = row["bucket"], Index(np.zeros((k, 0), np.int64)), Index(np.zeros((max(1, k - 1), 0), np.int64))
-                n, sums = np.zeros(0, np.int64), np.zeros((2, 0))
-            if row["kind"] == _GRAMS:
-                grams, n = Index(unpacked(row["ids"], k)), unpacked(row["a"], 1)[0]
-            elif row["kind"] == _CONTEXTS:
-                contexts, sums = Index(unpacked(row["ids"], k - 1)), unpacked(row["a"], 2, "<f8")
+                now, names, contexts, n, sums = row["bucket"], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((2, 0))
+            if row["kind"] == 0:
+                grams = Grams(risen(row["plain"]), unpacked(row["wide"], k).reshape(k, -1), bits)
+                names, n = grams.names(), np.concatenate((unpacked(row["n_wide"]), unpacked(row["n_plain"])))
+                contexts = _own_contexts(grams, hot) if k > 1 else contexts
+            elif row["kind"] == 1:
+                sums = unpacked(row["sums"], 2, "<f8")
             else:
-                ids = unpacked(row["ids"], k)
-                at = grams.find(ids)
+                plain, (wide, of_wide) = risen(row["plain"]), unpacked(row["wide"], 2)
+                at = place(names, np.concatenate((wide, plain)))
                 found = at >= 0
-                count = np.zeros(len(at), np.int64)
-                count[found] = n[at[found]]
-                value = count.astype(np.float64)
+                value = np.zeros(len(at), np.int64)
+                value[found] = n[at[found]]
                 if k > 1:
+                    context = np.concatenate((of_wide, plain >> bits))
                     size, alpha = np.ones(len(at)), np.ones(len(at))
-                    for index, known in ((hot, hot_sums), (contexts, sums)):
-                        place = index.find(ids[:-1])
-                        has = place >= 0
-                        size[has], alpha[has] = known[0, place[has]], known[1, place[has]]
-                    value = np.where(found, discounted(count, d) / size, alpha)
-                yield _batch([{"who": row["who"], "bucket": now, "found": np.packbits(found).tobytes(), "value": packed(value)}], target)
+                    for known, known_sums in ((contexts, sums), (hot, hot_sums)):
+                        where = place(known, context)
+                        has = where >= 0
+                        size[has], alpha[has] = known_sums[0, where[has]], known_sums[1, where[has]]
+                    value = np.where(found, discounted(value, d) / size, -alpha)
+                yield _batch([{"who": row["who"], "bucket": now, "value": packed(value.astype(np.float64))}], target)
 
-    parted = rows.repartition("bucket").sortWithinPartitions("bucket", "kind")
-    return parted.select("bucket", "kind", "who", "ids", "a").mapInArrow(run, schema)
+    parted = rows.select("bucket", "kind", "who", "plain", "wide", "n_plain", "n_wide", *(["sums"] if k > 1 else []))
+    return parted.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
 
 
 def answered(base: DataFrame, got: DataFrame, handle: Callable[[], Callable], schema: str) -> DataFrame:
-    """Rows ``handle()(row, found, value)`` for each row of ``base(who, ...)`` and the answers to it, bucket after bucket."""
+    """Rows ``handle()(row, values)`` for each row of ``base(who, ...)`` and the answers to it, bucket after bucket."""
     both = base.withColumn("bucket", F.lit(-1)).unionByName(got, allowMissingColumns=True)
     target = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, own, found, value = handle(), None, [], []
-
-        def done() -> pa.RecordBatch:
-            return _batch(one(own, np.concatenate([np.zeros(0, bool), *found]), np.concatenate([np.zeros(0), *value])), target)
-
-        for row in _grouped(batches, "who"):
-            if row["bucket"] < 0:
-                if own is not None:
-                    yield done()
-                own, found, value = row, [], []
-            else:
-                value.append(unpacked(row["value"], 1, "<f8")[0])
-                found.append(np.unpackbits(np.frombuffer(row["found"], np.uint8), count=len(value[-1])).astype(bool))
+        one, own, values = handle(), None, []
+        for row in _rows(batches):
+            if row["bucket"] >= 0:
+                values.append(unpacked(row["value"], 1, "<f8"))
+                continue
+            if own is not None:
+                yield _batch(one(own, np.concatenate([np.zeros(0), *values])), target)
+            own, values = row, []
         if own is not None:
-            yield done()
+            yield _batch(one(own, np.concatenate([np.zeros(0), *values])), target)
 
     return both.repartition("who").sortWithinPartitions("who", "bucket").mapInArrow(run, schema)
 
 
 def _ask(base: DataFrame, wanted: Callable[[], Callable], hot: np.ndarray | None, buckets: int) -> DataFrame:
-    """Blocks ``bucket who ids`` of what ``wanted()(row)`` gives for each row of ``base(who, ...)``."""
-    schema = "bucket int, who long, ids binary"
-    target, shared = _arrow(schema), base.sparkSession.sparkContext.broadcast(hot)
+    """Blocks of what ``wanted()(row)`` gives for each row of ``base(who, ...)``: sorted names, the contexts' names."""
+    target, shared = _arrow(_ASKED), base.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, index = wanted(), None if shared.value is None else Index(shared.value)
-        for row in _grouped(batches, "who"):
-            ids = one(row)
-            order, parts = dealt(bucket_of(ids, index, buckets))
-            ids = ids[:, order]
-            yield _batch([{"bucket": b, "who": row["who"], "ids": packed(ids[:, lo:hi])} for b, lo, hi in parts], target)
-
-    return base.mapInArrow(run, schema)
-
-
-def _suffixes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What n-grams ``ids`` ask of the level below: distinct ones without their first word, and which is whose.  Of single
-    words only those outside the frequent ones are asked for (-1: not asked)."""
-    rest = ids[1:]
-    if len(rest) == 1:
-        asked, which = np.unique(rest[0], return_inverse=True)
-        rare = int((asked < 0).sum())  # they come first
-        return asked[None, :rare], np.where(which < rare, which, -1)
-    order = np.lexsort(rest[::-1])
-    s = rest[:, order]
-    new = np.concatenate(([True] * min(1, s.shape[1]), (s[:, 1:] != s[:, :-1]).any(axis=0)))
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return s[:, new], which
-
-
-def _in_order(values: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Values answered bucket after bucket, in the order of what was asked."""
-    out = np.empty_like(values)
-    out[order] = values
-    return out
+        one = wanted()
+        for row in _rows(batches):
+            names, contexts = one(row)
+            wide = int(np.searchsorted(names, 0))
+            _, parts = dealt(bucket_of(names, contexts, shared.value, buckets), wide)
+            both, plain = np.stack((names[:wide], contexts[:wide])), names[wide:]
+            yield _batch([{"bucket": b, "who": row["who"], "plain": rising(plain[p]), "wide": packed(both[:, w])} for b, w, p in parts], target)
+
+    return base.mapInArrow(run, _ASKED)
+
+
+def _asked_order(names: np.ndarray, contexts: np.ndarray, hot: np.ndarray | None, buckets: int) -> np.ndarray:
+    return dealt(bucket_of(names, contexts, hot, buckets), int(np.searchsorted(names, 0)))[0]
+
+
+def _suffixes(grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What n-grams ask of the level below: names of their last k - 1 words, each once, these names' contexts, and which is
+    whose.  Of single words only rare ones are asked for; the place of others is past the end."""
+    bits, k = grams.bits, grams.k
+    tail, shorter = _shorter(grams.wide[1:], bits), _shorter(grams.wide[1:-1], bits)
+    if k == 2:
+        rare = grams.wide[1] < 0
+        names, which = np.unique(tail[rare], return_inverse=True)
+        out = np.full(len(grams), len(names))
+        out[np.flatnonzero(rare)] = which
+        return names, np.zeros(len(names), np.int64), out
+    plain = grams.plain & ((1 << bits * (k - 1)) - 1)
+    names, first, which = np.unique(np.concatenate((tail, plain)), return_index=True, return_inverse=True)
+    return names, np.concatenate((shorter, plain >> bits))[first], which
+
+
+def _grams(row: dict, k: int, bits: int) -> Grams:
+    return Grams(risen(row["plain"]), unpacked(row["wide"], k).reshape(k, -1), bits)
 
 
 def train(texts: DataFrame, order: int = ORDER, frequent_words: int = FREQUENT_WORDS, text_col: str = "text", hot_tokens: int | None = None) -> Model:
@@ -517,24 +596,25 @@ def train(texts: DataFrame, order: int = ORDER, frequent_words: int = FREQUENT_W
     unknown = 1 - scale * (total - lost) / total if total else 1.0
     hot_limit = hot_tokens or max(LEAST_HOT, int(total * HOT_SHARE))
     model = Model(path, order, frequent, counts, total, distinct, max(1, -(-total // TOKENS_PER_BUCKET)), scale / max(1, total), unknown, {1: d1})
-    rare = _merged(_rare_blocks(words.where(F.col("c") < least), model.buckets), 1, hot_limit)
-    _save(rare.select("bucket", "ids", "n"), f"{path}/grams/order=1")
+    buckets, bits = model.buckets, model.bits
+    rare = _merged(_rare_blocks(words.where(F.col("c") < least), bits, buckets), 1, bits, hot_limit)
+    _save(rare.drop("ladder", "often"), f"{path}/grams/order=1")
     release(words)
     if order < 2:
         return model
     shared = spark.sparkContext.broadcast(frequent)
     tokens = materialize(coded(texts, shared, path, None, text_col), "tokens")
-    often = np.flatnonzero(counts[:-1] >= hot_limit)[None]
+    often = named(np.flatnonzero(counts[:-1] >= hot_limit)[None], bits)
     for k in range(2, order + 1):
         if ends >= hot_limit:
-            often = np.concatenate((often, np.full((k - 1, 1), model.begin)), axis=1)
-        model.hot[k] = often
-        counted = materialize(_merged(_counted(tokens, k, often, model.buckets, model.begin), k, hot_limit), "grams")
-        _save(counted.select("bucket", "ids", "n"), f"{path}/grams/order={k}")
+            often = np.append(often, named(np.full((k - 1, 1), model.begin), bits))
+        model.hot[k] = np.sort(often)
+        counted = materialize(_merged(_counted(tokens, k, bits, model.hot[k], buckets), k, bits, hot_limit), "grams")
+        _save(counted.drop("ladder", "often"), f"{path}/grams/order={k}")
         steps = [F.sum(F.get("ladder", F.lit(r - 1))).alias(f"n{r}") for r in range(1, DISCOUNTED + 2)]
         model.d[k] = discounts({r: x or 0 for r, x in enumerate(counted.agg(*steps).first(), 1)})
         rows = counted.select("often").collect()  # n-grams of hot_limit tokens or more: a bounded number
-        often = np.concatenate([np.zeros((k, 0), np.int64), *[unpacked(r.often, k) for r in rows]], axis=1)
+        often = np.concatenate([np.zeros(0, np.int64), *[unpacked(r.often) for r in rows]])
         release(counted)
         _contexts(spark, model, k)
     release(tokens)
@@ -543,53 +623,48 @@ def train(texts: DataFrame, order: int = ORDER, frequent_words: int = FREQUENT_W
 
 def _contexts(spark: SparkSession, model: Model, k: int) -> None:
     """Sizes and alphas of the contexts of order k, from its n-grams and the level below."""
-    buckets, d = model.buckets, model.d[k]
-    base = model.grams(spark, k).select(F.col("bucket").cast("long").alias("who"), "ids", "n")
-    lower = model.hot.get(k - 1)
+    bits, buckets, hot, lower = model.bits, model.buckets, model.hot[k], model.hot[k - 1]
+    base = model.grams(spark, k).withColumn("who", F.col("bucket").cast("long")).drop("bucket")
 
     def wanted():
-        return lambda row: _suffixes(unpacked(row["ids"], k))[0]
+        return lambda row: _suffixes(_grams(row, k, bits))[:2]
 
-    got = answers(_ask(base, wanted, lower, buckets), model, k - 1)
-    shared = spark.sparkContext.broadcast((model.hot[k], lower, model.counts, model.d[1], model.scale))
-    schema = "bucket int, ids binary, sums binary, hot binary, parts binary"
+    got = materialize(answers(_ask(base, wanted, lower, buckets), model, k - 1), "answers")
+    shared = spark.sparkContext.broadcast((hot, lower, model.counts, model.d[1], model.d[k], model.scale))
+    schema = "bucket int, sums binary, hot binary, parts binary"
 
     def handle():
-        hot_ids, lower_ids, counts, d1, scale = shared.value
-        hot, below = Index(hot_ids), None if lower_ids is None else Index(lower_ids)
+        hot, lower, counts, d1, d, scale = shared.value
 
-        def one(row: dict, found: np.ndarray, value: np.ndarray) -> list[dict]:
-            ids, n = unpacked(row["ids"], k), unpacked(row["n"], 1)[0]
-            asked, which = _suffixes(ids)
-            value = _in_order(value, dealt(bucket_of(asked, below, buckets))[0])
+        def one(row: dict, value: np.ndarray) -> list[dict]:
+            grams = _grams(row, k, bits)
+            n = np.concatenate((unpacked(row["n_wide"]), unpacked(row["n_plain"])))
+            names, contexts, which = _suffixes(grams)
+            low = in_order(value, _asked_order(names, contexts, lower, buckets))
             if k == 2:
-                count = np.where(which >= 0, np.append(value, 0.0)[which].astype(np.int64), counts[np.maximum(ids[1], 0)])
+                last = np.concatenate((grams.wide[1], grams.plain & ((1 << bits) - 1)))
+                count = np.where(last >= 0, counts[np.maximum(last, 0)], np.append(low, 0.0)[which].astype(np.int64))
                 low = discounted(count, d1) * scale
             else:
-                low = value[which]
-            context, of = _suffixes(np.concatenate((ids[:1], ids[:-1]))) if k > 2 else _kinds(ids[0])
-            sums = np.stack([np.bincount(of, x, context.shape[1]) for x in (n, discounted(n, d), low)])
-            spread = hot.find(context) >= 0
-            return [{"bucket": row["who"], "ids": packed(context[:, ~spread]), "sums": packed(_weights(sums[:, ~spread])), "hot": packed(context[:, spread]), "parts": packed(sums[:, spread])}]
+                low = low[which]
+            found, of = np.unique(grams.contexts(), return_inverse=True)
+            sums = np.stack([np.bincount(of, x, len(found)).astype(np.float64) for x in (n, discounted(n, d), low)])
+            spread = place(hot, found) >= 0
+            return [{"bucket": row["who"], "sums": packed(_weights(sums[:, ~spread])), "hot": packed(found[spread]), "parts": packed(sums[:, spread])}]
 
         return one
 
     found = materialize(answered(base, got, handle, schema), "contexts")
-    _save(found.select("bucket", "ids", "sums"), f"{model.path}/contexts/order={k}")
-    index, sums = Index(model.hot[k]), np.zeros((3, model.hot[k].shape[1]))
-    if sums.shape[1]:
+    release(got)
+    _save(found.select("bucket", "sums"), f"{model.path}/contexts/order={k}")
+    sums = np.zeros((3, len(hot)))
+    if len(hot):
         for r in found.select("hot", "parts").toLocalIterator():  # one bucket's part of a bounded number of contexts at a time
-            at = index.find(unpacked(r.hot, k - 1))
-            np.add.at(sums.T, at, unpacked(r.parts, 3, "<f8").T)
+            np.add.at(sums.T, place(hot, unpacked(r.hot)), unpacked(r.parts, 3, "<f8").T)
     model.sums[k] = _weights(sums)
     release(found)
 
 
-def _kinds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, of = np.unique(x, return_inverse=True)
-    return found[None], of
-
-
 def _weights(sums: np.ndarray) -> np.ndarray:
     """Size and alpha of contexts from (count, discounted count, lower mass of the words seen).  A context without a
     discounted count would leave nothing for other words: it is made one event longer."""
@@ -617,42 +692,43 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     spark = small_batches(docs).sparkSession
     words = spark.sparkContext.broadcast(model.words)
-    begin, buckets = model.begin, model.buckets
+    bits, buckets = model.bits, model.buckets
     state = materialize(coded(docs, words, model.path, id_col, text_col), "coded")
     kind = state.schema["keys"].dataType.simpleString()
-
-    def tokens_of(row: dict) -> Tokens:
-        left = None if row["left"] is None else unpacked(row["left"], 1)[0]
-        return Tokens(unpacked(row["tokens"], 1)[0], unpacked(row["sizes"], 1)[0], begin, left)
-
     for k in range(model.order, 1, -1):
-        hot = model.hot[k]
-        shared = spark.sparkContext.broadcast(hot)
+        shared = spark.sparkContext.broadcast(model.hot[k])
 
         def wanted(k=k):
-            return lambda row: tokens_of(row).grams(k)[0]
+            def one(row: dict) -> tuple[np.ndarray, np.ndarray]:
+                grams, _, _ = _tokens(row).grams(k, bits)
+                return grams.names(), grams.contexts()
+
+            return one
 
         def handle(k=k, shared=shared):
-            index = Index(shared.value)
-
-            def one(row: dict, found: np.ndarray, value: np.ndarray) -> list[dict]:
-                tokens = tokens_of(row)
-                ids, which, _ = tokens.grams(k)
-                order = dealt(bucket_of(ids, index, buckets))[0]
-                found, value = _in_order(found, order)[which], _in_order(value, order)[which]
-                sums = _by_text(tokens, np.log10(value))
+            def one(row: dict, value: np.ndarray) -> list[dict]:
+                tokens = _tokens(row)
+                grams, which, _ = tokens.grams(k, bits)
+                value = in_order(value, _asked_order(grams.names(), grams.contexts(), shared.value, buckets))[which]
+                sums = _by_text(tokens, np.log10(np.abs(value)))
                 if row["sums"] is not None:
-                    sums += unpacked(row["sums"], 1, "<f8")[0]
-                return [{c: row[c] for c in ("who", "keys", "sizes", "tokens")} | {"sums": packed(sums), "known": None, "left": packed(tokens.chosen[~found])}]
+                    sums += unpacked(row["sums"], 1, "<f8")
+                return [{c: row[c] for c in ("who", "keys", "sizes", "words", "tokens")} | {"sums": packed(sums), "left": rising(tokens.chosen[value < 0])}]
 
             return one
 
-        after = materialize(answered(state, answers(_ask(state, wanted, hot, buckets), model, k), handle, f"who long, keys {kind}, {_CODED}"), "coded")
-        release(state)
+        got = materialize(answers(_ask(state, wanted, model.hot[k], buckets), model, k), "answers")
+        after = materialize(answered(state, got, handle, f"who long, keys {kind}, {_CODED}"), "coded")
+        release(state, got)
         state = after
 
     def rare():
-        return lambda row: np.unique((ids := unpacked(row["tokens"], 1)[0])[ids < 0])[None]
+        def one(row: dict) -> tuple[np.ndarray, np.ndarray]:
+            ids = risen(row["words"])
+            names = np.sort(named(ids[None, ids < 0], bits))
+            return names, names * 0
+
+        return one
 
     shared = spark.sparkContext.broadcast((model.counts, model.d[1], model.scale, model.unknown))
     per_token = math.log10(model.total + (model.distinct + 1))
@@ -660,18 +736,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def last():
         counts, d1, scale, unknown = shared.value
 
-        def one(row: dict, found: np.ndarray, value: np.ndarray) -> list[dict]:
-            tokens = tokens_of(row)
-            asked = np.unique(tokens.ids[tokens.ids < 0])
-            value = _in_order(value, dealt(bucket_of(asked[None], None, buckets))[0]).astype(np.int64)
-            c = counts[np.maximum(tokens.ids, 0)]
-            c[tokens.ids < 0] = value[np.searchsorted(asked, tokens.ids[tokens.ids < 0])]
+        def one(row: dict, value: np.ndarray) -> list[dict]:
+            tokens = _tokens(row)
+            ids = tokens.words
+            names = named(ids[None, ids < 0], bits)
+            by_name = np.argsort(names, kind="stable")
+            of_word = counts[np.clip(ids, 0, len(counts) - 1)]
+            of_word[np.flatnonzero(ids < 0)[by_name]] = in_order(value, _asked_order(names[by_name], names * 0, None, buckets))
+            c = of_word[tokens.local]
             n = len(tokens.sizes)
             left = c[tokens.chosen]
             p = np.where(left > 0, discounted(left, d1) * scale, unknown)
             scores = _by_text(tokens, np.log10(p))
             if row["sums"] is not None:
-                scores += unpacked(row["sums"], 1, "<f8")[0]
+                scores += unpacked(row["sums"], 1, "<f8")
             known = np.bincount(tokens.text[c > 0], minlength=n)
             base = np.bincount(tokens.text, np.log10(c + 1.0) - per_token, n)
             return [
