@@ -137,10 +137,12 @@ _TAIL = re.compile(rb"(.*[a-z])([,.;:!?]+)", re.DOTALL)
 
 
 def word_encoder(path: str, remembered: int = WORDS_REMEMBERED) -> Callable[[str | None], np.ndarray]:
-    """Ids of a text by the ``tokenizers`` file at ``path``, without special tokens; their strings are ordinary text.
+    """Ids of a text by the ``tokenizers`` file at ``path``, with no special tokens added; where the text itself holds the
+    string of one, the library gives its id, and so does this.
 
-    The tokenizer lowers case, drops white space and never joins what stands on its two sides, so a text's ids are
-    those of its words one after another; nor does it join a letter with a following stop.  Words met before are looked
+    The text is cut at these strings first.  The tokenizer lowers case, drops white space and never joins what stands on
+    its two sides, so the ids of what is between are those of its words one after another; nor does it join a letter with
+    a following stop.  Words met before are looked
     up; at most ``remembered`` of them are kept, then all are dropped.  New words of letters alone go to the tokenizer
     in one string, whose ids part after each that ends a word.
     """
@@ -152,10 +154,15 @@ def word_encoder(path: str, remembered: int = WORDS_REMEMBERED) -> Callable[[str
     store = worker_cache(f"tokenizer {path}")
     if "encoder" not in store:
         encoder = store["encoder"] = Tokenizer.from_file(path)
-        encoder.encode_special_tokens = True
+        encoder.encode_special_tokens = True  # for words, which hold none any more
         store["words"] = {}
+        added = encoder.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("a special token is not a plain string")
+        store["special"] = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in added.items()}
+        store["cut"] = re.compile(b"(" + b"|".join(sorted(map(re.escape, store["special"]), key=len, reverse=True)) + b")") if added else None
         store["ends"] = np.array([(encoder.id_to_token(i) or "").endswith("</w>") for i in range(encoder.get_vocab_size())])
-    encoder, known, ends = store["encoder"], store["words"], store["ends"]
+    encoder, known, ends, special, cut_at = (store[x] for x in ("encoder", "words", "ends", "special", "cut"))
 
     def look_up(new: list[bytes]) -> None:
         plain, other = [], []
@@ -176,7 +183,13 @@ def word_encoder(path: str, remembered: int = WORDS_REMEMBERED) -> Callable[[str
             known.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
 
     def encode(text: str | None) -> np.ndarray:
-        words = utf8(text).lower().split()
+        data = utf8(text)
+        if cut_at is not None and len(parts := cut_at.split(data)) > 1:
+            return np.frombuffer(b"".join(special[x] if k % 2 else plain(x) for k, x in enumerate(parts)), "<u4")
+        return np.frombuffer(plain(data), "<u4")
+
+    def plain(data: bytes) -> bytes:
+        words = data.lower().split()
         missing = [w for w in set(words) if w not in known]
         if missing:
             if len(known) + len(missing) > remembered:
@@ -186,7 +199,7 @@ def word_encoder(path: str, remembered: int = WORDS_REMEMBERED) -> Callable[[str
             parts = {x for w in missing for x in tails.get(w, (w,))}
             look_up([x for x in parts if x not in known])
             known.update({w: known[a] + known[b] for w, (a, b) in tails.items()})
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        return b"".join(map(known.__getitem__, words))
 
     return encode
 
@@ -214,6 +227,8 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of every row of ``documents`` and their places in sequences of 2,048 tokens: null text as empty (one piece with
+    id 0 alone), repeated rows and null ids packed once each."""
     import public_tokenizers
 
     from weft.llm.common import table
