@@ -74,6 +74,13 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return grams, counts
 
 
+def _has_letter(grams: np.ndarray) -> bool:
+    """Whether a letter is among the n-grams of one character; marks without any letter are no text."""
+    import unicodedata
+
+    return any(unicodedata.category(chr(g))[0] == "L" for g in grams[: np.searchsorted(grams, 1 << 21)].tolist() if g != BORDER)
+
+
 def top(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` most frequent n-grams, most frequent first, ties by packed value."""
     return grams[np.lexsort((grams, -counts))[:size]]
@@ -95,7 +102,7 @@ class Profiles:
         score: 1 - distance / largest possible distance.  margin: how far the next language is behind, from 0 to 1.
         """
         grams, counts = ngram_counts(text)
-        if not len(grams) or not self.langs:
+        if not self.langs or not _has_letter(grams):
             return UNKNOWN, 0.0, 0.0
         mine = top(grams, counts, self.size)
         at = np.searchsorted(self.grams, mine)
@@ -185,10 +192,12 @@ def keep_known(df: DataFrame, profiles: Profiles, text_col: str = "text", least_
 
 
 def in_training(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of every row of ``documents``, learned from those whose crc32 of the id as text, modulo 4, is not 2 (a null
+    id learns too); null texts and texts without a letter are ``und``, and each row gets a row."""
     from weft.llm.common import table
 
     docs = table(spark, sf_dir, "documents")
