@@ -9,16 +9,15 @@ change a result.
 
 from __future__ import annotations
 
-import hashlib
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weft.llm.common import small_batches
 from weft.plans.runtime import fresh, materialize
@@ -27,16 +26,13 @@ CELLS_PER_KEY = 16
 HASHES = 4
 CHUNK_BITS = 18
 MAX_FILTER_BITS = 1 << 28
+HOT_GROUPS = 1000
 
 
-def text_key(text: str | None) -> bytes:
+def text_key(text: Column) -> Column:
     """SHA-256 of the text in UTF-8 with A-Z lowered; null counts as empty."""
-    return hashlib.sha256(b"" if text is None else text.encode("utf-8", "surrogatepass").lower()).digest()
-
-
-@F.pandas_udf(T.BinaryType())
-def _keys(texts: pd.Series) -> pd.Series:
-    return pd.Series([text_key(t) for t in texts], dtype=object)
+    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.unhex(F.sha2(lowered.cast("binary"), 256))
 
 
 def _cells(keys: list[bytes], n_cells: int) -> np.ndarray:
@@ -126,14 +122,18 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share both id and text share one verdict.  An empty table gives no rows; other columns are not read.
     """
     spark = small_batches(df).sparkSession
-    keys = materialize(df.select(F.col(id_col).alias("id"), _keys(F.col(text_col)).alias("key")), "keys")
+    keys = materialize(df.select(F.col(id_col).alias("id"), text_key(F.col(f"`{text_col}`")).alias("key")), "keys")
     n_rows = keys.count()
     bitmap, n_cells = repeated_filter(keys.select("key"), max(1, n_rows), max_filter_bits)
     flagged = keys.withColumn("maybe", _maybe_repeated(spark, bitmap, n_cells)("key"))
     alone = flagged.where(~F.col("maybe")).select("id", "key", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     maybe = flagged.where("maybe").select("id", "key")
-    groups = maybe.groupBy("key").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return alone.unionByName(maybe.join(groups, "key").select("id", "key", "keep_id", "group_size"))
+    groups = materialize(maybe.groupBy("key").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    hot = groups.where(F.col("group_size") > n_rows // HOT_GROUPS)  # fewer than HOT_GROUPS: their rows stay where they are
+    near = maybe.join(F.broadcast(hot), "key")
+    far = maybe.join(F.broadcast(hot.select("key")), "key", "left_anti").join(groups, "key")
+    both = near.unionByName(far).select("id", "key", "keep_id", "group_size")
+    return alone.unionByName(both)
 
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
@@ -141,16 +141,27 @@ def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 
     Unique rows are not shuffled.  Of rows with equal text and equal id (or only null ids) one stays.
     """
-    spark, key, maybe = small_batches(df).sparkSession, fresh(df, "_key"), fresh(df, "_maybe")
-    keys = materialize(df.select(_keys(F.col(text_col)).alias("key")), "keys")
-    bitmap, n_cells = repeated_filter(keys, max(1, keys.count()), max_filter_bits)
+    spark, taken = small_batches(df).sparkSession, df
+    names = []
+    for name in ("_key", "_maybe", "_keep", "_again", "_hot"):
+        names.append(fresh(taken, name))
+        taken = taken.withColumn(names[-1], F.lit(0))
+    key, maybe, keep, again, hot = names
+    ident = F.col(f"`{id_col}`")
+    keys = materialize(df.select(text_key(F.col(f"`{text_col}`")).alias("key")), "keys")
+    n_rows = keys.count()
+    bitmap, n_cells = repeated_filter(keys, max(1, n_rows), max_filter_bits)
     test = _maybe_repeated(spark, bitmap, n_cells)
-    flagged = df.withColumn(key, _keys(F.col(text_col))).withColumn(maybe, test(F.col(key)))
-    alone = flagged.where(~F.col(maybe)).select(*[F.col(f"`{c}`") for c in df.columns])
+    flagged = df.withColumn(key, text_key(F.col(f"`{text_col}`"))).withColumn(maybe, test(F.col(key)))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    alone = flagged.where(~F.col(maybe)).select(*columns)
     rows = flagged.where(F.col(maybe)).drop(maybe)
-    keep = rows.groupBy(key).agg(F.max(F.col(f"`{id_col}`")).alias("_keep"))
-    again = rows.join(keep.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")), "left_semi")
-    return alone.unionByName(again.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in df.columns]))
+    groups = materialize(rows.groupBy(key).agg(F.max(ident).alias(keep), F.count(F.lit(1)).alias(hot)), "groups")
+    large = groups.where(F.col(hot) > n_rows // HOT_GROUPS)  # fewer than HOT_GROUPS: their rows go before anything is shuffled
+    rows = rows.join(F.broadcast(large), key, "left").where(F.col(hot).isNull() | ident.eqNullSafe(F.col(keep))).drop(keep, hot)
+    stay = groups.select(F.col(key).alias(again), keep)
+    one = rows.join(stay, (F.col(key) == F.col(again)) & ident.eqNullSafe(F.col(keep)), "left_semi")
+    return alone.unionByName(one.dropDuplicates([key]).select(*columns))
 
 
 def drop_ids(df: DataFrame, dropped: DataFrame, id_col: str = "doc_id", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
@@ -165,11 +176,14 @@ def drop_ids(df: DataFrame, dropped: DataFrame, id_col: str = "doc_id", max_filt
     test = _maybe_repeated(df.sparkSession, bitmap, n_cells)
     flagged = df.withColumn(name, test(F.coalesce(key(F.col(f"`{id_col}`")), F.unhex(F.sha2(F.lit(""), 256)))) & F.col(f"`{id_col}`").isNotNull())
     stay = flagged.where(~F.col(name)).drop(name)
-    gone = dropped.select(F.col("id").alias("_dropped_id"))
-    return stay.unionByName(flagged.where(F.col(name)).drop(name).join(gone, F.col(f"`{id_col}`") == F.col("_dropped_id"), "left_anti"))
+    other = fresh(flagged, "_id")
+    gone = dropped.select(F.col("id").alias(other))
+    return stay.unionByName(flagged.where(F.col(name)).drop(name).join(gone, F.col(f"`{id_col}`") == F.col(other), "left_anti"))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Group and verdict of every row of ``documents``, null text as empty; rows that share id and text share a verdict, and a
+    null id loses to any other."""
     from weft.llm.common import table
 
     out = exact_groups(table(spark, sf_dir, "documents"))
