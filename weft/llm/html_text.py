@@ -50,10 +50,19 @@ DROPPED_NAMES = (
     "notification popup promo promoted promotion related replies reply respond responses share sharing sidebar signup skip-link "
     "social sponsor sponsored subscribe subscription toolbar widget"
 ).split()
+HEADING = "header masthead banner".split()  # inside an article these head the article
+ABSENT = "has hide is no not with without".split()  # as the first part of a class they speak of the page's layout
+OF_ARTICLE = "article content entry post story".split()  # before a heading's name: the heading of the article
+HOLDERS = (  # as the last part, after a dropped name: something that holds what is dropped
+    "area articles bar block box button buttons container content footer form group header icons inner item items link links "
+    "list panel popup posts section slot stories text thread title toggle unit widget wrap wrapper"
+).split()
 
 _DROPPED, _MARKED, _ROLES, _NAMES = set(DROPPED), set(MARKED), set(DROPPED_ROLES), set(DROPPED_NAMES)
+_HEADING, _ABSENT, _OF_ARTICLE, _HOLDERS = set(HEADING), set(ABSENT), set(OF_ARTICLE), set(HOLDERS)
 _RAW, _BLOCK, _CONTAINER = set(RAW), set(BLOCK), set(CONTAINER)
-_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)>""", re.DOTALL)
+# possessive throughout, and no tag goes past the next "<" outside quotes, so that unclosed tags cost no more than closed ones
+_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -65,15 +74,32 @@ class Block:
     dropped: bool
 
 
-def _nature(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether a container marks the article, and whether it is to be left out."""
+def _says(word: str, marked: bool) -> bool:
+    """Whether a class or id says that what it names is no part of the article; ``marked``: it stands inside the article.
+
+    One of the names, or parts joined by - or _ that end in one (site-footer) or begin with one and end in a holder
+    (comment-list).  Not: layout (no-sidebar), the heading of an article (entry-header), other compounds (social-science).
+    """
+    if word in _NAMES:
+        return not (marked and word in _HEADING)
+    parts = [x for x in re.split(r"[-_]+", word) if x]
+    if len(parts) < 2 or parts[0] in _ABSENT:
+        return False
+    if parts[-1] in _HEADING and (marked or parts[0] in _OF_ARTICLE):
+        return False
+    return parts[-1] in _NAMES or (parts[0] in _NAMES and parts[-1] in _HOLDERS)
+
+
+def _nature(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether a container marks the article, and whether it is to be left out.  Classes of the page's outermost elements and of
+    the article itself tell of their layout or subject, so they do not count."""
     marked, dropped = name in _MARKED, name in _DROPPED
     if attributes.strip(" /"):
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), entities.unescape(value.strip("\"'")).lower()
             if key in ("class", "id"):
-                words = value.split()
-                dropped |= any(w in _NAMES or not _NAMES.isdisjoint(re.split(r"[-_]+", w)) for w in words)
+                if not marked and name not in ("html", "body"):
+                    dropped |= any(_says(w, inside) for w in value.split())
             elif key == "role":
                 marked, dropped = marked or value == "main", dropped or value in _ROLES
             elif key == "itemprop":
@@ -88,6 +114,7 @@ def blocks(page: str) -> list[Block]:
     """Blocks of text in page order: references decoded, white space made single, empty ones left out."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # name, marked and dropped so far down
+    is_open: dict[str, int] = {}  # how often each name is on the stack
     marked = dropped = False
     parts: list[str] = []
     at = 0
@@ -110,23 +137,26 @@ def blocks(page: str) -> list[Block]:
         if name in _RAW and not m[1]:
             flush()
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*+(?:>|\Z)", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
         elif name in _CONTAINER:
             if m[1]:
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-                if depth is not None:
+                if is_open.get(name):
                     flush()
-                    del stack[depth:]
+                    closed = None
+                    while closed != name:
+                        closed = stack.pop()[0]
+                        is_open[closed] -= 1
                     marked, dropped = stack[-1][1:] if stack else (False, False)
             else:
-                own = _nature(name, m[3])
+                own = _nature(name, m[3], marked)
                 if own != (False, False):
                     flush()
                 # a header inside the article heads the article; elsewhere it heads the page
                 leave = own[1] or (name in ("header", "hgroup") and not (marked or own[0]))
                 marked, dropped = marked or own[0], dropped or leave
                 stack.append((name, marked, dropped))
+                is_open[name] = is_open.get(name, 0) + 1
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -346,6 +376,7 @@ def _with_rarer(rows: DataFrame, runs: DataFrame, top: pa.Table, shards) -> Data
 
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:
+    """Main text of every row of ``pages``: null html as empty, repeated rows a row each, a null url a host of its own."""
     from weft.llm.common import table
 
     return extract(table(spark, sf_dir, "pages"))
