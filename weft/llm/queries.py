@@ -9,7 +9,7 @@ from weft.llm.katz import op9_katz_backoff
 from weft.llm.langid import op1_language_id
 from weft.llm.packing import op2_best_fit_packing
 from weft.llm.quality import op7_quality_bands
-from weft.llm.rollup import OP6_SQL, op6_token_rollup
+from weft.llm.rollup import op6_token_rollup
 from weft.llm.simhash import op10_simhash
 from weft.llm.warc import OP5_SQL, op5_warc_round_trip
 
@@ -28,6 +28,5 @@ QUERIES = {
 
 ORACLES = {
     "op5_warc_round_trip": OP5_SQL,
-    "op6_token_rollup": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
