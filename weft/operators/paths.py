@@ -40,15 +40,55 @@ def _relax(state: DataFrame, edges: DataFrame, keys: list[str], keep: Column | N
 
 def _settle(state: DataFrame, edges: DataFrame, keys: list[str], bound: int, stop: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     state = materialize(state, "sssp")
-    for _ in range(bound + 1):
+    negative = not edges.where("w < 0").isEmpty()
+    for done in range(bound + 1):
         if state.where("fresh").isEmpty() or (stop is not None and stop(state)):
             return state
+        if negative and _is_check(done) and _on_circle(state, keys, bound) is not None:
+            raise NegativeCycleError("predecessors run in a circle")
         after = materialize(_relax(state, edges, keys), "sssp")
         release(state)
         state = after
     raise NegativeCycleError("costs still fall after as many rounds as there are nodes")
 
 
+def _is_check(done: int) -> bool:
+    """After 4, 8, 16, ... rounds it is worth looking for a circle of predecessors: there is one once a negative cycle was gone
+    round, and there is none without."""
+    return done >= 4 and done & (done - 1) == 0
+
+
+def _on_circle(state: DataFrame, keys: list[str], bound: int) -> int | None:
+    """A node on a circle of predecessors, or None: pointers are doubled until they span all nodes; what still points
+    somewhere then points into a circle."""
+    at = materialize(state.where("prev IS NOT NULL").select(*keys, "node", F.col("prev").alias("up")), "pointers")
+    step = 1
+    while step <= bound and not at.isEmpty():
+        far = at.select(*keys, F.col("node").alias("up"), F.col("up").alias("top"))
+        after = materialize(at.join(far, [*keys, "up"]).select(*keys, "node", F.col("top").alias("up")), "pointers")
+        release(at)
+        at, step = after, step * 2
+    found = at.agg(F.min("up")).first()[0]
+    release(at)
+    return found
+
+
+def _upwards(state: DataFrame, node: int, bound: int) -> dict[int, int]:
+    """``{steps: node}`` along ``prev`` from ``node``, up to ``bound`` steps: paths double in every round."""
+    jumps = materialize(state.where("prev IS NOT NULL").select("node", F.col("prev").alias("up")), "pointers")
+    found = materialize(state.where(F.col("node") == node).select("node", F.lit(0).alias("steps")), "path")
+    step = 1
+    while step <= bound:
+        more = materialize(found.join(jumps, "node").select(F.col("up").alias("node"), (F.col("steps") + step).alias("steps")), "path")
+        if more.isEmpty():
+            break
+        found = materialize(found.unionByName(more), "path")
+        far = jumps.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        jumps = materialize(jumps.join(far, "up").select("node", F.col("top").alias("up")), "pointers")
+        step *= 2
+    return {r.steps: r.node for r in found.where(F.col("steps") <= bound).collect()}  # the path itself
+
+
 def _start(g: PropertyGraph, start: int, kind: str) -> DataFrame:
     row = g.nodes.where(F.col("id") == start)
     return row.select(F.col("id").alias("node"), F.lit(0).cast(kind).alias("cost"), F.lit(None).cast("long").alias("prev"), F.lit(True).alias("fresh"))
@@ -149,37 +189,32 @@ def astar(g: PropertyGraph, start: int, goal: Column, cost: Column | None = None
 
 def path_to(costs: DataFrame, goal: int) -> list[int]:
     """Nodes from the start to ``goal`` along ``prev``; empty if it was not reached."""
-    out, at = [], goal
-    while at is not None:
-        row = costs.where(F.col("node") == at).select("prev").first()
-        if row is None:
-            return []
-        out.append(at)
-        if row.prev in out:
-            raise NegativeCycleError("predecessors run in a circle")
-        at = row.prev
-    return out[::-1]
+    found = _upwards(costs, goal, costs.count())
+    path = [found[k] for k in sorted(found, reverse=True)]
+    if len(set(path)) < len(path):
+        raise NegativeCycleError("predecessors run in a circle")
+    return path
 
 
 def find_negative_cycle(g: PropertyGraph, start: int, cost: Column | None = None) -> list[int] | None:
     """Nodes of one negative cycle in reach of ``start``, smallest first, or None."""
     edges = _costed(g, cost)
-    kind = edges.schema["w"].dataType.simpleString()
+    kind, bound = edges.schema["w"].dataType.simpleString(), g.node_count()
     state = materialize(_start(g, start, kind), "sssp")
-    for _ in range(g.node_count() + 1):
+    negative = not edges.where("w < 0").isEmpty()
+    for done in range(bound + 1):
         if state.where("fresh").isEmpty():
             return None
-        state = materialize(_relax(state, edges, []), "sssp")
-    # a node that still improves hangs on a cycle of predecessors; walking back meets it
-    at, seen = state.where("fresh").agg(F.min("node")).first()[0], []
-    while at is not None and at not in seen:
-        seen.append(at)
-        at = state.where(F.col("node") == at).first().prev
-    if at is None:
-        return None
-    cycle = seen[seen.index(at) :][::-1]
-    k = cycle.index(min(cycle))
-    return cycle[k:] + cycle[:k]
+        if negative and (_is_check(done) or done == bound) and (at := _on_circle(state, [], bound)) is not None:
+            found = _upwards(state, at, bound)
+            size = next(k for k in range(1, len(found)) if found[k] == at)
+            cycle = [found[k] for k in range(size, 0, -1)]
+            k = cycle.index(min(cycle))
+            return cycle[k:] + cycle[:k]
+        after = materialize(_relax(state, edges, []), "sssp")
+        release(state)
+        state = after
+    return None
 
 
 def apsp(g: PropertyGraph, cost: Column | None = None, sources: DataFrame | None = None, dense: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from weft.graph import OUT, PropertyGraph, numbered
 from weft.plans.runtime import materialize, release
 
-MAX_ROUNDS = 10_000
 _FOLD_EVERY = 12
 
 
@@ -49,15 +49,16 @@ class Layers:
         return True
 
 
-def bfs(g: PropertyGraph, starts: DataFrame | list[int], direction: str = OUT, goal: int | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def bfs(g: PropertyGraph, starts: DataFrame | list[int], direction: str = OUT, goal: int | None = None) -> DataFrame:
     """``node depth parent`` of all nodes reachable from ``starts`` (ids, or a frame with ``id``): depth in edges from
-    the nearest start, parent the smallest node of the layer before.  With ``goal`` it stops at the layer that has it."""
+    the nearest start, parent the smallest node of the layer before.  With ``goal`` it stops at the layer that has it.
+    There are as many rounds as layers, however many these are."""
     adj = materialize(g.adjacency(direction).select("src", "dst").distinct(), "adjacency")
     if isinstance(starts, list):
         starts = g.spark.createDataFrame([(x,) for x in starts], "id long")
     first = g.nodes.join(starts, "id", "left_semi").select(F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"))
     layers = Layers(first, "bfs")
-    for depth in range(1, max_rounds):
+    for depth in count(1):
         if goal is not None and not layers.last.where(F.col("node") == goal).isEmpty():
             break
         next_ = layers.last.select(F.col("node").alias("src")).join(adj, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
@@ -73,7 +74,7 @@ def has_path(g: PropertyGraph, a: int, b: int) -> bool:
     return not bfs(g, [a], goal=b).where(F.col("node") == b).isEmpty()
 
 
-def topological_levels(g: PropertyGraph, initials: list[int] | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def topological_levels(g: PropertyGraph, initials: list[int] | None = None) -> DataFrame:
     """``node level`` of the nodes that are neither on a cycle nor behind one; level is the longest way from a source.
 
     With ``initials`` only what is reached from those of them without incoming edges, and is not held up by others.
@@ -85,7 +86,7 @@ def topological_levels(g: PropertyGraph, initials: list[int] | None = None, max_
         sources = sources.where(F.col("node").isin(*initials))
     layers = Layers(sources.withColumn("level", F.lit(0)), "kahn")
     waiting = materialize(degree, "waiting")
-    for level in range(1, max_rounds):
+    for level in count(1):
         gone = layers.last.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("got"))
         left = materialize(waiting.join(gone, "node", "left").select("node", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")), "waiting")
         ready = left.where("need = 0").select("node", F.lit(level).alias("level"))

@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 def one(spark: SparkSession, **values) -> DataFrame:
     """A frame of one row."""
-    return spark.range(1).select(*[F.lit(x).alias(k) for k, x in values.items()])
+    return spark.range(1).select(*[(F.lit(x).cast("long") if type(x) is int else F.lit(x)).alias(k) for k, x in values.items()])
 
 
 def first_node(g: PropertyGraph) -> int:
@@ -191,14 +191,17 @@ def q_is_bipartite(spark, sf):
     return one(spark, bipartite=traverse.is_bipartite(g, first_node(g)))
 
 
-@query(f"WITH RECURSIVE {v.TOP}, r(node) AS (SELECT min(id) FROM hnodes UNION SELECT e.dst FROM r JOIN top_next e ON e.src = r.node) SELECT node FROM r")
+_WALK = f"{v.TOP}, r(node, path) AS (SELECT min(id), [min(id)] FROM hnodes UNION ALL SELECT e.dst, list_append(path, e.dst) FROM r JOIN top_next e ON e.src = r.node WHERE NOT list_contains(path, e.dst))"
+
+
+@query(f"WITH RECURSIVE {_WALK} SELECT node, CAST(len(path) - 1 AS BIGINT) AS position FROM r")
 def q_dfs_preorder(spark, sf):
     g = v.top_next(spark, sf)
-    return kernels.dfs_preorder(g, first_node(g)).select("node")
+    return kernels.dfs_preorder(g, first_node(g))
 
 
-@query()
-def q_dfs_postorder(spark, sf, view=v.strong):
+@query(f"WITH RECURSIVE {_WALK} SELECT node, CAST((SELECT max(len(path)) FROM r) - len(path) AS BIGINT) AS position FROM r")
+def q_dfs_postorder(spark, sf, view=v.top_next):
     g = view(spark, sf)
     return kernels.dfs_postorder(g, first_node(g))
 
@@ -422,10 +425,19 @@ def q_page_rank(spark, sf):
     return rank.page_rank(v.handoff(spark, sf), 0.85, 5).select("node", F.round("rank", 8).alias("rank"))
 
 
-@query("SELECT true AS sums_to_one")
+@query("SELECT true AS sums_to_one, true AS settled")
 def q_page_rank_tolerance(spark, sf, view=v.strong):
-    out = rank.page_rank(view(spark, sf), 0.6, 30, 1e-6)
-    return out.agg((F.abs(F.sum("rank") - 1) < 1e-9).alias("sums_to_one"))
+    """Ranks that one more round, written out here, leaves as they are."""
+    g, d = view(spark, sf), 0.6
+    ranks = materialize(rank.page_rank(g, d, 200, 1e-24))
+    n = ranks.count()
+    degree = g.edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    held = materialize(ranks.join(degree, "node", "left"))
+    idle, busy = held.agg(F.sum(F.when(F.col("degree").isNull(), F.col("rank")).otherwise(0.0)), F.sum(F.when(F.col("degree").isNotNull(), F.col("rank")).otherwise(0.0))).first()
+    given = held.where("degree IS NOT NULL").select(F.col("node").alias("src"), (d * F.col("rank") / F.col("degree") - (1 - d) * F.col("rank") / n).alias("x")).join(g.edges.select("src", "dst").distinct(), "src")
+    raw = ranks.join(given.groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("x")), "node", "left").select("rank", (F.coalesce("x", F.lit(0.0)) + (d * idle + (1 - d) * busy) / n).alias("raw"))
+    total = raw.agg(F.sum("raw")).first()[0]
+    return raw.agg((F.abs(F.sum("rank") - 1) < 1e-9).alias("sums_to_one"), (F.max(F.abs(F.col("raw") / total - F.col("rank"))) < 1e-10).alias("settled"))
 
 
 # -- matching, flow, colouring --------------------------------------------------------------------------------------
@@ -440,39 +452,59 @@ def q_greedy_matching(spark, sf):
     return one(spark, valid=nodes.count() == nodes.distinct().count(), maximal=free.isEmpty())
 
 
-@query("SELECT true AS valid, true AS no_smaller_than_greedy")
+@query("SELECT true AS valid, true AS covered, true AS as_small")
 def q_maximum_matching(spark, sf, view=v.strong):
-    g = view(spark, sf).into_edge_type(False)
+    """Of the graph with each node once as source and once as target: a cover of all edges with as many nodes as there are
+    pairs shows that no matching is larger."""
+    edges = view(spark, sf).edges.select("edge_id", (2 * F.col("src")).alias("src"), (2 * F.col("dst") + 1).alias("dst"))
+    g = PropertyGraph.from_edges(edges, False, fill=False)
     m = materialize(kernels.maximum_matching(g))
     nodes = matching.matched_nodes(m)
-    return one(spark, valid=nodes.count() == nodes.distinct().count(), no_smaller_than_greedy=m.count() >= matching.greedy_matching(g).count())
+    pairs = matching.mates(m).where("node % 2 = 0").select(F.col("node").alias("src"), F.col("mate").alias("dst"), F.lit(True).alias("on"))
+    ends = materialize(g.edges.join(pairs, ["src", "dst"], "left").select("edge_id", "src", "dst", F.coalesce("on", F.lit(False)).alias("on")))
+    turned = PropertyGraph(g.nodes, ends.select("edge_id", F.when(F.col("on"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(F.col("on"), F.col("src")).otherwise(F.col("dst")).alias("dst")))
+    free = g.nodes.where("id % 2 = 0").join(nodes.withColumnRenamed("node", "id"), "id", "left_anti").select("id")
+    reached = materialize(traverse.bfs(turned, free).select("node"))
+    cover = materialize(g.nodes.select(F.col("id").alias("node")).where("node % 2 = 0").join(reached, "node", "left_anti").unionByName(reached.where("node % 2 = 1")))
+    bare = ends.join(cover.withColumnRenamed("node", "src"), "src", "left_anti").join(cover.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    return one(spark, valid=nodes.count() == nodes.distinct().count() and pairs.count() == ends.where("on").count(), covered=bare.isEmpty(), as_small=cover.count() == m.count())
 
 
-@query("SELECT true AS within_capacity, true AS conserved, true AS positive")
+@query("SELECT true AS within_capacity, true AS conserved, true AS positive, true AS as_large_as_a_cut")
 def q_max_flow(spark, sf):
+    """What can still be reached from the source with room to spare gives a cut; it has the flow's size, so no flow is larger."""
     g = v.handoff(spark, sf)
     s, t = first_node(g), last_node(g)
     f = materialize(kernels.max_flow(g, s, t, F.col("w")))
-    e = g.edges.join(f, "edge_id")
+    e = materialize(g.edges.join(f, "edge_id"))
     over = e.where((F.col("flow") > F.col("w") + 1e-9) | (F.col("flow") < -1e-9))
     net = e.select(F.col("src").alias("n"), (-F.col("flow")).alias("x")).unionByName(e.select(F.col("dst").alias("n"), F.col("flow").alias("x"))).groupBy("n").agg(F.sum("x").alias("x"))
-    return one(spark, within_capacity=over.isEmpty(), conserved=net.where(~F.col("n").isin(s, t) & (F.abs("x") > 1e-6)).isEmpty(), positive=kernels.flow_value(g, f, s) > 0)
+    value = kernels.flow_value(g, f, s)
+    room = e.where("flow < w - 1e-9").select("edge_id", "src", "dst").unionByName(e.where("flow > 1e-9").select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    side = materialize(traverse.bfs(PropertyGraph(g.nodes, room), [s]).select("node"))
+    out = g.edges.join(side.withColumnRenamed("node", "src"), "src", "left_semi").join(side.withColumnRenamed("node", "dst"), "dst", "left_anti").agg(F.sum("w")).first()[0] or 0
+    cut = side.where(F.col("node") == t).isEmpty() and abs(out - value) < 1e-6
+    return one(spark, within_capacity=over.isEmpty(), conserved=net.where(~F.col("n").isin(s, t) & (F.abs("x") > 1e-6)).isEmpty(), positive=value > 0, as_large_as_a_cut=cut)
 
 
-@query("SELECT true AS proper, true AS complete")
+@query("SELECT true AS proper, true AS complete, true AS few")
 def q_dsatur_coloring(spark, sf, view=v.strong):
+    """No more colours than a node has neighbours, and one."""
     g = view(spark, sf).filter_edges(F.col("src") != F.col("dst")).into_edge_type(False)
     c = materialize(kernels.dsatur_coloring(g))
     same = g.edges.join(c.withColumnsRenamed({"node": "src", "color": "a"}), "src").join(c.withColumnsRenamed({"node": "dst", "color": "b"}), "dst").where("a = b")
-    return one(spark, proper=same.isEmpty(), complete=c.count() == g.node_count())
+    most = g.adjacency_matrix().groupBy("src").count().agg(F.max("count")).first()[0] or 0
+    return one(spark, proper=same.isEmpty(), complete=c.count() == g.node_count(), few=c.agg(F.countDistinct("color")).first()[0] <= most + 1)
 
 
-@query("SELECT true AS leaves_dag")
+@query("SELECT true AS leaves_dag, true AS at_most_half")
 def q_feedback_arc_set(spark, sf, view=v.strong):
+    """Loops aside, no more than half of the edges."""
     g = view(spark, sf)
-    gone = kernels.greedy_feedback_arc_set(g).select("edge_id")
+    gone = materialize(kernels.greedy_feedback_arc_set(g).select("edge_id", "src", "dst"))
     rest = PropertyGraph(g.nodes, materialize(g.edges.join(gone, "edge_id", "left_anti").select(g.edges.columns)))
-    return one(spark, leaves_dag=not traverse.is_cyclic_directed(rest))
+    few = 2 * gone.where("src <> dst").count() <= g.edges.where("src <> dst").count()
+    return one(spark, leaves_dag=not traverse.is_cyclic_directed(rest), at_most_half=few)
 
 
 # -- patterns -------------------------------------------------------------------------------------------------------
