@@ -251,8 +251,9 @@ def dictionary(texts: DataFrame, vocab: Vocabulary, pattern: str, size: int = DI
     return kept.select("word", F.get(encoded_words(F.array("pieces"), vocab), 0).alias("ids")).toArrow()
 
 
-def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary_size: int = DICTIONARY) -> DataFrame:
-    """``doc_id`` and ``ids`` (little-endian unsigned 32-bit integers in a binary) for every row of ``df``.
+def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary_size: int = DICTIONARY, decoded: bool = False) -> DataFrame:
+    """``doc_id`` and ``ids`` (little-endian unsigned 32-bit integers in a binary) for every row of ``df``; with ``decoded`` also
+    ``bytes``, what :func:`decode` gives for these ids, in the same pass.
 
     Null text counts as empty and has no ids.  Whole texts are encoded, every row alone, repeated rows and null ids
     included; an empty table gives no rows; other columns are not read.
@@ -262,6 +263,7 @@ def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id
     flat, at = _flat(known["ids"].combine_chunks())
     entries = spark.sparkContext.broadcast(known["word"].combine_chunks())
     coded = spark.sparkContext.broadcast((flat, at))
+    tokens = spark.sparkContext.broadcast(vocab.tokens if decoded else ())
     singles = spark.sparkContext.broadcast(byte_ids(vocab))
     kind, run = df.schema[id_col].dataType.simpleString(), uuid.uuid4().hex
 
@@ -307,12 +309,20 @@ def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id
             for i, codes in enumerate(batch.column(1)):
                 code = np.frombuffer(codes.as_py(), "<i4").astype(np.int64)
                 out.append(gather(every, ends, np.where(code >= 0, code, base + first[i] - code - 1)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+            columns = [batch.column(0), pa.array(out, pa.binary())]
+            if decoded:
+                columns.append(pa.array([joined(x, tokens.value) for x in out], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "bytes"][: len(columns)])
 
     words = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parted = words.mapInArrow(split, f"doc_id {kind}, codes binary, words array<array<bigint>>")
     folded = parted.select("doc_id", "codes", encoded_words(F.col("words"), vocab).alias("words"))
-    return folded.mapInArrow(join, f"doc_id {kind}, ids binary")
+    return folded.mapInArrow(join, f"doc_id {kind}, ids binary" + ", bytes binary" * decoded)
+
+
+def joined(ids: bytes, tokens: tuple[bytes, ...]) -> bytes:
+    """The bytes of tokens, one after another."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -321,9 +331,8 @@ def decode(encoded: DataFrame, vocab: Vocabulary) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = tokens.value.__getitem__
         for batch in batches:
-            out = [b"".join(map(piece, np.frombuffer(x.as_py(), "<u4").tolist())) for x in batch.column(1)]
+            out = [joined(x.as_py(), tokens.value) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, bytes binary")
@@ -336,8 +345,7 @@ def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
     from weft.llm.common import table
 
     vocab = vocabulary(load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
-    encoded = encode(table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
-    return decode(encoded, vocab).select(
+    return encode(table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
