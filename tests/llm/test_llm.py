@@ -503,6 +503,14 @@ def test_katz(spark, docs, none, monkeypatch):
         for x, y in zip(got, sorted(want), strict=True):
             assert x[3:] == pytest.approx(y[3:], abs=1e-6)
         assert katz.score(none, model).count() == 0
+        learned = [(None, t, 1) for t in train]  # no row of the others is learned from
+        everyone = spark.createDataFrame(learned + [(i, t, 0) for i, t, *_ in corpus()], "doc_id long, text string, learns int").repartition(3)
+        both, out = katz.train_and_score(everyone, F.col("learns") == 1, order=order, frequent_words=frequent, hot_tokens=hot)
+        own = [(r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in out.collect()]
+        assert (both.total, both.distinct) == (total, len(uni)) and len(own) == len(learned) + len(corpus())
+        once = Counter((str(x[0]), x[1], x[2], round(x[3], 5), round(x[4], 5)) for x in own)
+        again = [(str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in katz.score(everyone, model).collect()]
+        assert once == Counter(again)
     empty = katz.train(none)
     assert [(r.n_tokens, r.n_known, r.score) for r in katz.score(docs.where("doc_id = 4"), empty).collect()] == [(121, 0, 0.0)]
 

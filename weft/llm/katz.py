@@ -24,6 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import begin_task, small_batches, utf8, worker_cache
-from weft.plans.runtime import materialize, new_path, release, write_once
+from weft.plans.runtime import delete, materialize, new_path, release, write_once
 
 ORDER = 3
 FREQUENT_WORDS = 500_000
 DISCOUNTED = 5
 PARTS = 8
+SLICES = 4
 TOKENS_AT_ONCE = 1 << 20
 TOKENS_PER_BUCKET = 1 << 20
 HOT_SHARE = 1 / 100_000  # of all tokens: at most 100,000 contexts of a level have more
@@ -229,8 +231,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 class Tokens:
     """Token numbers of a batch of texts, each text's words and its end, as places in ``words`` (sorted, the begin last)."""
 
-    def __init__(self, words: np.ndarray, local: np.ndarray, sizes: np.ndarray, chosen: np.ndarray | None = None):
+    def __init__(self, words: np.ndarray, local: np.ndarray, sizes: np.ndarray, chosen: np.ndarray | None = None, learns: np.ndarray | None = None):
         self.words, self.local, self.sizes = words, local, sizes
+        self.learns = np.ones(len(sizes), np.int64) if learns is None else learns
         self.text = np.repeat(np.arange(len(sizes)), sizes)
         self.place = np.arange(len(local)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.chosen = np.arange(len(local)) if chosen is None else chosen
@@ -239,7 +242,8 @@ class Tokens:
         return self.words[self.local]
 
     def grams(self, k: int, bits: int) -> tuple[Grams, np.ndarray, np.ndarray]:
-        """Distinct k-grams that end at the chosen tokens, which one ends at each of these, and their counts."""
+        """Distinct k-grams that end at the chosen tokens, which one ends at each of these, and their counts in texts that are
+        learned from."""
         begin, width = len(self.words) - 1, len(self.words).bit_length()
         key, spare, ids = None, 63, None
 
@@ -261,6 +265,8 @@ class Tokens:
                 ids, columns, spare = head, 1, 63 - len(found).bit_length()
             key, columns, spare = key.astype(np.int64) << width | window(back), columns + 1, spare - width
         found, which, n = np.unique(key, return_inverse=True, return_counts=True)
+        if not self.learns.all():
+            n = np.bincount(which, self.learns[self.text[self.chosen]], len(found))
         words = split(found, columns) if ids is None else np.concatenate((ids[:, found >> width * (columns - 1)], split(found, columns - 1)))
         names = named(words, bits)
         order = np.concatenate((np.flatnonzero(names < 0), np.flatnonzero(names >= 0)))
@@ -271,20 +277,22 @@ class Tokens:
         return Grams(names[order[wide:]], words[:, order[:wide]], bits), back[which], n[order].astype(np.int64)
 
 
-_CODED = "sizes binary, words binary, tokens binary, sums binary, left binary"
+_CODED = "sizes binary, learns binary, words binary, tokens binary, sums binary, left binary, lacking binary"
 
 
 def _tokens(row: dict) -> Tokens:
     left = None if row.get("left") is None else risen(row["left"])
-    return Tokens(risen(row["words"]), unpacked(row["tokens"]), unpacked(row["sizes"]), left)
+    learns = None if row.get("learns") is None else unpacked(row["learns"])
+    return Tokens(risen(row["words"]), unpacked(row["tokens"]), unpacked(row["sizes"]), left, learns)
 
 
-def coded(df: DataFrame, words, name: str, id_col: str | None, text_col: str) -> DataFrame:
-    """Texts as numbers, about ``TOKENS_AT_ONCE`` tokens a row: ``who keys sizes words tokens`` and room for what is found out.
-    A text is never cut, so a row is as long as the longest text at least.  ``words`` broadcasts the frequent words of the
-    model ``name``."""
-    keys = F.lit(None).cast("int").alias("key") if id_col is None else F.col(id_col).alias("key")
-    rows = small_batches(df).select(keys, F.col(text_col).alias("text"))
+def coded(df: DataFrame, words, name: str, id_col: str | None, text_col: str, learns: Column | None = None) -> DataFrame:
+    """Texts as numbers, about ``TOKENS_AT_ONCE`` tokens a row: ``who keys sizes learns words tokens`` and room for what is found
+    out.  A text is never cut, so a row is as long as the longest text at least.  ``words`` broadcasts the frequent words of
+    the model ``name``; ``learns`` tells which texts are learned from (all)."""
+    keys = F.lit(None).cast("int").alias("key") if id_col is None else F.col(f"`{id_col}`").alias("key")
+    learning = F.lit(True) if learns is None else F.coalesce(learns, F.lit(False))
+    rows = small_batches(df).select(keys, F.col(f"`{text_col}`").alias("text"), learning.alias("learns"))
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"who long, keys array<{kind}>, {_CODED}"
     target, at_once, keyed = _arrow(schema), TOKENS_AT_ONCE, id_col is not None
@@ -296,15 +304,15 @@ def coded(df: DataFrame, words, name: str, id_col: str | None, text_col: str) ->
         if not store:
             store.update({w: i for i, w in enumerate(words.value)})
         end, get, number = len(store), store.get, {}
-        who, ids, keys, sizes, size = TaskContext.get().partitionId() << 33, [], [], [], 0
+        who, ids, keys, sizes, flags, size = TaskContext.get().partitionId() << 33, [], [], [], [], 0
 
         def row() -> pa.RecordBatch:
             found, local = np.unique(np.concatenate(ids), return_inverse=True)
-            one = {"who": who, "keys": keys if keyed else None, "sizes": packed(np.array(sizes, np.int64))}
+            one = {"who": who, "keys": keys if keyed else None, "sizes": packed(np.array(sizes, np.int64)), "learns": packed(np.array(flags, np.int64))}
             return _batch([one | {"words": rising(np.append(found, end + 1)), "tokens": packed(local.astype(np.int64))}], target)
 
         for batch in batches:
-            texts = batch.column(1)
+            texts, own_flags = batch.column(1), batch.column(2).to_pylist()
             for i, key in enumerate(batch.column(0).to_pylist()):
                 found = utf8(texts[i].as_py()).lower().split()
                 own = list(map(get, found))
@@ -314,10 +322,11 @@ def coded(df: DataFrame, words, name: str, id_col: str | None, text_col: str) ->
                 ids.append(np.array(own, np.int64))
                 keys.append(key)
                 sizes.append(len(own))
+                flags.append(own_flags[i])
                 size += len(own)
                 if size >= at_once:
                     yield row()
-                    who, ids, keys, sizes, size = who + 1, [], [], [], 0
+                    who, ids, keys, sizes, flags, size = who + 1, [], [], [], [], 0
                     number.clear()
         if sizes:
             yield row()
@@ -330,38 +339,64 @@ def coded(df: DataFrame, words, name: str, id_col: str | None, text_col: str) ->
 _BLOCK = "bucket int, plain binary, wide binary, n_plain binary, n_wide binary"
 
 
-def _merged(blocks: DataFrame, k: int, bits: int, often: int) -> DataFrame:
-    """Sum the blocks of each bucket: a block a bucket, and with it ladder (how many n-grams have counts 1, 2, ...) and
+_SUMMED = f"{_BLOCK}, ladder array<long>, often binary, kind int, who long, value binary"
+
+
+def _merged(blocks: DataFrame, k: int, bits: int, often: int, hot: np.ndarray | None = None) -> DataFrame:
+    """Sum the blocks of each bucket: a block a bucket (kind 0), and with it ladder (how many n-grams have counts 1, 2, ...) and
     often (names of those with ``often`` or more).  Blocks are summed as they come, so that a bucket takes the memory of
-    its distinct n-grams."""
-    schema = f"{_BLOCK}, ladder array<long>, often binary"
-    target, limit = _arrow(schema), 2 * TOKENS_PER_BUCKET
+    its n-grams.
+
+    With ``hot``, every block is answered as well (kind 1): of each of its names the count, and of its context the size
+    times 32 and a bit for each count up to five that occurs after it; 0 where the context does not occur, and -1 - i for
+    the hot context i, whose sums are not known here.  Names that are only asked for have the count 0.
+    """
+    target, limit = _arrow(_SUMMED), 2 * TOKENS_PER_BUCKET
+    shared = blocks.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, lists, waiting = None, None, 0
+        hot, now, lists, waiting, asked = shared.value, None, None, 0, []
 
-        def done() -> pa.RecordBatch:
+        def done() -> Iterator[pa.RecordBatch]:
             grams, n, m = summed(*lists, bits)
+            if not (n.all() and m.all()):
+                grams, n, m = Grams(grams.plain[n > 0], grams.wide[:, m > 0], bits), n[n > 0], m[m > 0]
             every = np.concatenate((m, n))
             ladder = np.bincount(np.minimum(every, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
             found = {"bucket": now, "plain": rising(grams.plain), "wide": packed(grams.wide), "n_plain": packed(n), "n_wide": packed(m)}
-            return _batch([found | {"ladder": ladder.tolist(), "often": packed(grams.names()[every >= often])}], target)
+            yield _batch([found | {"ladder": ladder.tolist(), "often": packed(grams.names()[every >= often]), "kind": 0}], target)
+            if not asked:
+                return
+            names, (contexts, of) = grams.names(), np.unique(grams.contexts(), return_inverse=True)
+            size = np.bincount(of, every, len(contexts)).astype(np.int64) * 32
+            for r in range(1, DISCOUNTED + 1):
+                size[np.unique(of[every == r])] += 1 << (r - 1)
+            for who, own, own_contexts in asked:
+                at, where, spread = place(names, own), place(contexts, own_contexts), place(hot, own_contexts)
+                count, about = np.zeros(len(own)), np.zeros(len(own))
+                count[at >= 0], about[where >= 0] = every[at[at >= 0]], size[where[where >= 0]]
+                about[spread >= 0] = -1 - spread[spread >= 0]
+                yield _batch([{"bucket": now, "kind": 1, "who": who, "value": packed(np.stack((count, about)))}], target)
 
         for row in _rows(batches):
             if row["bucket"] != now:
                 if now is not None:
-                    yield done()
-                now, lists, waiting = row["bucket"], ([], [], [], []), 0
-            for x, one in zip(lists, (risen(row["plain"]), unpacked(row["wide"], k).reshape(k, -1), unpacked(row["n_plain"]), unpacked(row["n_wide"])), strict=True):
+                    yield from done()
+                now, lists, waiting, asked = row["bucket"], ([], [], [], []), 0, []
+            new = (risen(row["plain"]), unpacked(row["wide"], k).reshape(k, -1), unpacked(row["n_plain"]), unpacked(row["n_wide"]))
+            for x, one in zip(lists, new, strict=True):
                 x.append(one)
-            waiting += len(lists[2][-1]) + len(lists[3][-1])
+            if hot is not None:
+                grams = Grams(new[0], new[1], bits)
+                asked.append((row["who"], grams.names(), grams.contexts()))
+            waiting += len(new[2]) + len(new[3])
             if waiting > limit:
                 grams, n, m = summed(*lists, bits)
                 lists, waiting = ([grams.plain], [grams.wide], [n], [m]), 0
         if now is not None:
-            yield done()
+            yield from done()
 
-    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _SUMMED)
 
 
 def _blocks(grams: Grams, n: np.ndarray, hot: np.ndarray | None, buckets: int) -> list[dict]:
@@ -370,16 +405,20 @@ def _blocks(grams: Grams, n: np.ndarray, hot: np.ndarray | None, buckets: int) -
     return [{"bucket": b, "plain": rising(grams.plain[p]), "wide": packed(grams.wide[:, w]), "n_plain": packed(n[wide:][p]), "n_wide": packed(n[:wide][w])} for b, w, p in parts]
 
 
-def _counted(tokens: DataFrame, k: int, bits: int, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Blocks of the k-grams of coded texts."""
-    target, shared = _arrow(_BLOCK), tokens.sparkSession.sparkContext.broadcast(hot)
+def _counted(tokens: DataFrame, k: int, bits: int, hot: np.ndarray, buckets: int, ask: bool = False) -> DataFrame:
+    """Blocks of the k-grams of coded texts that are learned from; with ``ask`` also, with count 0, of the others."""
+    schema = f"who long, {_BLOCK}"
+    target, shared = _arrow(schema), tokens.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            grams, _, n = _tokens(row).grams(k, bits)
-            yield _batch(_blocks(grams, n, shared.value, buckets), target)
+            own = _tokens(row)
+            if not ask:
+                own.chosen = np.flatnonzero(own.learns[own.text])
+            grams, _, n = own.grams(k, bits)
+            yield _batch([{"who": row["who"]} | x for x in _blocks(grams, n, shared.value, buckets)], target)
 
-    return tokens.select("sizes", "words", "tokens").mapInArrow(run, _BLOCK)
+    return tokens.select("who", "sizes", "learns", "words", "tokens").mapInArrow(run, schema)
 
 
 def _rare_blocks(words: DataFrame, bits: int, buckets: int) -> DataFrame:
@@ -425,15 +464,15 @@ class Model:
 
     def grams(self, spark: SparkSession, k: int) -> DataFrame:
         """Blocks of the n-grams of order k, one a bucket: see :class:`Grams`, and their counts."""
-        return spark.read.schema(f"{_BLOCK}, part int").parquet(f"{self.path}/grams/order={k}").drop("part")
+        return spark.read.schema(f"{_BLOCK}, kind int, part int").parquet(f"{self.path}/grams/order={k}").where("kind = 0").drop("kind")
 
     def contexts(self, spark: SparkSession, k: int) -> DataFrame:
         """``bucket sums``: size and alpha of each context of the bucket's n-grams that is not hot, in order of their names."""
-        return spark.read.schema("bucket int, sums binary, part int").parquet(f"{self.path}/contexts/order={k}").drop("part")
+        return spark.read.schema("bucket int, sums binary, part int").parquet(f"{self.path}/contexts/order={k}")
 
 
-def _save(df: DataFrame, path: str) -> None:
-    write_once(df.withColumn("part", F.col("bucket") % PARTS).write.partitionBy("part"), path)
+def _save(df: DataFrame, path: str, *by: str) -> None:
+    write_once(df.withColumn("part", F.col("bucket") % PARTS).write.partitionBy(*by, "part"), path)
 
 
 def _own_contexts(grams: Grams, hot: np.ndarray) -> np.ndarray:
@@ -452,9 +491,9 @@ def answers(asked: DataFrame, model: Model, k: int) -> DataFrame:
     is -1 where the context was never seen.
     """
     spark = asked.sparkSession
-    rows = model.grams(spark, k).withColumn("kind", F.lit(0))
+    rows = model.grams(spark, k).drop("part").withColumn("kind", F.lit(0))
     if k > 1:
-        rows = rows.unionByName(model.contexts(spark, k).withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        rows = rows.unionByName(model.contexts(spark, k).drop("part").withColumn("kind", F.lit(1)), allowMissingColumns=True)
     rows = rows.unionByName(asked.withColumn("kind", F.lit(2)), allowMissingColumns=True)
     shared = spark.sparkContext.broadcast((model.hot.get(k), model.sums.get(k), model.d[k]))
     schema, bits = "who long, bucket int, value binary", model.bits
@@ -492,22 +531,47 @@ def answers(asked: DataFrame, model: Model, k: int) -> DataFrame:
     return parted.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
 
 
-def answered(base: DataFrame, got: DataFrame, handle: Callable[[], Callable], schema: str) -> DataFrame:
-    """Rows ``handle()(row, values)`` for each row of ``base(who, ...)`` and the answers to it, bucket after bucket."""
+def alphas(asked: DataFrame, model: Model, k: int, parts: list[int]) -> DataFrame:
+    """Answers ``who bucket value`` to blocks ``bucket who plain`` of sorted names of contexts of order k that occur and are not
+    hot: their alphas.  Of asked blocks and the model's only the buckets of ``parts`` are read."""
+    spark, bits, hot = asked.sparkSession, model.bits, model.hot[k]
+    rows = model.grams(spark, k).where(F.col("part").isin(parts)).drop("part").withColumn("kind", F.lit(0))
+    rows = rows.unionByName(model.contexts(spark, k).where(F.col("part").isin(parts)).drop("part").withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    rows = rows.unionByName(asked.where((F.col("bucket") % PARTS).isin(parts)).withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    schema, shared = "who long, bucket int, value binary", spark.sparkContext.broadcast(hot)
+    target = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts, alpha = None, None
+        for row in _rows(batches):
+            if row["kind"] == 0:
+                contexts = _own_contexts(_grams(row, k, bits), shared.value)
+            elif row["kind"] == 1:
+                alpha = unpacked(row["sums"], 2, "<f8")[1]
+            else:
+                yield _batch([{"who": row["who"], "bucket": row["bucket"], "value": packed(alpha[place(contexts, risen(row["plain"]))])}], target)
+
+    parted = rows.select("bucket", "kind", "who", "plain", "wide", "sums").repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return parted.mapInArrow(run, schema)
+
+
+def answered(base: DataFrame, got: DataFrame, handle: Callable[[], Callable], schema: str, columns: int = 1) -> DataFrame:
+    """Rows ``handle()(row, values)`` for each row of ``base(who, ...)`` and the answers to it, bucket after bucket; the values
+    may have several columns."""
     both = base.withColumn("bucket", F.lit(-1)).unionByName(got, allowMissingColumns=True)
     target = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, own, values = handle(), None, []
+        one, own, values, none = handle(), None, [], np.zeros((columns, 0) if columns > 1 else 0)
         for row in _rows(batches):
             if row["bucket"] >= 0:
-                values.append(unpacked(row["value"], 1, "<f8"))
+                values.append(unpacked(row["value"], columns, "<f8"))
                 continue
             if own is not None:
-                yield _batch(one(own, np.concatenate([np.zeros(0), *values])), target)
+                yield _batch(one(own, np.concatenate([none, *values], axis=-1)), target)
             own, values = row, []
         if own is not None:
-            yield _batch(one(own, np.concatenate([np.zeros(0), *values])), target)
+            yield _batch(one(own, np.concatenate([none, *values], axis=-1)), target)
 
     return both.repartition("who").sortWithinPartitions("who", "bucket").mapInArrow(run, schema)
 
@@ -558,8 +622,15 @@ def train(texts: DataFrame, order: int = ORDER, frequent_words: int = FREQUENT_W
     An empty table gives a model without words, for which every token is unknown and has probability one.
     Contexts of ``hot_tokens`` tokens or more (by default a share of all) are spread over buckets.
     """
-    spark = small_batches(texts).sparkSession
+    return _fit(texts, None, order, frequent_words, None, text_col, hot_tokens)[0]
+
+
+def _fit(docs: DataFrame, learns: Column | None, order: int, frequent_words: int, id_col: str | None, text_col: str, hot_tokens: int | None) -> tuple[Model, DataFrame | None]:
+    """A model of the rows for which ``learns`` holds (null: all).  If it is given, also all rows as numbers, with the answers
+    to them at the highest level written next to its n-grams."""
+    spark = small_batches(docs).sparkSession
     path = new_path(spark, "katz")
+    texts = docs if learns is None else docs.where(learns)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter[bytes] = Counter()
@@ -575,7 +646,7 @@ def train(texts: DataFrame, order: int = ORDER, frequent_words: int = FREQUENT_W
                     c.clear()
         yield row()
 
-    words = materialize(texts.select(text_col).mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    words = materialize(texts.select(F.col(f"`{text_col}`")).mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
     ends = texts.count()
     ladder = words.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("s")).orderBy(F.desc("c")).collect()
     total, distinct = ends + sum(r.s for r in ladder), bool(ends) + sum(r.k for r in ladder)
@@ -598,33 +669,36 @@ def train(texts: DataFrame, order: int = ORDER, frequent_words: int = FREQUENT_W
     model = Model(path, order, frequent, counts, total, distinct, max(1, -(-total // TOKENS_PER_BUCKET)), scale / max(1, total), unknown, {1: d1})
     buckets, bits = model.buckets, model.bits
     rare = _merged(_rare_blocks(words.where(F.col("c") < least), bits, buckets), 1, bits, hot_limit)
-    _save(rare.drop("ladder", "often"), f"{path}/grams/order=1")
+    _save(rare, f"{path}/grams/order=1", "kind")
     release(words)
-    if order < 2:
-        return model
+    if order < 2 and learns is None:
+        return model, None
     shared = spark.sparkContext.broadcast(frequent)
-    tokens = materialize(coded(texts, shared, path, None, text_col), "tokens")
+    tokens = materialize(coded(docs, shared, path, id_col, text_col, learns), "tokens")
     often = named(np.flatnonzero(counts[:-1] >= hot_limit)[None], bits)
     for k in range(2, order + 1):
         if ends >= hot_limit:
             often = np.append(often, named(np.full((k - 1, 1), model.begin), bits))
         model.hot[k] = np.sort(often)
-        counted = materialize(_merged(_counted(tokens, k, bits, model.hot[k], buckets), k, bits, hot_limit), "grams")
-        _save(counted.drop("ladder", "often"), f"{path}/grams/order={k}")
+        ask = learns is not None and k == order
+        blocks = _counted(tokens, k, bits, model.hot[k], buckets, ask)
+        _save(_merged(blocks, k, bits, hot_limit, model.hot[k] if ask else None), f"{path}/grams/order={k}", "kind")
+        counted = spark.read.schema("ladder array<long>, often binary, kind int").parquet(f"{path}/grams/order={k}").where("kind = 0")
         steps = [F.sum(F.get("ladder", F.lit(r - 1))).alias(f"n{r}") for r in range(1, DISCOUNTED + 2)]
         model.d[k] = discounts({r: x or 0 for r, x in enumerate(counted.agg(*steps).first(), 1)})
         rows = counted.select("often").collect()  # n-grams of hot_limit tokens or more: a bounded number
         often = np.concatenate([np.zeros(0, np.int64), *[unpacked(r.often) for r in rows]])
-        release(counted)
         _contexts(spark, model, k)
-    release(tokens)
-    return model
+    if learns is None:
+        release(tokens)
+        return model, None
+    return model, tokens
 
 
 def _contexts(spark: SparkSession, model: Model, k: int) -> None:
     """Sizes and alphas of the contexts of order k, from its n-grams and the level below."""
     bits, buckets, hot, lower = model.bits, model.buckets, model.hot[k], model.hot[k - 1]
-    base = model.grams(spark, k).withColumn("who", F.col("bucket").cast("long")).drop("bucket")
+    base = model.grams(spark, k).withColumn("who", F.col("bucket").cast("long")).drop("bucket", "part")
 
     def wanted():
         return lambda row: _suffixes(_grams(row, k, bits))[:2]
@@ -690,12 +764,98 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     distinct tokens.  Null text counts as empty: one token.  Every row is scored alone: rows with equal or null ids have a
     row each, an empty table none.  Other columns are not read.
     """
-    spark = small_batches(docs).sparkSession
-    words = spark.sparkContext.broadcast(model.words)
-    bits, buckets = model.bits, model.buckets
+    words = small_batches(docs).sparkSession.sparkContext.broadcast(model.words)
     state = materialize(coded(docs, words, model.path, id_col, text_col), "coded")
+    return _scored(state, model, model.order)
+
+
+def train_and_score(
+    docs: DataFrame, learns: Column, order: int = ORDER, frequent_words: int = FREQUENT_WORDS, id_col: str = "doc_id", text_col: str = "text", hot_tokens: int | None = None
+) -> tuple[Model, DataFrame]:
+    """The model that :func:`train` fits on the rows for which ``learns`` holds, and what :func:`score` gives for all rows, which
+    are read as words and counted only once: at the highest level, counting answers what is asked of it."""
+    model, state = _fit(docs, learns, order, frequent_words, id_col, text_col, hot_tokens)
+    if order < 2 or not model.total:
+        return model, _scored(state, model, model.order)
+    spark, k, bits, buckets = docs.sparkSession, order, model.bits, model.buckets
+    path = f"{model.path}/grams/order={k}"
+    got = spark.read.schema("bucket int, who long, value binary, kind int").parquet(path).where("kind = 1").drop("kind")
+    kind = state.schema["keys"].dataType.simpleString()
+    schema = f"who long, keys {kind}, {_CODED}"
+    shared = spark.sparkContext.broadcast((model.hot[k], model.sums[k], model.d[k]))
+
+    def first():
+        hot, hot_sums, d = shared.value
+
+        def one(row: dict, value: np.ndarray) -> list[dict]:
+            tokens = _tokens(row)
+            grams, which, _ = tokens.grams(k, bits)
+            count, about = in_order(value.T, _asked_order(grams.names(), grams.contexts(), hot, buckets)).T.astype(np.int64)
+            size, mask, spread = about // 32, about % 32, about < 0
+            discounts_some = np.zeros(len(mask), bool)
+            for r, factor in enumerate(d):
+                if factor < 1:
+                    discounts_some |= mask >> r & 1 == 1
+            size = size + ~discounts_some
+            factor = np.ones(len(size))
+            factor[spread] = hot_sums[1, -1 - about[spread]]
+            size[spread] = hot_sums[0, -1 - about[spread]]
+            seen = count > 0
+            factor[seen] = discounted(count[seen], d) / size[seen]
+            lacking = ~seen & (about > 0)  # alpha is still to be asked for
+            sums = _by_text(tokens, np.log10(factor[which]))
+            left = ~seen[which]
+            return [{c: row[c] for c in _KEPT} | {"sums": packed(sums), "left": rising(tokens.chosen[left]), "lacking": rising(tokens.chosen[lacking[which]])}]
+
+        return one
+
+    after = materialize(answered(state, got, first, schema, 2), "coded")
+    release(state)
+    delete(spark, f"{path}/kind=1")
+    state = after
+
+    def lacking(row: dict) -> tuple[Tokens, np.ndarray, np.ndarray]:
+        tokens = _tokens(row)
+        tokens.chosen = risen(row["lacking"])
+        grams, which, _ = tokens.grams(k, bits)
+        contexts, of = np.unique(grams.contexts(), return_inverse=True)
+        return tokens, contexts, of[which]
+
+    def bucket(contexts: np.ndarray) -> np.ndarray:
+        return bucket_of(contexts, contexts, contexts[:0], buckets)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            _, contexts, _ = lacking(row)
+            _, parts = dealt(bucket(contexts), 0)
+            yield _batch([{"bucket": b, "who": row["who"], "plain": rising(contexts[p])} for b, _, p in parts], asked_target)
+
+    def last():
+        def one(row: dict, value: np.ndarray) -> list[dict]:
+            tokens, contexts, of = lacking(row)
+            value = in_order(value, dealt(bucket(contexts), 0)[0])
+            sums = unpacked(row["sums"], 1, "<f8") + _by_text(tokens, np.log10(value[of]))
+            return [{c: row[c] for c in _KEPT} | {"sums": packed(sums), "left": row["left"]}]
+
+        return one
+
+    asked_schema = "bucket int, who long, plain binary"
+    asked_target = _arrow(asked_schema)
+    asked = materialize(state.mapInArrow(ask, asked_schema), "asked")
+    got = [materialize(alphas(asked, model, k, list(range(PARTS))[i::SLICES]), "alphas") for i in range(SLICES)]
+    after = materialize(answered(state, reduce(DataFrame.unionByName, got), last, schema), "coded")
+    release(state, asked, *got)
+    return model, _scored(after, model, k - 1)
+
+
+_KEPT = ("who", "keys", "sizes", "learns", "words", "tokens")
+
+
+def _scored(state: DataFrame, model: Model, highest: int) -> DataFrame:
+    """Scores of coded texts, of which the levels above ``highest`` have been asked already."""
+    spark, bits, buckets = state.sparkSession, model.bits, model.buckets
     kind = state.schema["keys"].dataType.simpleString()
-    for k in range(model.order, 1, -1):
+    for k in range(highest if model.total else 1, 1, -1):
         shared = spark.sparkContext.broadcast(model.hot[k])
 
         def wanted(k=k):
@@ -713,7 +873,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 sums = _by_text(tokens, np.log10(np.abs(value)))
                 if row["sums"] is not None:
                     sums += unpacked(row["sums"], 1, "<f8")
-                return [{c: row[c] for c in ("who", "keys", "sizes", "words", "tokens")} | {"sums": packed(sums), "left": rising(tokens.chosen[value < 0])}]
+                return [{c: row[c] for c in _KEPT} | {"sums": packed(sums), "left": rising(tokens.chosen[value < 0])}]
 
             return one
 
@@ -759,7 +919,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         return one
 
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"
+    schema = f"doc_id {kind[len('array<') : -1]}, n_tokens long, n_known long, base_score double, score double"
     return answered(state, answers(_ask(state, rare, None, buckets), model, 1), last, schema)
 
 
@@ -774,6 +934,5 @@ def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     out_of_training = F.coalesce(held_out(), F.lit(False))
-    model = train(docs.where(~out_of_training))
-    out = score(docs, model)
+    model, out = train_and_score(docs, ~out_of_training)
     return out.select("doc_id", out_of_training.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
