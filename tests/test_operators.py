@@ -7,9 +7,9 @@ from weft.graph import PropertyGraph
 from weft.operators import components, kernels, matching, paths, pattern, rank, spanning, traverse
 from weft.sources import generators
 
-# two rings of four, a link between them
-RINGS = [(0, 1), (1, 2), (2, 3), (3, 0), (4, 5), (5, 6), (6, 7), (7, 4), (1, 4)]
-WEIGHTED = [(0, 1, 7), (0, 2, 9), (0, 5, 14), (1, 2, 10), (1, 3, 15), (2, 3, 11), (2, 5, 2), (3, 4, 6), (4, 5, 9)]
+# a ring of three and a ring of five, a link between them
+RINGS = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 6), (6, 7), (7, 3), (2, 5)]
+WEIGHTED = [(0, 1, 4), (0, 2, 1), (2, 1, 2), (1, 3, 5), (2, 3, 8), (3, 4, 3), (2, 5, 10), (4, 5, 1)]
 
 
 def rows(df, *columns):
@@ -20,12 +20,12 @@ def test_shortest_paths(spark):
     g = PropertyGraph.from_rows(spark, WEIGHTED, False)
     w = F.col("weight")
     best = paths.sssp(g, 0, w)
-    assert rows(best, "node", "cost") == [(0, 0), (1, 7), (2, 9), (3, 20), (4, 20), (5, 11)]
-    assert paths.path_to(best, 4) == [0, 2, 5, 4]
-    assert paths.bidirectional_dijkstra(g, 0, 4, w) == 20
+    assert rows(best, "node", "cost") == [(0, 0), (1, 3), (2, 1), (3, 8), (4, 11), (5, 11)]
+    assert paths.path_to(best, 4) == [0, 2, 1, 3, 4] and paths.path_to(best, 0) == [0] and paths.path_to(best, 9) == []
+    assert paths.bidirectional_dijkstra(g, 0, 4, w) == 11
     assert paths.bidirectional_dijkstra(g, 2, 2, w) == 0
-    assert paths.astar(g, 0, F.col("id") == 4, w) == (20, [0, 2, 5, 4])
-    assert rows(paths.dijkstra(g, 0, 2, w), "node") == [(0,), (1,), (2,)]
+    assert paths.astar(g, 0, F.col("id") == 4, w) == (11, [0, 2, 1, 3, 4])
+    assert rows(paths.dijkstra(g, 0, 1, w), "node") == [(0,), (1,), (2,)]
 
 
 def test_negative_cycles(spark):
@@ -33,14 +33,20 @@ def test_negative_cycles(spark):
     with pytest.raises(paths.NegativeCycleError):
         paths.sssp(g, 0, F.col("weight"))
     assert paths.find_negative_cycle(g, 0, F.col("weight")) == [1, 2]
+    ring = PropertyGraph.from_rows(spark, [(i, (i + 1) % 9, 1) for i in range(9)] + [(4, 9, 0), (9, 5, -6), (9, 10, 1)])
+    assert paths.find_negative_cycle(ring, 0, F.col("weight")) is None
+    less = ring.set_edges(weight=F.col("weight") - F.when(F.col("src") == 9, 3).otherwise(0))
+    assert paths.find_negative_cycle(less, 2, F.col("weight")) == [0, 1, 2, 3, 4, 9, 5, 6, 7, 8]
+    with pytest.raises(paths.NegativeCycleError):
+        paths.sssp(less, 0, F.col("weight"))
     fine = g.set_edges(weight=F.abs("weight"))
     assert paths.find_negative_cycle(fine, 0, F.col("weight")) is None
 
 
 def test_components_and_order(spark):
     g = PropertyGraph.from_rows(spark, RINGS)
-    assert rows(components.scc(g), "node", "component") == [(i, 0 if i < 4 else 4) for i in range(8)]
-    assert rows(components.scc_ordered(g), "position", "component") == [(0, 4), (1, 0)]
+    assert rows(components.scc(g), "node", "component") == [(i, 0 if i < 3 else 3) for i in range(8)]
+    assert rows(components.scc_ordered(g), "position", "component") == [(0, 3), (1, 0)]
     assert components.component_count(g) == 1
     with pytest.raises(traverse.GraphCycleError) as e:
         traverse.toposort(g)
@@ -50,6 +56,15 @@ def test_components_and_order(spark):
     assert traverse.is_bipartite(PropertyGraph.from_rows(spark, [(0, 1), (1, 2), (2, 3), (3, 0)], False), 0)
 
 
+def test_deep_graphs(spark):
+    n = 10
+    g = PropertyGraph.from_rows(spark, [(i, i + 1) for i in range(n)])
+    assert traverse.has_path(g, 0, n) and not traverse.has_path(g, n, 0)
+    assert not traverse.is_cyclic_directed(g) and traverse.is_bipartite(g, 0)
+    assert rows(traverse.toposort(g), "node", "position") == [(i, i) for i in range(n + 1)]
+    assert paths.path_to(traverse.bfs(g, [0]).withColumnRenamed("parent", "prev"), n) == list(range(n + 1))
+
+
 def test_long_chain_components(spark):
     n = 300
     g = PropertyGraph.from_rows(spark, [(i, i + 1) for i in range(n)])
@@ -91,9 +106,9 @@ def test_page_rank_with_parallel_edges_and_a_dead_end(spark):
 def test_trees(spark):
     g = PropertyGraph.from_rows(spark, WEIGHTED, False)
     tree = spanning.min_spanning_tree(g, F.col("weight"))
-    assert rows(tree, "src", "dst") == [(0, 1), (0, 2), (2, 5), (3, 4), (4, 5)]
+    assert rows(tree, "src", "dst") == [(0, 2), (1, 3), (2, 1), (3, 4), (4, 5)]
     steiner = spanning.steiner_tree(g, [0, 4], F.col("weight"))
-    assert rows(steiner, "src", "dst") == [(0, 2), (2, 5), (4, 5)]
+    assert rows(steiner, "src", "dst") == [(0, 2), (1, 3), (2, 1), (3, 4)]
     with pytest.raises(spanning.DisconnectedTerminals):
         spanning.steiner_tree(PropertyGraph.from_rows(spark, [(0, 1), (2, 3)], False), [0, 3])
     dag = PropertyGraph.from_rows(spark, [(0, 1), (1, 2), (0, 2)])
@@ -119,6 +134,74 @@ def test_search_events(spark):
     assert got == [("discover", 0, None), ("tree", 0, 2), ("discover", 2, None), ("back", 2, 0), ("finish", 2, None), ("tree", 0, 1), ("discover", 1, None), ("cross_forward", 1, 2), ("finish", 1, None), ("finish", 0, None)]
 
 
+def test_search_control(spark):
+    def events(edges, starts, **control):
+        return [(r.event, r.u, r.v) for r in kernels.dfs_events(PropertyGraph.from_rows(spark, edges), starts, **control).orderBy("seq").collect()]
+
+    edges = [(0, 1), (0, 2), (2, 3), (3, 0)]
+    pruned = events(edges, [0], prune=F.col("id") == 2)
+    assert pruned == [("discover", 0, None), ("tree", 0, 2), ("discover", 2, None), ("finish", 2, None), ("tree", 0, 1), ("discover", 1, None), ("finish", 1, None), ("finish", 0, None)]
+    assert events(edges, [0], stop=F.col("id") == 3) == [("discover", 0, None), ("tree", 0, 2), ("discover", 2, None), ("tree", 2, 3), ("discover", 3, None)]
+
+
+def _postorder(edges, start):
+    after, out, seen = {}, [], {start}
+    for a, b in reversed(edges):
+        after.setdefault(a, []).append(b)
+
+    def visit(n):
+        for m in after.get(n, []):
+            if m not in seen:
+                seen.add(m)
+                visit(m)
+        out.append(n)
+
+    visit(start)
+    return out
+
+
+def _largest_matching(edges):
+    """By trying every edge in and out."""
+    if not edges:
+        return 0
+    (a, b), rest = edges[0], edges[1:]
+    return max(_largest_matching(rest), a != b and 1 + _largest_matching([e for e in rest if not {a, b} & set(e)]))
+
+
+def _cheapest_tree(edges, wanted):
+    """By trying every set of edges that joins the wanted nodes."""
+    best = None
+    for k in range(1 << len(edges)):
+        some = [e for i, e in enumerate(edges) if k >> i & 1]
+        weight, seen, grown = sum(w for *_, w in some), {wanted[0]}, True
+        if best is not None and weight >= best:
+            continue
+        while grown:
+            more = {n for a, b, _ in some for n in (a, b) if {a, b} & seen} - seen
+            seen, grown = seen | more, bool(more)
+        if set(wanted) <= seen:
+            best = weight
+    return best
+
+
+def test_kernels_against_brute_force(spark):
+    import random
+
+    draw = random.Random(11)
+    for _ in range(2):
+        edges = sorted({(draw.randrange(8), draw.randrange(8)) for _ in range(13)})
+        draw.shuffle(edges)
+        g = PropertyGraph.from_rows(spark, edges)
+        start = edges[0][0]
+        post = _postorder(edges, start)
+        assert [n for _, n in rows(kernels.dfs_postorder(g, start), "position", "node")] == post
+        assert {n for n, in rows(kernels.dfs_preorder(g, start), "node")} == set(post)
+        assert kernels.maximum_matching(g.into_edge_type(False)).count() == _largest_matching(edges)
+    net = [(0, 1, 3), (1, 2, 4), (2, 3, 2), (3, 0, 6), (0, 4, 2), (1, 4, 2), (2, 4, 2), (3, 4, 3), (4, 5, 1)]
+    tree = spanning.steiner_tree(PropertyGraph.from_rows(spark, net, False), [0, 2, 3, 5], F.col("weight"))
+    assert tree.agg(F.sum("weight")).first()[0] <= 2 * _cheapest_tree(net, [0, 2, 3, 5]) * (1 - 1 / 4)
+
+
 def test_walks_and_paths(spark):
     g = PropertyGraph.from_rows(spark, [(0, 1), (1, 2), (2, 1), (0, 2)])
     assert rows(paths.k_shortest_walks(g, 0, 2), "node", "cost") == [(1, 2), (2, 2)]

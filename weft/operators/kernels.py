@@ -22,11 +22,13 @@ MAX_EDGES = 20_000_000
 
 
 def per_group(g: PropertyGraph, labels: DataFrame, kernel: Callable[..., Iterable[tuple]], schema: str, weight: Column | None = None, args: tuple = (), max_edges: int = MAX_EDGES) -> DataFrame:
-    """Rows of ``kernel(nodes, edges, *args)`` for each group of ``labels(node, component)``; ``edges`` are (edge_id, src, dst, w)."""
+    """Rows of ``kernel(nodes, edges, *args)`` for each group of ``labels(node, component)``; ``edges`` are (edge_id, src, dst, w).
+    If the labels have a number ``mark``, nodes are handed on as a dictionary of their marks."""
+    marked = "mark" in labels.columns
     w = F.lit(1.0) if weight is None else weight.cast("double")
     ends = g.edges.select("edge_id", "src", "dst", w.alias("w"))
-    ends = ends.join(labels.withColumnRenamed("node", "src"), "src").join(labels.withColumnsRenamed({"node": "dst", "component": "_c"}), "dst").where("component = _c").drop("_c")
-    nodes = labels.select("component", F.lit(None).cast("long").alias("edge_id"), F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("w"))
+    ends = ends.join(labels.select(F.col("node").alias("src"), "component"), "src").join(labels.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst").where("component = _c").drop("_c")
+    nodes = labels.select("component", F.lit(None).cast("long").alias("edge_id"), F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), (F.col("mark").cast("double") if marked else F.lit(0.0)).alias("w"))
     rows = nodes.unionByName(ends.select("component", "edge_id", "src", "dst", "w"))
     names = [x.split()[0] for x in schema.split(",")]
 
@@ -35,6 +37,9 @@ def per_group(g: PropertyGraph, labels: DataFrame, kernel: Callable[..., Iterabl
             raise ValueError(f"a group of {len(frame)} rows exceeds max_edges = {max_edges}")
         own = frame.edge_id.isna()
         nodes = sorted(frame.src[own].tolist())
+        if marked:
+            mark = dict(zip(frame.src[own].tolist(), frame.w[own].astype(int).tolist(), strict=True))
+            nodes = {n: mark[n] for n in nodes}
         e = frame[~own].sort_values("edge_id")
         edges = list(zip(e.edge_id.astype("int64").tolist(), e.src.tolist(), e.dst.astype("int64").tolist(), e.w.tolist(), strict=True))
         return pd.DataFrame(list(kernel(nodes, edges, *args)), columns=names)
@@ -59,24 +64,32 @@ def _lists(nodes: list[int], edges: list[tuple], directed: bool) -> dict[int, li
 # -- depth-first search ---------------------------------------------------------------------------------------------
 
 
+_GO_ON, _PRUNE, _BREAK = 0, 1, 2
+
+
 def _dfs_events(nodes, edges, starts, directed):
-    adj = _lists(nodes, edges, directed)
+    adj = _lists(list(nodes), edges, directed)
     found, closed, seq, clock = set(), set(), 0, 0
     for start in starts:
         if start in found or start not in adj:
             continue
-        found.add(start)
-        yield seq, "discover", start, None, clock
-        seq, clock, stack = seq + 1, clock + 1, [(start, iter(adj[start]))]
-        while stack:
+        stack, fresh = [], (None, start)
+        while stack or fresh:
+            if fresh:
+                came, u = fresh
+                if came is not None:
+                    yield seq, "tree", came, u, None
+                    seq += 1
+                found.add(u)
+                yield seq, "discover", u, None, clock
+                seq, clock, fresh = seq + 1, clock + 1, None
+                if nodes[u] == _BREAK:
+                    return
+                stack.append((u, iter(() if nodes[u] == _PRUNE else adj[u])))
             u, rest = stack[-1]
             for v, _ in rest:
                 if v not in found:
-                    yield seq, "tree", u, v, None
-                    found.add(v)
-                    yield seq + 1, "discover", v, None, clock
-                    seq, clock = seq + 2, clock + 1
-                    stack.append((v, iter(adj[v])))
+                    fresh = (u, v)
                     break
                 yield seq, "back" if v not in closed else "cross_forward", u, v, None
                 seq += 1
@@ -87,13 +100,18 @@ def _dfs_events(nodes, edges, starts, directed):
                 stack.pop()
 
 
-def dfs_events(g: PropertyGraph, starts: list[int], keep_nodes: Column | None = None) -> DataFrame:
+def dfs_events(g: PropertyGraph, starts: list[int], keep_nodes: Column | None = None, prune: Column | None = None, stop: Column | None = None) -> DataFrame:
     """``seq event u v time`` of a depth-first search from ``starts`` in order; the most recent edge is followed first.
 
-    Events: discover, tree, back, cross_forward, finish; discover and finish have a time.  ``keep_nodes`` prunes.
+    Events: discover, tree, back, cross_forward, finish; discover and finish have a time.  Of the conditions over node
+    columns, nodes that fail ``keep_nodes`` are not there at all; nodes that pass ``prune`` are discovered and finished but
+    their edges are not followed; the first node that passes ``stop`` is discovered and ends the search.
     """
     g = g if keep_nodes is None else g.filter_nodes(keep_nodes)
-    one = bfs(g, starts).select("node", F.lit(0).cast("long").alias("component"))
+    no = F.lit(False)
+    mark = F.when(no if stop is None else stop, _BREAK).when(no if prune is None else prune, _PRUNE).otherwise(_GO_ON)
+    marks = g.nodes.select(F.col("id").alias("node"), mark.alias("mark"))
+    one = bfs(g, starts).select("node", F.lit(0).cast("long").alias("component")).join(marks, "node")
     return per_group(g, one, _dfs_events, "seq long, event string, u long, v long, time long", args=(starts, g.directed))
 
 
