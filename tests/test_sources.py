@@ -31,7 +31,10 @@ def test_dot():
     assert directed and [n for n, _ in nodes] == ["a", "b", "c d", "e"]
     assert edges == [("a", "b", {"label": 'x"y'}), ("b", "c d", {"label": 'x"y'})]
     assert dict(nodes)["e"] == {"color": "red", "shape": "box"}
-    for bad in ("graph { a -> b }", "digraph { a ->", "nothing"):
+    directed, nodes, edges = dot.parse_dot("digraph { a -> {b c} -> d [x=1]; subgraph s { node [k=2] e }; f:p -> subgraph t {g:q} }")
+    assert edges == [("a", "b", {"x": "1"}), ("a", "c", {"x": "1"}), ("b", "d", {"x": "1"}), ("c", "d", {"x": "1"}), ("f", "g", {})]
+    assert dict(nodes)["e"] == {"k": "2"} and dict(nodes)["g"] == {}
+    for bad in ("graph { a -> b }", "digraph { a ->", "nothing", "digraph { -> a }", "digraph " + "{" * 500):
         with pytest.raises(dot.DotError):
             dot.parse_dot(bad)
 

@@ -55,8 +55,12 @@ def write_dot(lines: DataFrame, path: str) -> None:
 _TOKEN = re.compile(r'\s+|//[^\n]*|/\*.*?\*/|#[^\n]*|("(?:\\.|[^"\\])*"|-?(?:\.\d+|\d+(?:\.\d*)?)|[A-Za-z_\x80-\uffff][\w\x80-\uffff]*|->|--|[{}\[\]=;,:])', re.DOTALL)
 
 
+DEEPEST = 200
+
+
 def parse_dot(text: str) -> tuple[bool, list[tuple[str, dict[str, str]]], list[tuple[str, str, dict[str, str]]]]:
-    """(directed, nodes, edges) with their attributes; nodes in order of appearance.  Subgraphs open scopes only."""
+    """(directed, nodes, edges) with their attributes; nodes in order of appearance.  A subgraph opens a scope;
+    as an end of an edge it stands for each of its nodes."""
     tokens, at = [], 0
     while at < len(text):
         m = _TOKEN.match(text, at)
@@ -101,43 +105,58 @@ def parse_dot(text: str) -> tuple[bool, list[tuple[str, dict[str, str]]], list[t
     if peek() != "{":
         take()
     take("{")
-    scopes = [({}, {})]
-    while scopes:
-        token = take()
-        if token == "}":
-            scopes.pop()
-        elif token == "{":
-            scopes.append((dict(scopes[-1][0]), dict(scopes[-1][1])))
-        elif token.lower() == "subgraph":
+
+    def operand(scope: tuple[dict, dict], depth: int) -> tuple[list[str], bool]:
+        """Names of one end of an edge, and whether it is a single node: a node, or a subgraph and so all nodes in it."""
+        if peek().lower() == "subgraph":
+            take()
             if peek() != "{":
                 take()
-        elif token in (";", ","):
-            continue
-        elif token.lower() in ("node", "edge", "graph") and peek() == "[":
-            own = attributes()
-            if token.lower() != "graph":
-                scopes[-1][token.lower() == "edge"].update(own)
-        elif peek() == "=":
+        if peek() == "{":
+            take()
+            return block((dict(scope[0]), dict(scope[1])), depth + 1), False
+        if peek() in ("->", "--", "}", "[", "]", "=", ":", ";", ","):
+            raise DotError(f"expected a node, found {peek()!r}")
+        one = name(take())
+        while peek() == ":":
             take()
             take()
-        else:
-            chain = [name(token)]
-            while peek() == ":":
+        nodes.setdefault(one, dict(scope[0]))
+        return [one], True
+
+    def block(scope: tuple[dict, dict], depth: int) -> list[str]:
+        """Statements up to the closing brace; the names in them, each once."""
+        if depth > DEEPEST:
+            raise DotError(f"subgraphs are nested deeper than {DEEPEST}")
+        held: dict[str, None] = {}
+        while peek() != "}":
+            token = peek()
+            if token in (";", ","):
                 take()
+            elif token.lower() in ("node", "edge", "graph") and peek(1) == "[":
                 take()
-            while peek() in ("->", "--"):
-                if (take() == "->") != directed:
-                    raise DotError("an arrow of the other kind")
-                chain.append(name(take()))
-                while peek() == ":":
-                    take()
-                    take()
-            own = attributes()
-            for n in chain:
-                nodes.setdefault(n, dict(scopes[-1][0]))
-            if len(chain) == 1:
-                nodes[chain[0]].update(own)
-            edges += [(a, b, {**scopes[-1][1], **own}) for a, b in zip(chain, chain[1:], strict=False)]
+                own = attributes()
+                if token.lower() != "graph":
+                    scope[token.lower() == "edge"].update(own)
+            elif peek(1) == "=":
+                take()
+                take()
+                take()
+            else:
+                chain = [operand(scope, depth)]
+                while peek() in ("->", "--"):
+                    if (take() == "->") != directed:
+                        raise DotError("an arrow of the other kind")
+                    chain.append(operand(scope, depth))
+                own = attributes()
+                held.update(dict.fromkeys(n for group, _ in chain for n in group))
+                if len(chain) == 1 and chain[0][1]:
+                    nodes[chain[0][0][0]].update(own)
+                edges.extend((x, y, {**scope[1], **own}) for (left, _), (right, _) in zip(chain, chain[1:], strict=False) for x in left for y in right)
+        take("}")
+        return list(held)
+
+    block(({}, {}), 0)
     if at != len(tokens):
         raise DotError("text after the graph")
     return directed, list(nodes.items()), edges
