@@ -487,20 +487,20 @@ def answers(asked: DataFrame, model: Model, k: int) -> DataFrame:
     """Answers ``who bucket value`` to blocks ``bucket who plain wide`` at level k, in the order of the names asked: plain
     ones, and before them the others with their contexts' names.
 
-    Level 1: the count.  Above: the probability if the n-gram was seen, else its context's alpha with a minus sign, which
-    is -1 where the context was never seen.
+    A value is the count and, above level 1, the size of the context if the n-gram was seen, else the context's alpha, which
+    is 1 where the context was never seen.  Counts and sizes take far fewer bytes than probabilities.
     """
     spark = asked.sparkSession
     rows = model.grams(spark, k).drop("part").withColumn("kind", F.lit(0))
     if k > 1:
         rows = rows.unionByName(model.contexts(spark, k).drop("part").withColumn("kind", F.lit(1)), allowMissingColumns=True)
     rows = rows.unionByName(asked.withColumn("kind", F.lit(2)), allowMissingColumns=True)
-    shared = spark.sparkContext.broadcast((model.hot.get(k), model.sums.get(k), model.d[k]))
+    shared = spark.sparkContext.broadcast((model.hot.get(k), model.sums.get(k)))
     schema, bits = "who long, bucket int, value binary", model.bits
     target = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hot_sums, d = shared.value
+        hot, hot_sums = shared.value
         now, names, n, contexts, sums = None, None, None, None, None
         for row in _rows(batches):
             if row["bucket"] != now:
@@ -524,8 +524,10 @@ def answers(asked: DataFrame, model: Model, k: int) -> DataFrame:
                         where = place(known, context)
                         has = where >= 0
                         size[has], alpha[has] = known_sums[0, where[has]], known_sums[1, where[has]]
-                    value = np.where(found, discounted(value, d) / size, -alpha)
-                yield _batch([{"who": row["who"], "bucket": now, "value": packed(value.astype(np.float64))}], target)
+                    size = np.where(found, size, alpha)
+                else:
+                    size = np.zeros(len(at))
+                yield _batch([{"who": row["who"], "bucket": now, "value": packed(np.stack((value.astype(np.float64), size)))}], target)
 
     parted = rows.select("bucket", "kind", "who", "plain", "wide", "n_plain", "n_wide", *(["sums"] if k > 1 else []))
     return parted.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
@@ -704,23 +706,23 @@ def _contexts(spark: SparkSession, model: Model, k: int) -> None:
         return lambda row: _suffixes(_grams(row, k, bits))[:2]
 
     got = materialize(answers(_ask(base, wanted, lower, buckets), model, k - 1), "answers")
-    shared = spark.sparkContext.broadcast((hot, lower, model.counts, model.d[1], model.d[k], model.scale))
+    shared = spark.sparkContext.broadcast((hot, lower, model.counts, model.d[1], model.d[k - 1], model.d[k], model.scale))
     schema = "bucket int, sums binary, hot binary, parts binary"
 
     def handle():
-        hot, lower, counts, d1, d, scale = shared.value
+        hot, lower, counts, d1, below, d, scale = shared.value
 
         def one(row: dict, value: np.ndarray) -> list[dict]:
             grams = _grams(row, k, bits)
             n = np.concatenate((unpacked(row["n_wide"]), unpacked(row["n_plain"])))
             names, contexts, which = _suffixes(grams)
-            low = in_order(value, _asked_order(names, contexts, lower, buckets))
+            times, size = in_order(value.T, _asked_order(names, contexts, lower, buckets)).T
             if k == 2:
                 last = np.concatenate((grams.wide[1], grams.plain & ((1 << bits) - 1)))
-                count = np.where(last >= 0, counts[np.maximum(last, 0)], np.append(low, 0.0)[which].astype(np.int64))
+                count = np.where(last >= 0, counts[np.maximum(last, 0)], np.append(times, 0.0)[which].astype(np.int64))
                 low = discounted(count, d1) * scale
             else:
-                low = low[which]
+                low = (discounted(times.astype(np.int64), below) / size)[which]
             found, of = np.unique(grams.contexts(), return_inverse=True)
             sums = np.stack([np.bincount(of, x, len(found)).astype(np.float64) for x in (n, discounted(n, d), low)])
             spread = place(hot, found) >= 0
@@ -728,7 +730,7 @@ def _contexts(spark: SparkSession, model: Model, k: int) -> None:
 
         return one
 
-    found = materialize(answered(base, got, handle, schema), "contexts")
+    found = materialize(answered(base, got, handle, schema, 2), "contexts")
     release(got)
     _save(found.select("bucket", "sums"), f"{model.path}/contexts/order={k}")
     sums = np.zeros((3, len(hot)))
@@ -809,10 +811,13 @@ def train_and_score(
 
         return one
 
-    after = materialize(answered(state, got, first, schema, 2), "coded")
+    def some(rows: DataFrame, i: int) -> DataFrame:
+        return rows.where(F.pmod(F.xxhash64("who"), F.lit(SLICES)) == i)
+
+    after = [materialize(answered(some(state, i), some(got, i), first, schema, 2), "coded") for i in range(SLICES)]
     release(state)
     delete(spark, f"{path}/kind=1")
-    state = after
+    parts, state = after, reduce(DataFrame.unionByName, after)
 
     def lacking(row: dict) -> tuple[Tokens, np.ndarray, np.ndarray]:
         tokens = _tokens(row)
@@ -844,7 +849,7 @@ def train_and_score(
     asked = materialize(state.mapInArrow(ask, asked_schema), "asked")
     got = [materialize(alphas(asked, model, k, list(range(PARTS))[i::SLICES]), "alphas") for i in range(SLICES)]
     after = materialize(answered(state, reduce(DataFrame.unionByName, got), last, schema), "coded")
-    release(state, asked, *got)
+    release(*parts, asked, *got)
     return model, _scored(after, model, k - 1)
 
 
@@ -856,7 +861,7 @@ def _scored(state: DataFrame, model: Model, highest: int) -> DataFrame:
     spark, bits, buckets = state.sparkSession, model.bits, model.buckets
     kind = state.schema["keys"].dataType.simpleString()
     for k in range(highest if model.total else 1, 1, -1):
-        shared = spark.sparkContext.broadcast(model.hot[k])
+        shared = spark.sparkContext.broadcast((model.hot[k], model.d[k]))
 
         def wanted(k=k):
             def one(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -866,19 +871,21 @@ def _scored(state: DataFrame, model: Model, highest: int) -> DataFrame:
             return one
 
         def handle(k=k, shared=shared):
+            hot, d = shared.value
+
             def one(row: dict, value: np.ndarray) -> list[dict]:
                 tokens = _tokens(row)
                 grams, which, _ = tokens.grams(k, bits)
-                value = in_order(value, _asked_order(grams.names(), grams.contexts(), shared.value, buckets))[which]
-                sums = _by_text(tokens, np.log10(np.abs(value)))
+                times, about = in_order(value.T, _asked_order(grams.names(), grams.contexts(), hot, buckets))[which].T
+                sums = _by_text(tokens, np.log10(np.where(times > 0, discounted(times.astype(np.int64), d) / about, about)))
                 if row["sums"] is not None:
                     sums += unpacked(row["sums"], 1, "<f8")
-                return [{c: row[c] for c in _KEPT} | {"sums": packed(sums), "left": rising(tokens.chosen[value < 0])}]
+                return [{c: row[c] for c in _KEPT} | {"sums": packed(sums), "left": rising(tokens.chosen[times == 0])}]
 
             return one
 
         got = materialize(answers(_ask(state, wanted, model.hot[k], buckets), model, k), "answers")
-        after = materialize(answered(state, got, handle, f"who long, keys {kind}, {_CODED}"), "coded")
+        after = materialize(answered(state, got, handle, f"who long, keys {kind}, {_CODED}", 2), "coded")
         release(state, got)
         state = after
 
@@ -902,7 +909,7 @@ def _scored(state: DataFrame, model: Model, highest: int) -> DataFrame:
             names = named(ids[None, ids < 0], bits)
             by_name = np.argsort(names, kind="stable")
             of_word = counts[np.clip(ids, 0, len(counts) - 1)]
-            of_word[np.flatnonzero(ids < 0)[by_name]] = in_order(value, _asked_order(names[by_name], names * 0, None, buckets))
+            of_word[np.flatnonzero(ids < 0)[by_name]] = in_order(value[0], _asked_order(names[by_name], names * 0, None, buckets))
             c = of_word[tokens.local]
             n = len(tokens.sizes)
             left = c[tokens.chosen]
@@ -920,7 +927,7 @@ def _scored(state: DataFrame, model: Model, highest: int) -> DataFrame:
         return one
 
     schema = f"doc_id {kind[len('array<') : -1]}, n_tokens long, n_known long, base_score double, score double"
-    return answered(state, answers(_ask(state, rare, None, buckets), model, 1), last, schema)
+    return answered(state, answers(_ask(state, rare, None, buckets), model, 1), last, schema, 2)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
