@@ -24,6 +24,7 @@ from weft.plans.runtime import materialize
 
 DICTIONARY = 500_000
 WINDOW = 64
+BATCH_BYTES = 2 << 20  # words leave Python as eight bytes for each of theirs
 
 
 @dataclass(frozen=True)
@@ -258,7 +259,7 @@ def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id
     Null text counts as empty and has no ids.  Whole texts are encoded, every row alone, repeated rows and null ids
     included; an empty table gives no rows; other columns are not read.
     """
-    spark = small_batches(df).sparkSession
+    spark = small_batches(df, BATCH_BYTES).sparkSession
     known = dictionary(df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), vocab, pattern, dictionary_size).combine_chunks()
     flat, at = _flat(known["ids"].combine_chunks())
     entries = spark.sparkContext.broadcast(known["word"].combine_chunks())
@@ -297,6 +298,7 @@ def encode(df: DataFrame, vocab: Vocabulary, pattern: str, id_col: str = "doc_id
                 pieces = pa.ListArray.from_arrays(pa.array(ends), pa.array(first[np.frombuffer(b"".join(rest), np.uint8)]))
                 own_words = pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), pieces)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary()), own_words], ["doc_id", "codes", "words"])
+            pa.default_memory_pool().release_unused()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, at = coded.value

@@ -12,14 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Make the session hand Python at most ``BATCH_BYTES`` of rows at a time (it may allow less), so that a worker's memory
+def small_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """Make the session hand Python at most ``most`` bytes of rows at a time (it may allow less), so that a worker's memory
     follows the longest text and not 64 MB of them, copied a few times over."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(key)
     size = int(now[:-1]) if now.endswith("b") and now[:-1].isdigit() else int(now) if now.lstrip("-").isdigit() else -1
-    if not 0 < size <= BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
+    if not 0 < size <= most:
+        conf.set(key, str(most))
     return df
 
 
