@@ -541,6 +541,31 @@ def test_katz_grams_and_packing():
         assert (katz.in_order(names[order], order) == names).all()
 
 
+def test_katz_keeps_tables_small(spark, monkeypatch):
+    """Numbers take the bytes they need, and no shuffle that brings answers back holds the n-grams or texts of a level at once."""
+    for x in ([0], [127, -128], [128], [-129, 5], [1 << 20], [-(1 << 63), (1 << 63) - 1], []):
+        assert katz.unpacked(katz.packed(np.array(x, np.int64))).tolist() == x
+    both = np.array([[0.5, -1e300], [np.pi, 0]])
+    assert (katz.unpacked(katz.packed(both), 2) == both).all()
+    assert [katz.packed(np.array([x]))[0] for x in (1, 1 << 7, 1 << 40, 0.5)] == [1, 2, 6, 0]
+    x = np.random.default_rng(1).integers(-9, 9, 100)
+    (names, at, which), (want, places) = katz.grouped(x), np.unique(x, return_inverse=True)
+    assert (katz.distinct(x) == want).all() and (names == want).all() and (which == places).all() and (x[at] == want).all()
+    monkeypatch.setattr(katz, "TOKENS_PER_BUCKET", 50)
+    monkeypatch.setattr(katz, "TOKENS_AT_ONCE", 20)
+    sizes, answered = [], katz.answered
+
+    def counted(base, *more):
+        sizes.append(base.count())
+        return answered(base, *more)
+
+    monkeypatch.setattr(katz, "answered", counted)
+    rows = spark.createDataFrame([(k, rich(k, 40)) for k in range(40)], "doc_id long, text string")
+    _, out = katz.train_and_score(rows, F.col("doc_id") % 7 != 2)
+    assert out.count() == 40 and sizes[-1] >= 20  # the last level's shuffle holds all texts; nothing is written after it
+    assert max(sizes[:-1]) < sizes[-1]
+
+
 def test_katz_query(spark, tmp_path):
     from weft.llm.queries import QUERIES
 

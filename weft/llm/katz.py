@@ -21,10 +21,11 @@ the level below.  Every bucket answers the blocks sent to it, and answers go bac
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -88,20 +89,35 @@ def word_number(word: bytes) -> int:
 
 
 def packed(columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers (one a row of the array) as compressed planes of bytes, least byte first."""
+    """Columns of 64-bit numbers (one a row of the array) as compressed planes of bytes, least byte first, after a byte that
+    says how many planes: of whole numbers as many as the largest takes, with its sign; 0 stands for floats, which take 8."""
     import zstandard
 
     columns = np.atleast_2d(np.ascontiguousarray(columns))
-    planes = columns.view(np.uint8).reshape(*columns.shape, 8).transpose(0, 2, 1)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpacked(data: bytes, columns: int = 1, kind: str = "<i8") -> np.ndarray:
+    kind = 0
+    if columns.dtype == np.int64:
+        kind = max(int(columns.max()), ~int(columns.min())).bit_length() // 8 + 1 if columns.size else 1
+    elif columns.dtype != np.float64:
+        raise TypeError(f"cannot pack {columns.dtype}")
+    parts = columns.view(np.uint8).reshape(*columns.shape, 8)
+    planes = np.empty((len(columns), kind or 8, columns.shape[1]), np.uint8)
+    for i in range(planes.shape[1]):
+        planes[:, i] = parts[:, :, i]
+    return bytes([kind]) + zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpacked(data: bytes, columns: int = 1) -> np.ndarray:
     """Columns packed so; one column as a plain array."""
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(columns, 8, -1)
-    out = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind).reshape(columns, -1)
+    kind, content = data[0], zstandard.ZstdDecompressor().decompress(memoryview(data)[1:])
+    planes = np.frombuffer(content, np.uint8).reshape(columns, kind or 8, -1)
+    parts = np.zeros((columns, planes.shape[2], 8), np.uint8)
+    for i in range(planes.shape[1]):
+        parts[:, :, i - planes.shape[1]] = planes[:, i]  # the highest plane has the sign
+    out = parts.view(np.int64 if kind else np.float64).reshape(columns, -1)
+    if 0 < kind < 8:
+        out >>= 64 - 8 * kind
     return out[0] if columns == 1 else out
 
 
@@ -114,6 +130,28 @@ def risen(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Each number once, in order: by sorting, as ``np.unique`` without places takes a hash table, some eighty times slower."""
+    x = np.sort(x)
+    return x[_new(x)]
+
+
+def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each number once, in order, a place where it stands, and which of them each number is."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = _new(ordered)
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
+def _new(ordered: np.ndarray) -> np.ndarray:
+    out = np.ones(len(ordered), bool)
+    out[1:] = ordered[1:] != ordered[:-1]
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each number."""
     h = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -167,11 +205,11 @@ def _shorter(ids: np.ndarray, bits: int) -> np.ndarray:
 def summed(plain: list[np.ndarray], wide: list[np.ndarray], n_plain: list[np.ndarray], n_wide: list[np.ndarray], bits: int) -> tuple[Grams, np.ndarray, np.ndarray]:
     """n-grams of several lists, each once, and the sums of their counts: of the plain ones and of the others."""
     x, n = np.concatenate(plain), np.concatenate(n_plain)
-    order = np.argsort(x, kind="stable")
+    order = np.argsort(x)
     x, n = x[order], n[order]
-    new = np.flatnonzero(np.diff(x, prepend=-1))
+    new = np.flatnonzero(_new(x))
     ids, m = np.concatenate(wide, axis=1), np.concatenate(n_wide)
-    _, first, which = np.unique(named(ids, bits), return_index=True, return_inverse=True)
+    _, first, which = grouped(named(ids, bits))
     total = np.zeros(len(first), np.int64)
     np.add.at(total, which, m)
     return Grams(x[new], ids[:, first], bits), np.add.reduceat(n, new) if len(new) else n, total
@@ -286,54 +324,103 @@ def _tokens(row: dict) -> Tokens:
     return Tokens(risen(row["words"]), unpacked(row["tokens"]), unpacked(row["sizes"]), left, learns)
 
 
-def coded(df: DataFrame, words, name: str, id_col: str | None, text_col: str, learns: Column | None = None) -> DataFrame:
-    """Texts as numbers, about ``TOKENS_AT_ONCE`` tokens a row: ``who keys sizes learns words tokens`` and room for what is found
-    out.  A text is never cut, so a row is as long as the longest text at least.  ``words`` broadcasts the frequent words of
-    the model ``name``; ``learns`` tells which texts are learned from (all)."""
+def read(df: DataFrame, id_col: str | None, text_col: str, learns: Column | None = None) -> DataFrame:
+    """Texts, about ``TOKENS_AT_ONCE`` tokens a row: ``who keys sizes learns tokens``, tokens as places in the row's own
+    ``vocabulary`` from 1 on (an end is 0), and ``times``, how often each word occurs in texts that are learned from.  A text
+    is never cut, so a row is as long as the longest text at least.  ``learns`` tells which texts are learned from (all)."""
     keys = F.lit(None).cast("int").alias("key") if id_col is None else F.col(f"`{id_col}`").alias("key")
     learning = F.lit(True) if learns is None else F.coalesce(learns, F.lit(False))
     rows = small_batches(df).select(keys, F.col(f"`{text_col}`").alias("text"), learning.alias("learns"))
     kind = rows.schema["key"].dataType.simpleString()
-    schema = f"who long, keys array<{kind}>, {_CODED}"
+    schema = f"who long, keys array<{kind}>, sizes binary, learns binary, tokens binary, vocabulary binary, times binary"
     target, at_once, keyed = _arrow(schema), TOKENS_AT_ONCE, id_col is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
-        store = begin_task(lambda: worker_cache(f"words {name}"))
-        if not store:
-            store.update({w: i for i, w in enumerate(words.value)})
-        end, get, number = len(store), store.get, {}
-        who, ids, keys, sizes, flags, size = TaskContext.get().partitionId() << 33, [], [], [], [], 0
+        def empty() -> tuple:
+            return defaultdict(count(1).__next__), [], [], [], []
+
+        who, size = TaskContext.get().partitionId() << 33, 0
+        number, ids, keys, sizes, flags = empty()
 
         def row() -> pa.RecordBatch:
-            found, local = np.unique(np.concatenate(ids), return_inverse=True)
-            one = {"who": who, "keys": keys if keyed else None, "sizes": packed(np.array(sizes, np.int64)), "learns": packed(np.array(flags, np.int64))}
-            return _batch([one | {"words": rising(np.append(found, end + 1)), "tokens": packed(local.astype(np.int64))}], target)
+            tokens, lengths, learned = np.concatenate(ids), np.array(sizes, np.int64), np.array(flags, np.int64)
+            times = np.bincount(tokens[np.repeat(learned > 0, lengths)], minlength=len(number) + 1)[1:]
+            one = {"who": who, "keys": keys if keyed else None, "sizes": packed(lengths), "learns": packed(learned), "tokens": packed(tokens)}
+            vocabulary = zstandard.ZstdCompressor(level=1).compress(b" ".join(number))
+            return _batch([one | {"vocabulary": vocabulary, "times": packed(times.astype(np.int64))}], target)
 
         for batch in batches:
             texts, own_flags = batch.column(1), batch.column(2).to_pylist()
             for i, key in enumerate(batch.column(0).to_pylist()):
                 found = utf8(texts[i].as_py()).lower().split()
-                own = list(map(get, found))
-                if None in own:
-                    own = [n if n is not None else number.get(w) or number.setdefault(w, word_number(w)) for w, n in zip(found, own, strict=True)]
-                own.append(end)
-                ids.append(np.array(own, np.int64))
+                own = np.zeros(len(found) + 1, np.int64)
+                own[:-1] = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+                ids.append(own)
                 keys.append(key)
                 sizes.append(len(own))
                 flags.append(own_flags[i])
                 size += len(own)
                 if size >= at_once:
                     yield row()
-                    who, ids, keys, sizes, flags, size = who + 1, [], [], [], [], 0
-                    number.clear()
+                    who, size = who + 1, 0
+                    number, ids, keys, sizes, flags = empty()
         if sizes:
             yield row()
 
     return rows.mapInArrow(run, schema)
 
 
+def _vocabulary(data: bytes) -> list[bytes]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data).split()
+
+
+def counted_words(rows: DataFrame) -> DataFrame:
+    """``word c`` of the texts that are learned from, of rows as :func:`read` gives them."""
+    at_once = TOKENS_AT_ONCE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: dict[bytes, int] = {}
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], ["word", "n"])
+
+        for row in _rows(batches):
+            for word, n in zip(_vocabulary(row["vocabulary"]), unpacked(row["times"]).tolist(), strict=True):
+                if n:
+                    c[word] = c.get(word, 0) + n
+            if len(c) > at_once:
+                yield found()
+                c.clear()
+        yield found()
+
+    return rows.select("vocabulary", "times").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def coded(rows: DataFrame, words, name: str) -> DataFrame:
+    """Rows as :func:`read` gives them with tokens as numbers of the model ``name``, whose frequent words ``words`` broadcasts:
+    ``who keys sizes learns words tokens`` and room for what is found out."""
+    schema = f"who long, keys {rows.schema['keys'].dataType.simpleString()}, {_CODED}"
+    target = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = begin_task(lambda: worker_cache(f"words {name}"))
+        if not store:
+            store.update({w: i for i, w in enumerate(words.value)})
+        end, get = len(store), store.get
+        for row in _rows(batches):
+            own = [n if (n := get(w)) is not None else word_number(w) for w in _vocabulary(row["vocabulary"])]
+            ids, _, which = grouped(np.array([end, *own], np.int64))
+            one = {c: row[c] for c in ("who", "keys", "sizes", "learns")}
+            yield _batch([one | {"words": rising(np.append(ids, end + 1)), "tokens": packed(which[unpacked(row["tokens"])])}], target)
+
+    return rows.select("who", "keys", "sizes", "learns", "tokens", "vocabulary").mapInArrow(run, schema)
+
+
 # -- counting -------------------------------------------------------------------------------------------------------
 
 _BLOCK = "bucket int, plain binary, wide binary, n_plain binary, n_wide binary"
@@ -358,25 +445,26 @@ def _merged(blocks: DataFrame, k: int, bits: int, often: int, hot: np.ndarray |
         hot, now, lists, waiting, asked = shared.value, None, None, 0, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            grams, n, m = summed(*lists, bits)
-            if not (n.all() and m.all()):
+            asked_for, n, m = summed(*lists, bits)
+            names, every, grams = asked_for.names(), np.concatenate((m, n)), asked_for
+            if not every.all():
                 grams, n, m = Grams(grams.plain[n > 0], grams.wide[:, m > 0], bits), n[n > 0], m[m > 0]
-            every = np.concatenate((m, n))
             ladder = np.bincount(np.minimum(every, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
             found = {"bucket": now, "plain": rising(grams.plain), "wide": packed(grams.wide), "n_plain": packed(n), "n_wide": packed(m)}
-            yield _batch([found | {"ladder": ladder.tolist(), "often": packed(grams.names()[every >= often]), "kind": 0}], target)
+            yield _batch([found | {"ladder": ladder.tolist(), "often": packed(names[every >= often]), "kind": 0}], target)
             if not asked:
                 return
-            names, (contexts, of) = grams.names(), np.unique(grams.contexts(), return_inverse=True)
+            contexts, of = np.unique(asked_for.contexts(), return_inverse=True)
             size = np.bincount(of, every, len(contexts)).astype(np.int64) * 32
             for r in range(1, DISCOUNTED + 1):
-                size[np.unique(of[every == r])] += 1 << (r - 1)
-            for who, own, own_contexts in asked:
-                at, where, spread = place(names, own), place(contexts, own_contexts), place(hot, own_contexts)
-                count, about = np.zeros(len(own)), np.zeros(len(own))
-                count[at >= 0], about[where >= 0] = every[at[at >= 0]], size[where[where >= 0]]
-                about[spread >= 0] = -1 - spread[spread >= 0]
-                yield _batch([{"bucket": now, "kind": 1, "who": who, "value": packed(np.stack((count, about)))}], target)
+                has = np.zeros(len(contexts), np.int64)
+                has[of[every == r]] = 1 << (r - 1)
+                size += has
+            spread = place(hot, contexts)
+            about = np.where(spread >= 0, -1 - spread, size)[of]
+            for who, own in asked:
+                at = np.searchsorted(names, own)  # all are there, if only with the count 0
+                yield _batch([{"bucket": now, "kind": 1, "who": who, "value": packed(np.stack((every[at], about[at])))}], target)
 
         for row in _rows(batches):
             if row["bucket"] != now:
@@ -387,8 +475,7 @@ def _merged(blocks: DataFrame, k: int, bits: int, often: int, hot: np.ndarray |
             for x, one in zip(lists, new, strict=True):
                 x.append(one)
             if hot is not None:
-                grams = Grams(new[0], new[1], bits)
-                asked.append((row["who"], grams.names(), grams.contexts()))
+                asked.append((row["who"], Grams(new[0], new[1], bits).names()))
             waiting += len(new[2]) + len(new[3])
             if waiting > limit:
                 grams, n, m = summed(*lists, bits)
@@ -476,7 +563,7 @@ def _save(df: DataFrame, path: str, *by: str) -> None:
 
 
 def _own_contexts(grams: Grams, hot: np.ndarray) -> np.ndarray:
-    found = np.unique(grams.contexts())
+    found = distinct(grams.contexts())
     return found[place(hot, found) < 0]
 
 
@@ -510,7 +597,7 @@ def answers(asked: DataFrame, model: Model, k: int) -> DataFrame:
                 names, n = grams.names(), np.concatenate((unpacked(row["n_wide"]), unpacked(row["n_plain"])))
                 contexts = _own_contexts(grams, hot) if k > 1 else contexts
             elif row["kind"] == 1:
-                sums = unpacked(row["sums"], 2, "<f8")
+                sums = unpacked(row["sums"], 2)
             else:
                 plain, (wide, of_wide) = risen(row["plain"]), unpacked(row["wide"], 2)
                 at = place(names, np.concatenate((wide, plain)))
@@ -526,8 +613,8 @@ def answers(asked: DataFrame, model: Model, k: int) -> DataFrame:
                         size[has], alpha[has] = known_sums[0, where[has]], known_sums[1, where[has]]
                     size = np.where(found, size, alpha)
                 else:
-                    size = np.zeros(len(at))
-                yield _batch([{"who": row["who"], "bucket": now, "value": packed(np.stack((value.astype(np.float64), size)))}], target)
+                    size = np.zeros(len(at), np.int64)
+                yield _batch([{"who": row["who"], "bucket": now, "value": packed(np.stack((value, size)))}], target)
 
     parted = rows.select("bucket", "kind", "who", "plain", "wide", "n_plain", "n_wide", *(["sums"] if k > 1 else []))
     return parted.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
@@ -549,7 +636,7 @@ def alphas(asked: DataFrame, model: Model, k: int, parts: list[int]) -> DataFram
             if row["kind"] == 0:
                 contexts = _own_contexts(_grams(row, k, bits), shared.value)
             elif row["kind"] == 1:
-                alpha = unpacked(row["sums"], 2, "<f8")[1]
+                alpha = unpacked(row["sums"], 2)[1]
             else:
                 yield _batch([{"who": row["who"], "bucket": row["bucket"], "value": packed(alpha[place(contexts, risen(row["plain"]))])}], target)
 
@@ -567,7 +654,7 @@ def answered(base: DataFrame, got: DataFrame, handle: Callable[[], Callable], sc
         one, own, values, none = handle(), None, [], np.zeros((columns, 0) if columns > 1 else 0)
         for row in _rows(batches):
             if row["bucket"] >= 0:
-                values.append(unpacked(row["value"], columns, "<f8"))
+                values.append(unpacked(row["value"], columns))
                 continue
             if own is not None:
                 yield _batch(one(own, np.concatenate([none, *values], axis=-1)), target)
@@ -605,12 +692,12 @@ def _suffixes(grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tail, shorter = _shorter(grams.wide[1:], bits), _shorter(grams.wide[1:-1], bits)
     if k == 2:
         rare = grams.wide[1] < 0
-        names, which = np.unique(tail[rare], return_inverse=True)
+        names, _, which = grouped(tail[rare])
         out = np.full(len(grams), len(names))
         out[np.flatnonzero(rare)] = which
         return names, np.zeros(len(names), np.int64), out
     plain = grams.plain & ((1 << bits * (k - 1)) - 1)
-    names, first, which = np.unique(np.concatenate((tail, plain)), return_index=True, return_inverse=True)
+    names, first, which = grouped(np.concatenate((tail, plain)))
     return names, np.concatenate((shorter, plain >> bits))[first], which
 
 
@@ -634,21 +721,8 @@ def _fit(docs: DataFrame, learns: Column | None, order: int, frequent_words: int
     path = new_path(spark, "katz")
     texts = docs if learns is None else docs.where(learns)
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter[bytes] = Counter()
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                c.update(utf8(text.as_py()).lower().split())
-                if len(c) > TOKENS_AT_ONCE:
-                    yield row()
-                    c.clear()
-        yield row()
-
-    words = materialize(texts.select(F.col(f"`{text_col}`")).mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    rows = materialize(read(docs, id_col, text_col, learns), "read")
+    words = materialize(counted_words(rows), "words")
     ends = texts.count()
     ladder = words.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("s")).orderBy(F.desc("c")).collect()
     total, distinct = ends + sum(r.s for r in ladder), bool(ends) + sum(r.k for r in ladder)
@@ -674,9 +748,11 @@ def _fit(docs: DataFrame, learns: Column | None, order: int, frequent_words: int
     _save(rare, f"{path}/grams/order=1", "kind")
     release(words)
     if order < 2 and learns is None:
+        release(rows)
         return model, None
     shared = spark.sparkContext.broadcast(frequent)
-    tokens = materialize(coded(docs, shared, path, id_col, text_col, learns), "tokens")
+    tokens = materialize(coded(rows, shared, path), "tokens")
+    release(rows)
     often = named(np.flatnonzero(counts[:-1] >= hot_limit)[None], bits)
     for k in range(2, order + 1):
         if ends >= hot_limit:
@@ -700,7 +776,7 @@ def _fit(docs: DataFrame, learns: Column | None, order: int, frequent_words: int
 def _contexts(spark: SparkSession, model: Model, k: int) -> None:
     """Sizes and alphas of the contexts of order k, from its n-grams and the level below."""
     bits, buckets, hot, lower = model.bits, model.buckets, model.hot[k], model.hot[k - 1]
-    base = model.grams(spark, k).withColumn("who", F.col("bucket").cast("long")).drop("bucket", "part")
+    base = model.grams(spark, k).withColumn("who", F.col("bucket").cast("long")).drop("bucket")
 
     def wanted():
         return lambda row: _suffixes(_grams(row, k, bits))[:2]
@@ -730,15 +806,20 @@ def _contexts(spark: SparkSession, model: Model, k: int) -> None:
 
         return one
 
-    found = materialize(answered(base, got, handle, schema, 2), "contexts")
+    def some(i: int) -> DataFrame:
+        parts = list(range(PARTS))[i::SLICES]
+        return answered(base.where(F.col("part").isin(parts)).drop("part"), got.where((F.col("who") % PARTS).isin(parts)), handle, schema, 2)
+
+    pieces = [materialize(some(i), "contexts") for i in range(SLICES)]
+    found = reduce(DataFrame.unionByName, pieces)
     release(got)
     _save(found.select("bucket", "sums"), f"{model.path}/contexts/order={k}")
     sums = np.zeros((3, len(hot)))
     if len(hot):
         for r in found.select("hot", "parts").toLocalIterator():  # one bucket's part of a bounded number of contexts at a time
-            np.add.at(sums.T, place(hot, unpacked(r.hot)), unpacked(r.parts, 3, "<f8").T)
+            np.add.at(sums.T, place(hot, unpacked(r.hot)), unpacked(r.parts, 3).T)
     model.sums[k] = _weights(sums)
-    release(found)
+    release(*pieces)
 
 
 def _weights(sums: np.ndarray) -> np.ndarray:
@@ -767,8 +848,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     row each, an empty table none.  Other columns are not read.
     """
     words = small_batches(docs).sparkSession.sparkContext.broadcast(model.words)
-    state = materialize(coded(docs, words, model.path, id_col, text_col), "coded")
-    return _scored(state, model, model.order)
+    state = materialize(coded(read(docs, id_col, text_col), words, model.path), "coded")
+    return _scored([state], model, model.order)
 
 
 def train_and_score(
@@ -778,7 +859,7 @@ def train_and_score(
     are read as words and counted only once: at the highest level, counting answers what is asked of it."""
     model, state = _fit(docs, learns, order, frequent_words, id_col, text_col, hot_tokens)
     if order < 2 or not model.total:
-        return model, _scored(state, model, model.order)
+        return model, _scored([state], model, model.order)
     spark, k, bits, buckets = docs.sparkSession, order, model.bits, model.buckets
     path = f"{model.path}/grams/order={k}"
     got = spark.read.schema("bucket int, who long, value binary, kind int").parquet(path).where("kind = 1").drop("kind")
@@ -811,19 +892,16 @@ def train_and_score(
 
         return one
 
-    def some(rows: DataFrame, i: int) -> DataFrame:
-        return rows.where(F.pmod(F.xxhash64("who"), F.lit(SLICES)) == i)
-
-    after = [materialize(answered(some(state, i), some(got, i), first, schema, 2), "coded") for i in range(SLICES)]
+    parts = [materialize(answered(_slice(state, i), _slice(got, i), first, schema, 2), "coded") for i in range(SLICES)]
     release(state)
     delete(spark, f"{path}/kind=1")
-    parts, state = after, reduce(DataFrame.unionByName, after)
+    state = reduce(DataFrame.unionByName, parts)
 
     def lacking(row: dict) -> tuple[Tokens, np.ndarray, np.ndarray]:
         tokens = _tokens(row)
         tokens.chosen = risen(row["lacking"])
         grams, which, _ = tokens.grams(k, bits)
-        contexts, of = np.unique(grams.contexts(), return_inverse=True)
+        contexts, _, of = grouped(grams.contexts())
         return tokens, contexts, of[which]
 
     def bucket(contexts: np.ndarray) -> np.ndarray:
@@ -839,7 +917,7 @@ def train_and_score(
         def one(row: dict, value: np.ndarray) -> list[dict]:
             tokens, contexts, of = lacking(row)
             value = in_order(value, dealt(bucket(contexts), 0)[0])
-            sums = unpacked(row["sums"], 1, "<f8") + _by_text(tokens, np.log10(value[of]))
+            sums = unpacked(row["sums"]) + _by_text(tokens, np.log10(value[of]))
             return [{c: row[c] for c in _KEPT} | {"sums": packed(sums), "left": row["left"]}]
 
         return one
@@ -848,16 +926,26 @@ def train_and_score(
     asked_target = _arrow(asked_schema)
     asked = materialize(state.mapInArrow(ask, asked_schema), "asked")
     got = [materialize(alphas(asked, model, k, list(range(PARTS))[i::SLICES]), "alphas") for i in range(SLICES)]
-    after = materialize(answered(state, reduce(DataFrame.unionByName, got), last, schema), "coded")
-    release(*parts, asked, *got)
+    release(asked)
+    every, after = reduce(DataFrame.unionByName, got), []
+    for i, part in enumerate(parts):
+        after.append(materialize(answered(part, _slice(every, i), last, schema), "coded"))
+        release(part)
+    release(*got)
     return model, _scored(after, model, k - 1)
 
 
 _KEPT = ("who", "keys", "sizes", "learns", "words", "tokens")
 
 
-def _scored(state: DataFrame, model: Model, highest: int) -> DataFrame:
-    """Scores of coded texts, of which the levels above ``highest`` have been asked already."""
+def _slice(rows: DataFrame, i: int) -> DataFrame:
+    """The rows of every ``SLICES``-th batch of texts or so, and the answers to them, by ``who``."""
+    return rows.where(F.pmod(F.xxhash64("who"), F.lit(SLICES)) == i)
+
+
+def _scored(parts: list[DataFrame], model: Model, highest: int) -> DataFrame:
+    """Scores of coded texts, in one table or in their slices, of which the levels above ``highest`` have been asked already."""
+    state = reduce(DataFrame.unionByName, parts)
     spark, bits, buckets = state.sparkSession, model.bits, model.buckets
     kind = state.schema["keys"].dataType.simpleString()
     for k in range(highest if model.total else 1, 1, -1):
@@ -879,15 +967,20 @@ def _scored(state: DataFrame, model: Model, highest: int) -> DataFrame:
                 times, about = in_order(value.T, _asked_order(grams.names(), grams.contexts(), hot, buckets))[which].T
                 sums = _by_text(tokens, np.log10(np.where(times > 0, discounted(times.astype(np.int64), d) / about, about)))
                 if row["sums"] is not None:
-                    sums += unpacked(row["sums"], 1, "<f8")
+                    sums += unpacked(row["sums"])
                 return [{c: row[c] for c in _KEPT} | {"sums": packed(sums), "left": rising(tokens.chosen[times == 0])}]
 
             return one
 
         got = materialize(answers(_ask(state, wanted, model.hot[k], buckets), model, k), "answers")
-        after = materialize(answered(state, got, handle, f"who long, keys {kind}, {_CODED}", 2), "coded")
-        release(state, got)
-        state = after
+        after = []
+        for i in range(SLICES):
+            base = parts[i] if len(parts) > 1 else _slice(parts[0], i)
+            after.append(materialize(answered(base, _slice(got, i), handle, f"who long, keys {kind}, {_CODED}", 2), "coded"))
+            if len(parts) > 1:
+                release(base)
+        release(got, *parts)
+        parts, state = after, reduce(DataFrame.unionByName, after)
 
     def rare():
         def one(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -916,7 +1009,7 @@ def _scored(state: DataFrame, model: Model, highest: int) -> DataFrame:
             p = np.where(left > 0, discounted(left, d1) * scale, unknown)
             scores = _by_text(tokens, np.log10(p))
             if row["sums"] is not None:
-                scores += unpacked(row["sums"], 1, "<f8")
+                scores += unpacked(row["sums"])
             known = np.bincount(tokens.text[c > 0], minlength=n)
             base = np.bincount(tokens.text, np.log10(c + 1.0) - per_token, n)
             return [
