@@ -566,6 +566,19 @@ def test_katz_keeps_tables_small(spark, monkeypatch):
     assert max(sizes[:-1]) < sizes[-1]
 
 
+def test_katz_words_and_their_numbers():
+    texts = [b"", b"A b\x00 b  c\x0b\x1fd", "żółć ΑΒΓ Ünï İx".encode(), b"\x85x abcdefg abcdefgh abcdefghi \t", b"   ", b"z\x00 z\x00\x00 \xa0"]
+    for some in ([], texts[:1], texts):
+        at, length, n, joined = katz.split_words(some)
+        found = [joined[i : i + j] for i, j in zip(at.tolist(), length.tolist())]
+        assert found == [w for t in some for w in t.lower().split()] and n.tolist() == [len(t.split()) for t in some]
+        keys = katz.short_keys(at, length, joined).tolist()
+        assert keys == [-1 - katz.word_number(w) if len(w) <= katz.SHORT else -1 for w in found]
+    numbers = {w: katz.word_number(w) for w in found + [b"", b"\x00", b"\x00\x00", b"\xff" * 7, b"\xff" * 8, b"long" * 3]}
+    assert len(set(numbers.values())) == len(numbers) and all(-(1 << 63) <= x < 0 for x in numbers.values())
+    assert all((x <= -(1 << 62)) == (len(w) > katz.SHORT) for w, x in numbers.items())
+
+
 def test_katz_query(spark, tmp_path):
     from weft.llm.queries import QUERIES
 

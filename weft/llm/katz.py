@@ -5,9 +5,9 @@ P(w | h) is the discounted count of (h, w) over the size of h where (h, w) was s
 first word), and one level below the words the mass left for unknown ones.  alpha makes every context sum to exactly
 one: the share that h has left, over what the level below gives to the words not seen after h.
 
-Words are numbers: the most frequent ones (a fixed number, broadcast) by rank, all others by a 63-bit hash below zero.
-An n-gram of frequent words is named by their numbers side by side, any other by a 63-bit hash below zero; so two rare
-words, or two n-grams with rare words, of equal hash would count as one.  n-grams are dealt to buckets by their context,
+Words are numbers: those of up to seven bytes by these, longer ones by a 62-bit hash, all below zero; the most frequent ones
+(a fixed number, broadcast) have their rank instead.  An n-gram of frequent words is named by their numbers side by side, any
+other by a 63-bit hash below zero; so two long words, or two n-grams with rare words, of equal hash would count as one.  n-grams are dealt to buckets by their context,
 so a bucket holds whole contexts; contexts with a large share of all tokens (their number is bounded, so they are
 broadcast) are dealt by the whole n-gram instead and their sums are added up afterwards.  What is shuffled are blocks:
 the distinct n-grams of a million tokens that fall in one bucket, as sorted numbers, compressed; a block has one n-gram at
@@ -22,17 +22,17 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import begin_task, small_batches, utf8, worker_cache
+from weft.llm.common import begin_task, small_batches, utf8
 from weft.plans.runtime import delete, materialize, new_path, release, write_once
 
 ORDER = 3
@@ -78,11 +78,51 @@ def discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
     return counts * factors[np.minimum(counts, len(d) + 1)]
 
 
+SHORT = 7  # bytes of a word that fit a number together with its length
+
+
 def word_number(word: bytes) -> int:
-    """Number of a word that is not a frequent one: below zero."""
+    """Number of a word, below zero.  A short word's bytes give it, so that no other has the same; of longer ones it is a
+    62-bit hash, below those of short ones."""
+    return -1 - (len(word) << 56 | int.from_bytes(word, "little")) if len(word) <= SHORT else int(long_numbers([word])[0])
+
+
+def long_numbers(words: Collection[bytes]) -> np.ndarray:
+    """Numbers of words that are not short."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(word, 42) % (1 << 63) - (1 << 63)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words)).view(np.int64)
+    return (-1 << 62) - (h & ((1 << 62) - 1))
+
+
+def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Words of texts (A-Z lower-cased): places where each begins and how many bytes it has in the joined texts, which come
+    last, and how many words each text has.  Words are what ``bytes.split`` gives."""
+    joined = b"\n".join([b"", *texts, b" " * 8]).lower()
+    blank = _BLANK[np.frombuffer(joined, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    at, length = edges[::2], edges[1::2] - edges[::2]
+    begins = np.cumsum([1, *(len(text) + 1 for text in texts)])
+    return at, length, np.diff(np.searchsorted(at, begins)), joined
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def short_keys(at: np.ndarray, length: np.ndarray, joined: bytes) -> np.ndarray:
+    """A number from 0 on of each word of at most ``SHORT`` bytes: its bytes, least first, and above them its length.  It is -1
+    for others."""
+    eight = np.ndarray(len(joined) - 7, "<i8", joined, strides=(1,))
+    size = np.minimum(length, SHORT)
+    return np.where(length <= SHORT, eight[at] & ((np.int64(1) << 8 * size) - 1) | size << 56, -1)
+
+
+def looked_up(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`word_number` gives for the frequent words, in order, and their places."""
+    numbers = np.array([word_number(w) for w in words], np.int64)
+    order = np.argsort(numbers)
+    return numbers[order], order
 
 
 # -- n-grams as numbers ---------------------------------------------------------------------------------------------
@@ -286,6 +326,10 @@ class Tokens:
         key, spare, ids = None, 63, None
 
         def window(back: int) -> np.ndarray:
+            if len(self.chosen) == len(self.local):  # all are
+                out = np.roll(self.local, back)
+                out[self.place < back] = begin
+                return out
             inside = self.place[self.chosen] >= back
             return np.where(inside, self.local[np.where(inside, self.chosen - back, 0)], begin)
 
@@ -325,14 +369,15 @@ def _tokens(row: dict) -> Tokens:
 
 
 def read(df: DataFrame, id_col: str | None, text_col: str, learns: Column | None = None) -> DataFrame:
-    """Texts, about ``TOKENS_AT_ONCE`` tokens a row: ``who keys sizes learns tokens``, tokens as places in the row's own
-    ``vocabulary`` from 1 on (an end is 0), and ``times``, how often each word occurs in texts that are learned from.  A text
-    is never cut, so a row is as long as the longest text at least.  ``learns`` tells which texts are learned from (all)."""
+    """Texts, about ``TOKENS_AT_ONCE`` tokens a row: ``who keys sizes learns tokens``, tokens as places in the row's own words from
+    1 on (an end is 0), ``known``, their numbers by :func:`word_number` in order, of which the first are of the ``long`` words,
+    and ``times``, how often each occurs in texts that are learned from.  A text is never cut, so a row is as long as the longest text at least.  ``learns`` tells
+    which texts are learned from (all)."""
     keys = F.lit(None).cast("int").alias("key") if id_col is None else F.col(f"`{id_col}`").alias("key")
     learning = F.lit(True) if learns is None else F.coalesce(learns, F.lit(False))
     rows = small_batches(df).select(keys, F.col(f"`{text_col}`").alias("text"), learning.alias("learns"))
     kind = rows.schema["key"].dataType.simpleString()
-    schema = f"who long, keys array<{kind}>, sizes binary, learns binary, tokens binary, vocabulary binary, times binary"
+    schema = f"who long, keys array<{kind}>, sizes binary, learns binary, tokens binary, known binary, long binary, times binary"
     target, at_once, keyed = _arrow(schema), TOKENS_AT_ONCE, id_col is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,85 +385,109 @@ def read(df: DataFrame, id_col: str | None, text_col: str, learns: Column | None
         from pyspark import TaskContext
 
         def empty() -> tuple:
-            return defaultdict(count(1).__next__), [], [], [], []
+            return defaultdict(count().__next__), [], [], [], []
 
         who, size = TaskContext.get().partitionId() << 33, 0
-        number, ids, keys, sizes, flags = empty()
+        number, words, keys, sizes, flags = empty()
 
         def row() -> pa.RecordBatch:
-            tokens, lengths, learned = np.concatenate(ids), np.array(sizes, np.int64), np.array(flags, np.int64)
-            times = np.bincount(tokens[np.repeat(learned > 0, lengths)], minlength=len(number) + 1)[1:]
-            one = {"who": who, "keys": keys if keyed else None, "sizes": packed(lengths), "learns": packed(learned), "tokens": packed(tokens)}
-            vocabulary = zstandard.ZstdCompressor(level=1).compress(b" ".join(number))
-            return _batch([one | {"vocabulary": vocabulary, "times": packed(times.astype(np.int64))}], target)
+            lengths, learned = np.concatenate(sizes), np.array(flags, np.int64)
+            names, own = long_numbers(number), np.concatenate(words)
+            other = own < 0
+            own = -1 - own
+            own[other] = names[own[other]]
+            known, _, which = grouped(own)
+            tokens, is_word = np.zeros(size, np.int64), np.ones(size, bool)
+            is_word[np.cumsum(lengths) - 1] = False
+            tokens[is_word] = which + 1
+            times = np.bincount(tokens[np.repeat(learned > 0, lengths)], minlength=len(known) + 1)[1:].astype(np.int64)
+            long = zstandard.ZstdCompressor(level=1).compress(b" ".join(map(list(number).__getitem__, grouped(names)[1].tolist())))
+            one = {"who": who, "keys": keys if keyed else None, "sizes": packed(lengths), "learns": packed(learned)}
+            return _batch([one | {"tokens": packed(tokens), "known": rising(known), "long": long, "times": packed(times)}], target)
 
         for batch in batches:
-            texts, own_flags = batch.column(1), batch.column(2).to_pylist()
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                found = utf8(texts[i].as_py()).lower().split()
-                own = np.zeros(len(found) + 1, np.int64)
-                own[:-1] = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-                ids.append(own)
-                keys.append(key)
-                sizes.append(len(own))
-                flags.append(own_flags[i])
-                size += len(own)
+            own_keys, own_flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            at, length, n, joined = split_words([utf8(text.as_py()) for text in batch.column(1)])
+            found = short_keys(at, length, joined)
+            upto, tokens = np.cumsum(n), np.cumsum(n + 1)
+            first = 0
+            while first < len(n):
+                word, token = (int(x[first - 1]) if first else 0 for x in (upto, tokens))
+                last = min(int(np.searchsorted(tokens, token + at_once - size)), len(n) - 1)
+                own = found[word : upto[last]]
+                long = np.flatnonzero(own < 0)
+                begins = at[word + long]
+                pieces = map(joined.__getitem__, map(slice, begins.tolist(), (begins + length[word + long]).tolist()))
+                own[long] = -1 - np.fromiter(map(number.__getitem__, pieces), np.int64, len(long))
+                words.append(own.copy())
+                keys += own_keys[first : last + 1]
+                sizes.append(n[first : last + 1] + 1)
+                flags += own_flags[first : last + 1]
+                size += int(tokens[last]) - token
                 if size >= at_once:
                     yield row()
                     who, size = who + 1, 0
-                    number, ids, keys, sizes, flags = empty()
-        if sizes:
+                    number, words, keys, sizes, flags = empty()
+                first = last + 1
+        if size:
             yield row()
 
     return rows.mapInArrow(run, schema)
 
 
-def _vocabulary(data: bytes) -> list[bytes]:
+def _long(row: dict) -> list[bytes]:
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(data).split()
+    return zstandard.ZstdDecompressor().decompress(row["long"]).split()
 
 
 def counted_words(rows: DataFrame) -> DataFrame:
-    """``word c`` of the texts that are learned from, of rows as :func:`read` gives them."""
+    """``number word c`` of the words that are learned from, of rows as :func:`read` gives them; a short word is null, as its
+    number tells it."""
     at_once = TOKENS_AT_ONCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: dict[bytes, int] = {}
+        def found(numbers: np.ndarray, words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(numbers), words, pa.array(n)], ["number", "word", "n"]).filter(pa.array(n > 0))
 
-        def found() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], ["word", "n"])
+        def shorts() -> pa.RecordBatch:
+            numbers, _, which = grouped(np.concatenate(short))
+            sums = np.bincount(which, np.concatenate(n), len(numbers)).astype(np.int64)
+            return found(numbers, pa.nulls(len(numbers), pa.binary()), sums)
 
+        short, n = [], []
         for row in _rows(batches):
-            for word, n in zip(_vocabulary(row["vocabulary"]), unpacked(row["times"]).tolist(), strict=True):
-                if n:
-                    c[word] = c.get(word, 0) + n
-            if len(c) > at_once:
-                yield found()
-                c.clear()
-        yield found()
-
-    return rows.select("vocabulary", "times").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-
-
-def coded(rows: DataFrame, words, name: str) -> DataFrame:
-    """Rows as :func:`read` gives them with tokens as numbers of the model ``name``, whose frequent words ``words`` broadcasts:
-    ``who keys sizes learns words tokens`` and room for what is found out."""
+            known, times, long = risen(row["known"]), unpacked(row["times"]), _long(row)
+            yield found(known[: len(long)], pa.array(long, pa.binary()), times[: len(long)])
+            short.append(known[len(long) :])
+            n.append(times[len(long) :])
+            if sum(map(len, n)) > 2 * at_once:
+                yield shorts()
+                short, n = [], []
+        if n:
+            yield shorts()
+
+    return rows.select("known", "long", "times").mapInArrow(run, "number long, word binary, n long").groupBy("number", "word").agg(F.sum("n").alias("c"))
+
+
+def coded(rows: DataFrame, words) -> DataFrame:
+    """Rows as :func:`read` gives them with tokens as numbers of the model whose frequent words ``words`` broadcasts (see
+    :func:`looked_up`): ``who keys sizes learns words tokens`` and room for what is found out."""
     schema = f"who long, keys {rows.schema['keys'].dataType.simpleString()}, {_CODED}"
     target = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = begin_task(lambda: worker_cache(f"words {name}"))
-        if not store:
-            store.update({w: i for i, w in enumerate(words.value)})
-        end, get = len(store), store.get
+        frequent, places = begin_task(lambda: words.value)
+        end = len(places)
         for row in _rows(batches):
-            own = [n if (n := get(w)) is not None else word_number(w) for w in _vocabulary(row["vocabulary"])]
-            ids, _, which = grouped(np.array([end, *own], np.int64))
+            own = risen(row["known"])
+            at = place(frequent, own)
+            own[at >= 0] = places[at[at >= 0]]
+            ids, _, which = grouped(np.append(end, own))
             one = {c: row[c] for c in ("who", "keys", "sizes", "learns")}
             yield _batch([one | {"words": rising(np.append(ids, end + 1)), "tokens": packed(which[unpacked(row["tokens"])])}], target)
 
-    return rows.select("who", "keys", "sizes", "learns", "tokens", "vocabulary").mapInArrow(run, schema)
+    return rows.select("who", "keys", "sizes", "learns", "tokens", "known").mapInArrow(run, schema)
 
 
 # -- counting -------------------------------------------------------------------------------------------------------
@@ -509,18 +578,17 @@ def _counted(tokens: DataFrame, k: int, bits: int, hot: np.ndarray, buckets: int
 
 
 def _rare_blocks(words: DataFrame, bits: int, buckets: int) -> DataFrame:
-    """Blocks of ``words(word, c)`` under their numbers."""
+    """Blocks of ``words(number, c)``."""
     target = _arrow(_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ids = np.array([[word_number(w) for w in batch.column(0).to_pylist()]], np.int64)
                 none = np.zeros(0, np.int64)
-                grams, _, n = summed([none], [ids], [none], [batch.column(1).to_numpy()], bits)
+                grams, _, n = summed([none], [batch.column(0).to_numpy()[None]], [none], [batch.column(1).to_numpy()], bits)
                 yield _batch(_blocks(grams, n, None, buckets), target)
 
-    return words.select("word", "c").mapInArrow(run, _BLOCK)
+    return words.select("number", "c").mapInArrow(run, _BLOCK)
 
 
 # -- the model ------------------------------------------------------------------------------------------------------
@@ -731,8 +799,10 @@ def _fit(docs: DataFrame, learns: Column | None, order: int, frequent_words: int
         if (kept := kept + r.k) > frequent_words:
             break
         least = r.c
-    top = words.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()
-    frequent, counts = top["word"].to_pylist(), np.append(top["c"].to_numpy(), ends).astype(np.int64)
+    top = words.where(F.col("c") >= least).orderBy(F.desc("c"), "number", "word").toArrow()
+    both = zip(top["number"].to_pylist(), top["word"].to_pylist(), strict=True)
+    frequent = [((-1 - number) & ((1 << 56) - 1)).to_bytes(SHORT, "little")[: (-1 - number) >> 56] if word is None else word for number, word in both]
+    counts = np.append(top["c"].to_numpy(), ends).astype(np.int64)
     del top
     of_counts = {r.c: r.k for r in ladder if r.c <= DISCOUNTED + 1}
     if 0 < ends <= DISCOUNTED + 1:
@@ -750,8 +820,8 @@ def _fit(docs: DataFrame, learns: Column | None, order: int, frequent_words: int
     if order < 2 and learns is None:
         release(rows)
         return model, None
-    shared = spark.sparkContext.broadcast(frequent)
-    tokens = materialize(coded(rows, shared, path), "tokens")
+    shared = spark.sparkContext.broadcast(looked_up(frequent))
+    tokens = materialize(coded(rows, shared), "tokens")
     release(rows)
     often = named(np.flatnonzero(counts[:-1] >= hot_limit)[None], bits)
     for k in range(2, order + 1):
@@ -847,8 +917,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     distinct tokens.  Null text counts as empty: one token.  Every row is scored alone: rows with equal or null ids have a
     row each, an empty table none.  Other columns are not read.
     """
-    words = small_batches(docs).sparkSession.sparkContext.broadcast(model.words)
-    state = materialize(coded(read(docs, id_col, text_col), words, model.path), "coded")
+    words = small_batches(docs).sparkSession.sparkContext.broadcast(looked_up(model.words))
+    state = materialize(coded(read(docs, id_col, text_col), words), "coded")
     return _scored([state], model, model.order)
 
 
