@@ -248,6 +248,8 @@ def q_dag_positions(spark, sf):
     g = v.strong_dag(spark, sf)
     dag = DagTable(g)
     e = g.edges.orderBy("src", "dst").first()
+    if e is None:  # no edge, no row, as in SQL
+        return one(spark, there=True, between=True, back=False, loop=False, nodes=0).limit(0)
     a, b = dag.position(e.src), dag.position(e.dst)
     inside = {r.node for r in dag.range(a, b).collect()}
     return one(spark, there=dag.at_position(a) == e.src, between={e.src, e.dst} <= inside and len(inside) == b - a + 1, back=dag.is_valid_edge(e.dst, e.src), loop=dag.is_valid_edge(e.src, e.src), nodes=dag.order.count())
