@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from weft.graph import PropertyGraph
+from weft.operators import rank
 
 
 def same_as_sql(spark, sf, name):
@@ -33,3 +34,8 @@ def no_pair_thrice(spark, tmp_path_factory):
 
 def test_dag_positions_without_edges(spark, no_pair_thrice):
     assert same_as_sql(spark, no_pair_thrice, "dag_positions")
+
+
+def test_page_rank_of_nothing(spark, no_pair_thrice):
+    assert rank.page_rank(PropertyGraph.empty(spark), tolerance=0.0).isEmpty()
+    assert same_as_sql(spark, no_pair_thrice, "page_rank_tolerance")

@@ -20,11 +20,13 @@ def page_rank(g: PropertyGraph, damping: float = 0.85, rounds: int = 20, toleran
     if not 0 <= damping <= 1:
         raise ValueError("damping must lie between 0 and 1")
     n = g.node_count()
+    if n == 0:
+        return g.nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("rank"))
     adj = g.adjacency()
     out = adj.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
     links = materialize(adj.select("src", "dst").distinct(), "links")
     base = materialize(g.nodes.select(F.col("id").alias("node")).join(out, "node", "left"), "degrees")
-    ranks = base.select("node", "deg", F.lit(1.0 / n if n else 0.0).alias("rank"))
+    ranks = base.select("node", "deg", F.lit(1.0 / n).alias("rank"))
     held = None
     for _ in range(rounds):
         sums = ranks.agg(F.coalesce(F.sum(F.when(F.col("deg").isNull(), F.col("rank"))), F.lit(0.0)).alias("d"), F.coalesce(F.sum(F.when(F.col("deg").isNotNull(), F.col("rank"))), F.lit(0.0)).alias("s"))
