@@ -48,3 +48,7 @@ def test_dfs_events_without_edges_from_the_least_node(spark, no_pair_thrice, tmp
 
 def test_dominators_without_a_root(spark, no_pair_thrice):
     assert same_as_sql(spark, no_pair_thrice, "dominators")
+
+
+def test_dominators_of_without_a_root(spark, no_pair_thrice):
+    assert same_as_sql(spark, no_pair_thrice, "dominators_of")

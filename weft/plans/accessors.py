@@ -8,7 +8,7 @@ from weft.functions.order import opposite_end
 from weft.graph import KeyedGraph, PropertyGraph
 from weft.operators import kernels, matching, paths, pattern, spanning
 from weft.plans import views as v
-from weft.plans.queries import _DOM, _SSSP, ORACLES, ROUNDS, _relaxed, first_node, last_node, one, query
+from weft.plans.queries import _DOM, _SSSP, ORACLES, ROUNDS, _dominator_tree, _relaxed, first_node, last_node, one, query
 from weft.plans.runtime import materialize, new_path
 from weft.sources import dot, files, generators, graph6
 from weft.streaming.incremental import DagTable
@@ -121,8 +121,7 @@ def q_parallel_johnson(spark, sf):
 
 @query(f"WITH RECURSIVE {_DOM} SELECT node, d AS dominator FROM dom UNION ALL SELECT node, node FROM reach")
 def q_dominators_of(spark, sf):
-    g = v.strong(spark, sf)
-    tree = materialize(kernels.dominators(g, [g.edges.agg(F.min("src")).first()[0]]))
+    tree = materialize(_dominator_tree(v.strong(spark, sf)))
     return kernels.strict_dominators(tree).select("node", "dominator").unionByName(tree.select("node", F.col("node").alias("dominator")))
 
 
