@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from weft.graph import PropertyGraph
-from weft.operators import rank
+from weft.operators import pattern, rank
 
 
 def same_as_sql(spark, sf, name):
@@ -52,3 +52,15 @@ def test_dominators_without_a_root(spark, no_pair_thrice):
 
 def test_dominators_of_without_a_root(spark, no_pair_thrice):
     assert same_as_sql(spark, no_pair_thrice, "dominators_of")
+
+
+def test_rings_that_look_alike_are_told_apart_quickly(spark):
+    def rings(*sizes):
+        out = []
+        for k in sizes:
+            n = len(out)
+            out += [(n + i, n + (i + 1) % k) for i in range(k)]
+        return PropertyGraph.from_rows(spark, out, False)
+
+    assert not pattern.is_isomorphic(rings(*[6] * 10, 3, 3), rings(*[6] * 11))
+    assert pattern.is_isomorphic(rings(3, 6, 4), rings(6, 4, 3))

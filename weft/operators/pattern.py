@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,54 +146,130 @@ def is_isomorphic(g0: PropertyGraph, g1: PropertyGraph, label: Column | None = N
         for k in (0, 1):
             own = frame[frame.k == k]
             nodes = own[own.dst.isna()]
+            nodes = nodes.sort_values("node")
             e = own[~own.dst.isna()]
-            graphs.append((dict(zip(nodes.node, nodes.colour, strict=True)), {(s, int(d)): m for s, d, m in zip(e.node, e.dst, e.mark, strict=True)}))
+            ids = nodes.node.to_numpy()
+            graphs.append((nodes.colour.to_numpy().astype("int64"), np.searchsorted(ids, e.node.to_numpy()), np.searchsorted(ids, e.dst.to_numpy().astype("int64")), e.mark.tolist()))
         return pd.DataFrame({"same": [_search(*graphs)]})
 
     return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "same boolean").first().same
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _refined(colour: np.ndarray, src: np.ndarray, dst: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Classes of nodes by what surrounds them, until they no longer split (after ``rounds`` only while many still do)."""
+    classes = np.unique(colour, return_inverse=True)[1]
+    k = classes.max(initial=-1) + 1
+    for done in count():
+        ahead, behind = np.zeros(len(colour), np.uint64), np.zeros(len(colour), np.uint64)
+        np.add.at(ahead, src, _mixed(classes)[dst])
+        np.add.at(behind, dst, _mixed(~classes)[src])
+        classes = np.unique(_mixed(_mixed(ahead) + np.uint64(3) * _mixed(behind) + np.uint64(7) * _mixed(classes)), return_inverse=True)[1]
+        before, k = k, classes.max(initial=-1) + 1
+        if k <= before or (done >= rounds and k - before <= len(colour) // 1000):
+            return classes
+
+
 def _search(first, second) -> bool:
-    (c0, e0), (c1, e1) = first, second
-    near = {n: set() for n in c0}
-    for s, d in e0:
-        near[s].add(d)
-        near[d].add(s)
-    by_colour: dict = {}
-    for n, c in c1.items():
-        by_colour.setdefault(c, []).append(n)
-    order: list = []
-    seen: set = set()
-    for start in sorted(c0, key=lambda n: (len(by_colour[c0[n]]), n)):
-        queue = [start] if start not in seen else []
-        seen.update(queue)
+    """Whether the graphs ``(colours, sources, targets, marks)``, their nodes numbered from 0, are the same but for numbers.
+
+    Nodes are placed along the edges, on nodes of their class beside the image of the node they were reached from, so a
+    step looks at the edges of two nodes only.  A part placed whole stays: parts of one kind can stand for each other.
+    """
+    (c0, s0, d0, m0), (c1, s1, d1, m1) = first, second
+    n = len(c0)
+    classes = _refined(np.concatenate([c0, c1]), np.concatenate([s0, s1 + n]), np.concatenate([d0, d1 + n]))
+    if not np.array_equal(np.sort(classes[:n]), np.sort(classes[n:])):
+        return False
+    own, other = classes[:n].tolist(), classes[n:].tolist()
+    size = np.bincount(classes[:n]).tolist()
+    edges, near = [], []
+    for s, d, m in ((s0, d0, m0), (s1, d1, m1)):
+        s, d = s.tolist(), d.tolist()
+        edges.append({a * n + b: x for a, b, x in zip(s, d, m, strict=True)})
+        around = [[] for _ in range(n)]
+        for a, b in zip(s, d, strict=True):
+            if a != b:
+                around[a].append(b)
+                if b * n + a not in edges[-1] or a < b:
+                    around[b].append(a)
+        near.append([list(dict.fromkeys(x)) for x in around])
+    (e0, e1), (near0, near1) = edges, near
+    of_class: dict = {}
+    for m, c in enumerate(other):
+        of_class.setdefault(c, []).append(m)
+    to, used, seen = [-1] * n, bytearray(n), bytearray(n)
+    beside: dict = {}  # (image of the node before, class): its neighbours of the class
+    free: dict = {}  # how many of them are known to be used
+
+    def fits(v: int, m: int) -> bool:
+        if e0.get(v * n + v) != e1.get(m * n + m):
+            return False
+        placed = 0
+        for p in near0[v]:
+            q = to[p]
+            if q >= 0:
+                placed += 1
+                if e0.get(v * n + p) != e1.get(m * n + q) or e0.get(p * n + v) != e1.get(q * n + m):
+                    return False
+        return placed == sum(used[q] for q in near1[m])
+
+    def places(v: int, came: int):
+        c = own[v]
+        if came < 0:
+            key, some = c, of_class[c]
+        else:
+            key = (to[came], c)
+            if to[came] not in beside:
+                groups: dict = {}
+                for m in near1[to[came]]:
+                    groups.setdefault(other[m], []).append(m)
+                beside[to[came]] = groups
+            some = beside[to[came]].get(c, ())
+        k = free.get(key, 0)
+        while k < len(some) and used[some[k]]:
+            k += 1
+        free[key] = k
+        for i in range(k, len(some)):
+            if not used[some[i]] and fits(v, some[i]):
+                yield some[i]
+
+    for start in sorted(range(n), key=lambda v: size[own[v]]):
+        if seen[start]:
+            continue
+        order, queue = [], deque([(start, -1)])
+        seen[start] = 1
         while queue:
-            n = queue.pop(0)
-            order.append(n)
-            for m in sorted(near[n] - seen, key=lambda m: (len(by_colour[c0[m]]), m)):
-                seen.add(m)
-                queue.append(m)
-    to: dict = {}
-    used: set = set()
-    choices = [iter(sorted(by_colour[c0[order[0]]]))] if order else []
-    while choices:
-        n = order[len(choices) - 1]
-        if n in to:
-            used.discard(to.pop(n))
-        for m in choices[-1]:
-            if m in used:
+            v, came = queue.popleft()
+            order.append((v, came))
+            for m in sorted((m for m in near0[v] if not seen[m]), key=lambda m: size[own[m]]):
+                seen[m] = 1
+                queue.append((m, v))
+        choices = [places(*order[0])]
+        while True:
+            v = order[len(choices) - 1][0]
+            if to[v] >= 0:  # it was placed and what came after did not fit
+                used[to[v]] = 0
+                to[v] = -1
+                free.clear()
+            m = next(choices[-1], None)
+            if m is None:
+                choices.pop()
+                if not choices:
+                    return False
                 continue
-            if all(e0.get((n, p)) == e1.get((m, q)) and e0.get((p, n)) == e1.get((q, m)) for p, q in to.items()) and e0.get((n, n)) == e1.get((m, m)):
-                to[n] = m
-                used.add(m)
+            to[v] = m
+            used[m] = 1
+            if len(choices) == len(order):
                 break
-        else:
-            choices.pop()
-            continue
-        if len(to) == len(order):
-            return True
-        choices.append(iter(sorted(by_colour[c0[order[len(choices)]]])))
-    return not order
+            choices.append(places(*order[len(choices)]))
+    return True
 
 
 def triangles(g: PropertyGraph) -> DataFrame:
