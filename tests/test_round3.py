@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from weft.graph import PropertyGraph
 from weft.operators import pattern, rank
+from weft.sources import files
 
 
 def same_as_sql(spark, sf, name):
@@ -64,3 +65,20 @@ def test_rings_that_look_alike_are_told_apart_quickly(spark):
 
     assert not pattern.is_isomorphic(rings(*[6] * 10, 3, 3), rings(*[6] * 11))
     assert pattern.is_isomorphic(rings(3, 6, 4), rings(6, 4, 3))
+
+
+@pytest.mark.parametrize("weights", [[5, None, -7], [1.5, 2.0, float("inf")], ["a\"b", "3", None], [True, None, False]])
+def test_json_in_lines_as_json_in_one_text(spark, tmp_path, weights):
+    kind = {int: "long", float: "double", str: "string", bool: "boolean"}[type(weights[0])]
+    nodes = spark.createDataFrame(list(zip([1, 3, 6], weights)), f"id long, weight {kind}")
+    edges = spark.createDataFrame([(8, 6, 1, weights[0]), (2, 3, 3, weights[1]), (5, 1, 3, weights[2])], f"edge_id long, src long, dst long, weight {kind}")
+    g = PropertyGraph(nodes, edges)
+    files.write_json(g, f"{tmp_path}/g")
+    got, want = files.read_json(spark, f"{tmp_path}/g"), files.from_json(spark, files.to_json(g))
+    for a, b in ((got.nodes, want.nodes), (got.edges, want.edges)):
+        assert a.dtypes == b.dtypes and sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
+
+
+def test_json_round_trip_of_a_whole_table_is_not_one_text(spark, monkeypatch):
+    monkeypatch.setattr(files, "to_json", lambda *_: pytest.fail("the graph meets in the driver"))
+    assert same_as_sql(spark, "/root/testdata/sf0.001", "json_round_trip_whole")
