@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from weft.graph import PropertyGraph
-from weft.operators import pattern, rank
+from weft.operators import kernels, pattern, rank
 from weft.sources import files
 
 
@@ -82,3 +82,30 @@ def test_json_in_lines_as_json_in_one_text(spark, tmp_path, weights):
 def test_json_round_trip_of_a_whole_table_is_not_one_text(spark, monkeypatch):
     monkeypatch.setattr(files, "to_json", lambda *_: pytest.fail("the graph meets in the driver"))
     assert same_as_sql(spark, "/root/testdata/sf0.001", "json_round_trip_whole")
+
+
+# -- kernels: a group's edges must not become Python objects all at once ------------------------------------------------
+
+DRAW = random.Random(5)
+EDGES = [(DRAW.randrange(30), DRAW.randrange(30), DRAW.randrange(1, 6)) for _ in range(90)]
+
+
+def in_arrays(df):
+    return "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+
+
+def test_postorder_in_arrays(spark):
+    after, want, seen = {}, [], set()
+    for a, b, _ in reversed(EDGES):
+        after.setdefault(a, []).append(b)
+
+    def visit(n):
+        seen.add(n)
+        for m in after.get(n, []):
+            if m not in seen:
+                visit(m)
+        want.append(n)
+
+    visit(EDGES[0][0])
+    got = kernels.dfs_postorder(PropertyGraph.from_rows(spark, EDGES), EDGES[0][0])
+    assert in_arrays(got) and [r.node for r in got.orderBy("position").collect()] == want
