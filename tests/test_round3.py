@@ -109,3 +109,17 @@ def test_postorder_in_arrays(spark):
     visit(EDGES[0][0])
     got = kernels.dfs_postorder(PropertyGraph.from_rows(spark, EDGES), EDGES[0][0])
     assert in_arrays(got) and [r.node for r in got.orderBy("position").collect()] == want
+
+
+def test_colouring_in_arrays(spark):
+    near = {n: {b for e in EDGES for a, b in (e[:2], e[1::-1]) if a == n != b} for n in range(30)}
+    want = {}
+    while len(want) < 30:
+        n = min(set(near) - set(want), key=lambda n: (-len({want[m] for m in near[n] if m in want}), -len(near[n]), n))
+        want[n] = next(c for c in range(30) if c not in {want.get(m) for m in near[n]})
+    g = PropertyGraph.from_rows(spark, EDGES + [(29, 28, 1), (28, 29, 1)], False).filter_edges(F.col("src") != F.col("dst"))
+    near[28].add(29), near[29].add(28)
+    got = kernels.dsatur_coloring(g)
+    colours = {r.node: r.color for r in got.collect()}
+    assert in_arrays(got) and set(colours) == set(near) and all(colours[a] != colours[b] for a in near for b in near[a])
+    assert max(colours.values()) <= max(want.values()) + 1
