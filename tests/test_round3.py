@@ -123,3 +123,18 @@ def test_colouring_in_arrays(spark):
     colours = {r.node: r.color for r in got.collect()}
     assert in_arrays(got) and set(colours) == set(near) and all(colours[a] != colours[b] for a in near for b in near[a])
     assert max(colours.values()) <= max(want.values()) + 1
+
+
+def test_events_in_arrays(spark):
+    got = kernels.dfs_events(PropertyGraph.from_rows(spark, EDGES, False), [EDGES[0][0]])
+    rows = got.orderBy("seq").collect()
+    assert in_arrays(got) and [r.seq for r in rows] == list(range(len(rows)))
+    done, found = set(), set()
+    for r in rows:
+        if r.event == "discover":
+            found.add(r.u)
+        elif r.event == "finish":
+            done.add(r.u)
+        else:
+            assert r.event == ("tree" if r.v not in found else "cross_forward" if r.v in done else "back")
+    assert sum(r.v is not None for r in rows) == sum((1 + (a != b)) for a, b, _ in EDGES if a in found)
