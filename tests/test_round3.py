@@ -138,3 +138,16 @@ def test_events_in_arrays(spark):
         else:
             assert r.event == ("tree" if r.v not in found else "cross_forward" if r.v in done else "back")
     assert sum(r.v is not None for r in rows) == sum((1 + (a != b)) for a, b, _ in EDGES if a in found)
+
+
+def test_flow_in_arrays(spark):
+    g = PropertyGraph.from_rows(spark, EDGES)
+    got = kernels.max_flow(g, 0, 29, F.col("weight"))
+    flow = {r.edge_id: r.flow for r in got.collect()}
+    assert in_arrays(got) and len(flow) == len(EDGES) and all(0 <= flow[i] <= w for i, (_, _, w) in enumerate(EDGES))
+    net = {n: sum(flow[i] * ((a == n) - (b == n)) for i, (a, b, _) in enumerate(EDGES)) for n in range(30)}
+    side, grown = {0}, True
+    while grown:
+        more = {y for i, (a, b, w) in enumerate(EDGES) for x, y, room in ((a, b, w - flow[i]), (b, a, flow[i])) if x in side and room > 0} - side
+        side, grown = side | more, bool(more)
+    assert 29 not in side and net[0] == sum(w for a, b, w in EDGES if a in side and b not in side) and not any(net[n] for n in range(1, 29))
