@@ -151,3 +151,23 @@ def test_flow_in_arrays(spark):
         more = {y for i, (a, b, w) in enumerate(EDGES) for x, y, room in ((a, b, w - flow[i]), (b, a, flow[i])) if x in side and room > 0} - side
         side, grown = side | more, bool(more)
     assert 29 not in side and net[0] == sum(w for a, b, w in EDGES if a in side and b not in side) and not any(net[n] for n in range(1, 29))
+
+
+def _reached(start, without=None):
+    seen, todo = {start}, [start]
+    while todo:
+        n = todo.pop()
+        new = {b for a, b, _ in EDGES if a == n and b != without} - seen
+        seen |= new
+        todo += new
+    return seen
+
+
+def test_dominators_in_arrays(spark):
+    tree = kernels.dominators(PropertyGraph.from_rows(spark, EDGES), [0, 7])
+    assert in_arrays(tree)
+    for root in (0, 7):
+        idom = {r.node: r.idom for r in tree.where(F.col("root") == root).collect()}
+        everything = _reached(root)
+        above = {n: {c for c in everything - {n, root} if n not in _reached(root, c)} | {root} for n in everything - {root}}
+        assert set(idom) == everything and all(idom[n] == max(above[n], key=lambda c: len(above.get(c, ()))) for n in above)
