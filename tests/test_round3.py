@@ -171,3 +171,10 @@ def test_dominators_in_arrays(spark):
         everything = _reached(root)
         above = {n: {c for c in everything - {n, root} if n not in _reached(root, c)} | {root} for n in everything - {root}}
         assert set(idom) == everything and all(idom[n] == max(above[n], key=lambda c: len(above.get(c, ()))) for n in above)
+
+
+def test_strict_dominators_in_arrays(spark):
+    tree = kernels.dominators(PropertyGraph.from_rows(spark, EDGES), [0])
+    got = {(r.node, r.dominator) for r in kernels.strict_dominators(tree).collect()}
+    everything = _reached(0)
+    assert in_arrays(tree) and got == {(n, c) for n in everything for c in everything - {n} if c == 0 or n not in _reached(0, c)}
