@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from weft.graph import PropertyGraph
-from weft.operators import kernels, pattern, rank
+from weft.operators import kernels, pattern, rank, spanning
 from weft.sources import files
 
 
@@ -178,3 +178,19 @@ def test_strict_dominators_in_arrays(spark):
     got = {(r.node, r.dominator) for r in kernels.strict_dominators(tree).collect()}
     everything = _reached(0)
     assert in_arrays(tree) and got == {(n, c) for n in everything for c in everything - {n} if c == 0 or n not in _reached(0, c)}
+
+
+def test_closure_of_a_long_way_takes_few_rounds(spark, monkeypatch):
+    made = []
+    plain = spanning.materialize
+    monkeypatch.setattr(spanning, "materialize", lambda df, label="step": made.append(label) or plain(df, label))
+    n = 40
+    got = spanning.transitive_closure(PropertyGraph.from_rows(spark, [(i, i + 1) for i in range(n)] + [(n, 3)]))
+    pairs = [tuple(r) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in range(n + 1) for b in range(n + 1)} - {(a, b) for a in range(3, n + 1) for b in range(3)} - {(a, b) for a in range(3) for b in range(a + 1)}
+    assert len(made) <= 20
+    dense = PropertyGraph.from_rows(spark, [(a, b) for a in range(9) for b in range(9) if (a * b + a) % 3 != 1])
+    reach = {(r.src, r.dst) for r in dense.edges.collect()}
+    for k in range(9):
+        reach |= {(a, b) for a, x in reach if x == k for y, b in reach if y == k}
+    assert sorted(map(tuple, spanning.transitive_closure(dense).collect())) == sorted(reach)

@@ -108,13 +108,39 @@ def toposorted_adjacency(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
 
 
 def transitive_closure(g: PropertyGraph) -> DataFrame:
-    """``src dst`` of all pairs joined by a path of at least one edge; only new pairs go into the next round."""
+    """``src dst`` of all pairs joined by a path of at least one edge.
+
+    Known are all pairs nearer than m, and those at distance m.  Pairs at distances up to 2m are one of these, or one of the
+    first behind one of the second, so rounds are logarithmic in the longest distance.  Where that would try many more
+    pairs than one further edge does (dense graphs, whose distances are short), the round takes that edge.
+    """
     edges = materialize(g.adjacency_matrix(), "closure")
-    layers = Layers(edges, "closure")
-    while True:
-        longer = layers.last.withColumnRenamed("dst", "via").join(edges.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct()
-        if not layers.add(longer.join(layers.all(), ["src", "dst"], "left_anti")):
-            return layers.all()
+    near, far = [], edges
+
+    def tried(first: DataFrame, then: DataFrame) -> int:
+        """How many pairs meet in the middle."""
+        a = first.groupBy(F.col("dst").alias("via")).agg(F.count(F.lit(1)).alias("a"))
+        b = then.groupBy(F.col("src").alias("via")).agg(F.count(F.lit(1)).alias("b"))
+        return a.join(b, "via").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+
+    def joined(first: DataFrame, then: DataFrame) -> DataFrame:
+        return first.withColumnRenamed("dst", "via").join(then.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct()
+
+    while not far.isEmpty():
+        known = reduce(DataFrame.unionByName, [*near, far])
+        if near and tried(known, far) <= 4 * tried(far, edges) + 8 * known.count():
+            more = materialize(joined(reduce(DataFrame.unionByName, near), far).join(known, ["src", "dst"], "left_anti"), "closure")
+            known = known.unionByName(more)
+            near = [*near, far, more]
+            far = materialize(joined(far, far).join(known, ["src", "dst"], "left_anti"), "closure")
+        else:
+            near = [*near, far]
+            far = materialize(joined(far, edges).join(known, ["src", "dst"], "left_anti"), "closure")
+        if len(near) > 12:
+            old, near = near, [materialize(reduce(DataFrame.unionByName, near), "closure")]
+            release(*(t for t in old if t is not edges))
+    release(far)
+    return reduce(DataFrame.unionByName, near) if near else edges
 
 
 def transitive_reduction_closure(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
