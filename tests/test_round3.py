@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from weft.graph import PropertyGraph
 from weft.operators import kernels, pattern, rank, spanning
+from weft.plans import runtime
 from weft.sources import files
 
 
@@ -194,3 +195,12 @@ def test_closure_of_a_long_way_takes_few_rounds(spark, monkeypatch):
     for k in range(9):
         reach |= {(a, b) for a, x in reach if x == k for y, b in reach if y == k}
     assert sorted(map(tuple, spanning.transitive_closure(dense).collect())) == sorted(reach)
+
+
+def test_adjacency_matrix_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "ROWS_A_TASK", 10)
+    g = PropertyGraph.from_rows(spark, EDGES + [(3, 3, 1), (3, 3, 2), (1, 2, 1), (2, 1, 1)], False)
+    got = g.adjacency_matrix()
+    assert got.rdd.getNumPartitions() == 10  # of 94 rows, beyond the session's four
+    pairs = [tuple(r) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {p for r in g.edges.collect() for p in ((r.src, r.dst), (r.dst, r.src))}

@@ -55,7 +55,8 @@ def q_clear(spark, sf):
 
 @query(f"WITH {v.PARTS} SELECT src, dst FROM supplier_part UNION SELECT dst, src FROM supplier_part")
 def q_adjacency_matrix(spark, sf):
-    return v.supplier_part(spark, sf).adjacency_matrix()
+    g = v.supplier_part(spark, sf)
+    return PropertyGraph(g.nodes, materialize(g.edges.select("src", "dst")), g.directed).adjacency_matrix()
 
 
 @query(f"WITH {v.HANDOFF} SELECT src, dst, CASE WHEN src = (SELECT min(id) FROM hnodes) THEN dst ELSE src END AS other FROM handoff WHERE (SELECT min(id) FROM hnodes) IN (src, dst)")

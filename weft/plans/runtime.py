@@ -85,6 +85,16 @@ def _sweep() -> None:
             return
 
 
+ROWS_A_TASK = 1_000_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` ahead of a grouping by ``keys``, dealt over as many tasks as ``rows`` need, so that a task's memory does not
+    grow with the table.  Where the session's number of partitions is enough, it is left alone."""
+    parts = -(-rows // ROWS_A_TASK)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name near ``name`` that ``df`` does not have (compared as Spark does, ignoring case)."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.graph import PropertyGraph
-from weft.plans.runtime import materialize
+from weft.plans.runtime import materialize, spread
 
 EDGE_SPACE = 1 << 31
 
@@ -79,7 +79,8 @@ def order_chain(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 def supplier_part(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Suppliers and the parts they delivered, undirected; parts are numbered from 10^9."""
     lines = table(spark, sf_dir, "lineitem")
-    pairs = lines.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst")).agg(F.count(F.lit(1)).alias("w"))
+    ends = lines.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst"))
+    pairs = spread(ends, lines.count(), "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     return PropertyGraph.from_edges(_with_ids(pairs), False, fill=False)
 
 
