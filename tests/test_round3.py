@@ -204,3 +204,10 @@ def test_adjacency_matrix_takes_more_tasks_for_more_rows(spark, monkeypatch):
     assert got.rdd.getNumPartitions() == 10  # of 94 rows, beyond the session's four
     pairs = [tuple(r) for r in got.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == {p for r in g.edges.collect() for p in ((r.src, r.dst), (r.dst, r.src))}
+
+
+def test_triangles_send_lists_not_pairs(spark):
+    got = pattern.triangles(PropertyGraph.from_rows(spark, EDGES + [(n, 31, 1) for n in range(30)] + [(4, 4, 1)]))
+    near = {frozenset(e[:2]) for e in EDGES} | {frozenset((n, 31)) for n in range(30)}
+    want = {(a, b, c) for a in range(32) for b in range(a + 1, 32) if {a, b} in near for c in range(b + 1, 32) if {a, c} in near and {b, c} in near}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and "array_intersect" in got._jdf.queryExecution().toString()

@@ -273,18 +273,28 @@ def _search(first, second) -> bool:
 
 
 def triangles(g: PropertyGraph) -> DataFrame:
-    """``a b c`` with a < b < c, directions, loops and parallels ignored.  Edges point from the lower degree to the
-    higher, so no node offers more than a root of the edges in pairs, hubs included."""
+    """``a b c`` with a < b < c, directions, loops and parallels ignored.
+
+    Nodes are ranked by degree and every edge belongs to its lower end, so no node has more than a root of the edges, hubs
+    included.  To each edge s, t go the neighbours of s after t, as one row of ranks; those that t has too close a triangle.
+    The pairs of neighbours themselves are never shuffled.
+    """
     e = g.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     e = materialize(e, "triangles")
     deg = e.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
-    w = e.join(deg.withColumnsRenamed({"n": "a", "d": "da"}), "a").join(deg.withColumnsRenamed({"n": "b", "d": "db"}), "b")
-    low = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    out = materialize(w.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("t")), "triangles")
-    wedge = out.join(out.withColumnRenamed("t", "u"), "s").where("t < u")
-    closed = wedge.join(e.withColumnsRenamed({"a": "t", "b": "u"}), ["t", "u"])
-    corners = F.array_sort(F.array("s", "t", "u"))
-    return closed.select(corners[0].alias("a"), corners[1].alias("b"), corners[2].alias("c"))
+    ranks = materialize(numbered(deg, "r", ["d", "n"]).select("n", "r"), "triangles")
+    kind = "int" if ranks.count() < 1 << 31 else "long"
+    ranks = ranks.select("n", F.col("r").cast(kind).alias("r"))
+    w = e.join(ranks.withColumnsRenamed({"n": "a", "r": "ra"}), "a").join(ranks.withColumnsRenamed({"n": "b", "r": "rb"}), "b")
+    lists = materialize(w.groupBy(F.least("ra", "rb").alias("s")).agg(F.sort_array(F.collect_list(F.greatest("ra", "rb"))).alias("after")), "triangles")
+    rest = lists.select("s", "after", F.posexplode("after").alias("i", "t")).where(F.col("i") + 1 < F.size("after"))
+    rest = rest.select("s", "t", F.expr("slice(after, i + 2, size(after))").alias("rest"))
+    own = lists.withColumnsRenamed({"s": "t", "after": "own"}).hint("shuffle_hash")
+    out = rest.join(own, "t").select("s", "t", F.explode(F.array_intersect("rest", "own")).alias("u"))
+    for c in ("s", "t", "u"):
+        out = out.join(ranks.withColumnsRenamed({"n": f"n{c}", "r": c}), c)
+    corners = F.array_sort(F.array("ns", "nt", "nu"))
+    return out.select(corners[0].alias("a"), corners[1].alias("b"), corners[2].alias("c"))
 
 
 def maximal_cliques(g: PropertyGraph, max_neighbours: int = 100_000) -> DataFrame:
